@@ -37,7 +37,8 @@ def delta(current: Column, previous: Column) -> Column:
 
 
 def rescale_score(similarity: Column, threshold: float = 70) -> Column:
-    """Best prototype similarity → 0–100 score, flag and confidence."""
+    """Best prototype similarity → 0–100 score, flag and confidence; no vector scores 0."""
+    similarity = F.coalesce(similarity, F.lit(0.0))
     span = SIMILARITY_CEILING - SIMILARITY_FLOOR
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (similarity - SIMILARITY_FLOOR) / span * 100))
     return F.struct(

@@ -316,8 +316,9 @@ def is_hebrew(text: Column) -> Column:
 
 
 def _one_to_five(number: Column) -> Column:
+    """Whole part between 1 and 5; NULL stays NULL (`least` alone would skip it)."""
     whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    return F.greatest(F.lit(1), F.least(F.lit(5), whole)).cast("int")
+    return F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), whole)).cast("int"))
 
 
 def sentiment_to_int(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 # fixed values: rendering patterns of the reports
 DATE = "yyyy-MM-dd"
@@ -34,22 +35,29 @@ def ago(as_of, days: float) -> Column:
     return clock(as_of) - interval_days(days)
 
 
+def bound(df: DataFrame, time_col: str, limit: Column) -> Column:
+    """`limit` in the type of the column: a cast on the column would keep the filter from the scan."""
+    untimed = isinstance(df.schema[time_col].dataType, TimestampNTZType)
+    return limit.cast("timestamp_ntz") if untimed else limit
+
+
 def since(df: DataFrame, time_col: str, days: float, as_of) -> DataFrame:
     """Rows younger than `days`. The bare column keeps the predicate pushable."""
-    return df.filter(F.col(time_col) > ago(as_of, days))
+    return df.filter(F.col(time_col) > bound(df, time_col, ago(as_of, days)))
 
 
 def between_periods(df: DataFrame, time_col: str, current_days: float, compare_days: float, as_of) -> DataFrame:
     """The period before the current one, both ends included."""
-    return df.filter(
-        F.col(time_col).between(ago(as_of, current_days + compare_days), ago(as_of, current_days))
-    )
+    first, last = ago(as_of, current_days + compare_days), ago(as_of, current_days)
+    return df.filter(F.col(time_col).between(bound(df, time_col, first), bound(df, time_col, last)))
 
 
 def day_slice(df: DataFrame, time_col: str, start, days: float = 1) -> DataFrame:
     """`[start, start + days)`."""
-    begin = clock(start)
-    return df.filter((F.col(time_col) >= begin) & (F.col(time_col) < begin + interval_days(days)))
+    begin, end = clock(start), clock(start) + interval_days(days)
+    return df.filter(
+        (F.col(time_col) >= bound(df, time_col, begin)) & (F.col(time_col) < bound(df, time_col, end))
+    )
 
 
 def in_month_range(df: DataFrame, time_col: str, days: float, as_of, month_col: str = "month") -> DataFrame:
@@ -97,4 +105,4 @@ def to_iso(ts: Column) -> Column:
 
 
 def age_days(ts: Column, as_of) -> Column:
-    return (F.unix_micros(clock(as_of)) - F.unix_micros(ts)) / F.lit(DAY_SECONDS * 1_000_000)
+    return (F.unix_micros(clock(as_of)) - F.unix_micros(ts.cast("timestamp"))) / F.lit(DAY_SECONDS * 1_000_000)

@@ -14,7 +14,7 @@ from dialoglens.functions.text import (
     speaker_class,
     speaker_label,
 )
-from dialoglens.functions.timing import MINUTE, clock, day_of_week0, fmt_ts, hour24, interval_days
+from dialoglens.functions.timing import MINUTE, bound, clock, day_of_week0, fmt_ts, hour24, interval_days
 
 # fixed values: score limits and the labels that select them
 CRITICAL, HIGH, HIGH_CHURN, MEDIUM_CHURN = 95, 90, 70, 40
@@ -126,12 +126,13 @@ def customer_filter_any(df: DataFrame, subscriber_no: str | None = None, ban: st
 def chat_base_filter(df: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Chats of the last days that today's export run contains."""
     today = F.date_trunc("day", clock(as_of))
+    oldest = bound(df, "case_date", today - interval_days(days))
     return df.filter(
         (F.col("channel_code") != 2)
-        & (F.col("last_run_date") > today)
+        & (F.col("last_run_date") > bound(df, "last_run_date", today))
         & (F.col("channel_desc") == "WhatsApp")
         & F.col("text").isNotNull()
-        & (F.col("case_date") > today - interval_days(days))
+        & (F.col("case_date") > oldest)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.functions.numbers import delta, null_to_zero
 from dialoglens.functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, mentions
-from dialoglens.functions.timing import DATE, ago, day_of_week0, fmt_ts, hour24, since, trunc_day
+from dialoglens.functions.timing import DATE, ago, bound, day_of_week0, fmt_ts, hour24, since, trunc_day
 from dialoglens.operators.filters import (
     CRITICAL,
     HIGH,
@@ -138,8 +138,10 @@ def trend_comparison(
     previous one at segments of both.
     """
     both, as_of, ts = current_days + compare_days, db.as_of, F.col("conversation_time")
-    scoped = db.conversation_summary.filter(ts >= ago(as_of, both))
-    now, before = ts > ago(as_of, current_days), ts <= ago(as_of, current_days)
+    cs = db.conversation_summary
+    limit = lambda days: bound(cs, "conversation_time", ago(as_of, days))
+    scoped = cs.filter(ts >= limit(both))
+    now, before = ts > limit(current_days), ts <= limit(current_days)
     if call_type not in (None, "all"):
         scoped = scoped.join(kind_times(db, call_type, both, as_of), "source_id")
         now = now & (F.col("last_time") > ago(as_of, current_days))

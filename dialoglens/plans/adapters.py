@@ -164,6 +164,32 @@ EVALUATIONS = {
     "recommendations_generated": "CAST(doc_id % 4 AS INT)",
 }
 
+# result messages: valid ones of several shapes, broken ones and ones of another type
+_ID = "CAST(event_id AS STRING)"
+RESULT_BODY = f"""CASE WHEN event_id % 10 = 0 THEN concat('{{"type": "ML_PROCESSING_RESULT", "callId": "', {_ID}, '", "summary": ')
+ WHEN event_id % 10 = 1 THEN concat('{{"type": "OTHER", "callId": "', {_ID}, '"}}')
+ ELSE concat('{{"type": "ML_PROCESSING_RESULT", "callId": "', {_ID}, '", "ban": "', CAST(user_id % 50 AS STRING),
+ '", "callTime": "2024-01-20T10:11:12', CASE WHEN event_id % 2 = 0 THEN '.250000' ELSE '' END, '", "summary": ',
+ CASE WHEN event_id % 2 = 0 THEN concat('{{"text": "sum ', {_ID}, '"}}') ELSE concat('"sum ', {_ID}, '"') END, ', "sentiment": ',
+ CASE event_id % 3 WHEN 0 THEN '{{"overall": "positive"}}' WHEN 1 THEN '"שלילי"' ELSE '5' END, ', "classification": ',
+ CASE event_id % 4 WHEN 0 THEN '{{"primary": "billing", "all": ["billing", "debt"]}}' WHEN 2 THEN '"plain"' ELSE '{{}}' END,
+ ', "classifications": ', CASE event_id % 4 WHEN 1 THEN '["roaming", "roaming", "", "tv"]' ELSE '[]' END,
+ ', "confidence": 0.5, "churn_confidence": ', CAST(event_id % 100 AS STRING), 'e-2, "products": ["A ', event_type, '", "B"], ',
+ '"action_items": [{{"action": "call ', event_type, '", "due_date": "x"}}, {{"name": "none"}}], "unresolved_issues": {{"open": "', event_type,
+ '", "n": 0}}, "customer_satisfaction": ', CASE event_id % 3 WHEN 0 THEN '9' WHEN 1 THEN '"2"' ELSE '"x"' END, ', "processingTime": 12}}') END"""
+RESULTS = {"message_id": _ID, "call_id": _ID, "sent_at": "ts", "body": RESULT_BODY}
+
+# raw responses: complete, wrapped, with missing or spare commas, cut a little or a lot
+_REST = """'"sentiment": "negative", "products": "tv, net", "Action_items": "call", "customer_satisfaction": 4.7"""
+RESPONSE = f"""CASE event_id % 6
+ WHEN 0 THEN concat('{{"Summary": "s ', {_ID}, '", ', {_REST}}}')
+ WHEN 1 THEN concat('Here it is: {{"סיכום": "s ', {_ID}, '", ', {_REST}}} done')
+ WHEN 2 THEN concat('{{"summary": "s ', {_ID}, '", ', {_REST},}}')
+ WHEN 3 THEN concat('{{"summary": "s ', {_ID}, '"', chr(10), {_REST}}}')
+ WHEN 4 THEN concat('{{"summary": "s ', {_ID}, '", ', {_REST}, "extra": {{"a": {{"b": 1}}')
+ ELSE concat('{{"summary": "s ', {_ID}) END"""
+RESPONSES = {"call_id": _ID, "response": RESPONSE}
+
 SALES_TYPES = "('purchase','signup')"
 AFFECTED = (
     "CASE WHEN event_id % 3 = 0 THEN NULL ELSE transform(sequence(1, CAST(event_id % 3 AS INT)), i -> "
@@ -217,6 +243,8 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
             "alert_history": history,
             "recommendations": lambda: _view(read("labels"), RECOMMENDATIONS),
             "evaluation_history": lambda: _view(read("labels"), EVALUATIONS),
+            "results_raw": lambda: _view(read("events"), RESULTS),
+            "responses": lambda: _view(read("events"), RESPONSES),
             **{raw: (lambda raw=raw: read(raw)) for raw in ("events", "embeddings", "documents", "labels", "nation")},
         },
         AS_OF,
@@ -248,5 +276,7 @@ SQL_VIEWS = {
     "rules": _sql(RULES, "nation"),
     "hist": _sql(HISTORY, "events WHERE event_type = 'error'"),
     "recs": _sql(RECOMMENDATIONS, "labels"),
+    "raw_results": _sql(RESULTS, "events"),
+    "responses": _sql(RESPONSES, "events"),
     "evals": _sql(EVALUATIONS, "labels"),
 }
