@@ -53,13 +53,20 @@ def collect_in_parts(
         return _whole_lists(rows, keys, order)
     if hot_keys > max_broadcast_keys:
         return _sliced_lists(rows, keys, part_size)
-    same = [rows[k].eqNullSafe(hot[k]) for k in keys]
-    flagged = rows.join(F.broadcast(hot), same, "left").select(*[rows[k] for k in keys], "_row", "_hot")
+    flagged = _attach(rows, F.broadcast(hot), keys, ["_hot"], "left")
     cold = flagged.filter(F.col("_hot").isNull()).drop("_hot")
     spread = flagged.filter(F.col("_hot")).drop("_hot")
     return _whole_lists(cold, keys, order).unionByName(_sliced_lists(spread, keys, part_size))
 
 
+def _attach(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], how: str) -> DataFrame:
+    """Add `columns` of `right`, both frames coming from the same rows; NULL keys match."""
+    renamed = {k: f"_right_{k}" for k in keys}
+    side = right.select(*[F.col(k).alias(r) for k, r in renamed.items()], *columns)
+    same = [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
+    return left.join(side, same, how).drop(*renamed.values())
+
+
 def _whole_lists(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ordered = F.sort_array(F.collect_list("_row"))
     return rows.groupBy(*keys).agg(F.transform(ordered, lambda r: r["item"]).alias("items")).select(
@@ -83,8 +90,8 @@ def _sliced_lists(rows: DataFrame, keys: list[str], part_size: int) -> DataFrame
         .withColumn("part", F.row_number().over(Window.partitionBy(*keys).orderBy("_pid", "_chunk")))
         .withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
     )
-    same = [lists[c].eqNullSafe(numbered[c]) for c in [*keys, "_pid", "_chunk"]]
-    return lists.join(numbered, same).select(*[lists[k] for k in keys], "part", "parts", "items")
+    joined = _attach(lists, numbered, [*keys, "_pid", "_chunk"], ["part", "parts"], "inner")
+    return joined.select(*keys, "part", "parts", "items")
 
 
 def number_rows(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
