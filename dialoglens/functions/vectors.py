@@ -29,12 +29,13 @@ def similarity_to(vectors: list[list[float]]) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<double>")
     def similarities(batch: pd.Series) -> pd.Series:
-        present = batch.notna()
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        if present.any():
-            stacked = np.stack(batch[present].to_numpy()).astype(np.float64)
-            out[present] = list(stacked @ matrix)
-        return out
+        scores: list = [None] * len(batch)
+        present = np.flatnonzero(batch.notna().to_numpy())
+        if len(present):
+            stacked = np.stack([np.asarray(batch.iloc[i], dtype=np.float64) for i in present])
+            for position, row in zip(present, stacked @ matrix):
+                scores[position] = row
+        return pd.Series(scores, dtype=object)
 
     return similarities
 
