@@ -140,11 +140,15 @@ def conversation_parts(db: Tables, rules: DataFrame, windows: list[float]) -> Da
     many conversations is one row by then.
     """
     aged = age_class(db.conversation_summary, "conversation_time", windows, db.as_of)
-    by_account = aged.groupBy("age", "ban").agg(*partial_sums())
+    return product_parts(aged.groupBy("age", "ban").agg(*partial_sums()), db.subscriber, rules)
+
+
+def product_parts(by_account: DataFrame, subscriber: DataFrame, rules: DataFrame) -> DataFrame:
+    """Sums per age class and account → per age class, and per age class and watched product."""
     everything = by_account.groupBy("age").agg(*added()).withColumn("product", F.lit(None).cast("string"))
     watched = rules.filter("filter_product is not null").select(F.col("filter_product").alias("product")).distinct()
     owners = (
-        db.subscriber.select(F.col("customer_ban").alias("ban"), F.col("product_code").alias("product"))
+        subscriber.select(F.col("customer_ban").alias("ban"), F.col("product_code").alias("product"))
         .distinct()
         .join(watched, "product", "left_semi")
     )
@@ -180,10 +184,17 @@ def quality_metrics(db: Tables, rules: DataFrame) -> DataFrame:
     return asked.select("alert_id", F.when(F.col("metric_name") == "pending_count", pending).otherwise(recall).alias("metric_value"))
 
 
-def rule_values(db: Tables, rules: DataFrame) -> DataFrame:
-    """`alert_id, metric_value` of every enabled rule with a known metric."""
+def rule_values(db: Tables, rules: DataFrame, partials: DataFrame | None = None) -> DataFrame:
+    """`alert_id, metric_value` of every enabled rule with a known metric.
+
+    `partials` are stored sums per 5-minute slot and account; with them no conversation is read.
+    """
     windows = _windows(rules)
-    parts = conversation_parts(db, rules, windows)
+    if partials is None:
+        parts = conversation_parts(db, rules, windows)
+    else:
+        aged = age_class(partials, "slot_end", windows, db.as_of)
+        parts = product_parts(aged.groupBy("age", "ban").agg(*added()), db.subscriber, rules)
     return (
         conversation_metrics(rules, parts)
         .unionByName(error_metrics(db, rules, windows))
@@ -191,11 +202,11 @@ def rule_values(db: Tables, rules: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_alerts(db: Tables, rules: DataFrame | None = None) -> DataFrame:
+def evaluate_alerts(db: Tables, rules: DataFrame | None = None, partials: DataFrame | None = None) -> DataFrame:
     """All enabled threshold rules: value, triggered, already_active, created."""
     rules = db.alert_rules if rules is None else rules
     active = rules.filter("is_enabled and alert_type = 'threshold'")
-    judged = active.join(rule_values(db, active), "alert_id", "left").withColumn(
+    judged = active.join(rule_values(db, active, partials), "alert_id", "left").withColumn(
         "triggered",
         check_condition(F.col("metric_value"), F.col("condition_operator"), F.col("threshold_value")),
     )

@@ -245,7 +245,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
             "evaluation_history": lambda: _view(read("labels"), EVALUATIONS),
             "results_raw": lambda: _view(read("events"), RESULTS),
             "responses": lambda: _view(read("events"), RESPONSES),
-            **{raw: (lambda raw=raw: read(raw)) for raw in ("events", "embeddings", "documents", "labels", "nation")},
+            **{raw: (lambda raw=raw: read(raw)) for raw in ("events", "lineitem", "embeddings", "documents", "labels", "nation")},
         },
         AS_OF,
     )
