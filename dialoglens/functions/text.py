@@ -111,19 +111,27 @@ def split_csv(text: Column) -> Column:
 
 def json_kind(value: Column) -> Column:
     """ARRAY, OBJECT, STRING, … of a variant; NULL stays NULL."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def unstructured(text: Column) -> Column:
     return F.translate(text, STRUCTURE_CHARS, "")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+# text of the values other than strings that count as empty
+EMPTY_VALUE = r"^(?:null|false|-?0(?:\.0*)?(?:[eE][+-]?\d+)?|\[\]|\{\})$"
+
+
 def truthy(value: Column) -> Column:
     """False for null, false, zero and empty values."""
-    kind, text = json_kind(value), value.cast("string")
-    zero = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (text.try_cast("double") == 0)
-    false = (kind == "BOOLEAN") & (text == "false")
-    return ~((kind == "VOID") | text.isin("", "[]", "{}") | zero | false)
+    text = value.cast("string")
+    empty = F.coalesce(text, F.lit("null")).rlike(EMPTY_VALUE)
+    return F.when(F.schema_of_variant(value) == "STRING", text != "").otherwise(~empty)
 
 
 def _spaced(raw: Column) -> Column:
@@ -140,52 +148,54 @@ def _rendered(raw: Column, value: Column) -> Column:
 _STRICT = {"allowSingleQuotes": "false"}
 
 
+def _read_json(text: Column) -> Column:
+    """The stripped text, its variant if it is JSON, and the kind of that."""
+    source = strip(F.coalesce(text, F.lit("")))
+    parsed = let(source, lambda t: F.struct(t.alias("text"), F.try_parse_json(t).alias("value")))
+    return let(parsed, lambda p: F.struct(p["text"], p["value"], json_kind(p["value"]).alias("kind")))
+
+
+def _listed_items(source: Column, items: Column) -> Column:
+    raw = F.from_json(source, "array<string>", _STRICT)
+    return F.filter(
+        F.zip_with(raw, items, lambda r, v: F.when(truthy(v), _rendered(r, v)).otherwise("")), lambda item: item != ""
+    )
+
+
+def _listed_fields(source: Column, fields: Column) -> Column:
+    raw = F.map_entries(F.from_json(source, "map<string,string>", _STRICT))
+    pairs = F.transform(
+        raw,
+        lambda e: let(
+            F.element_at(fields, e["key"]),
+            lambda v: F.when(truthy(v), F.concat(e["key"], F.lit(": "), _rendered(e["value"], v))).otherwise(""),
+        ),
+    )
+    return F.filter(pairs, lambda pair: pair != "")
+
+
 def json_to_csv(text: Column) -> Column:
     """JSON array or object, or plain text, as a comma-separated list.
 
     Empty items are dropped; booleans appear as `true`/`false`. Raw item texts come from
     `from_json`, which keeps the order of keys, their kinds from the variant.
     """
-    source = strip(F.coalesce(text, F.lit("")))
-    value = F.try_parse_json(source)
-    kind = json_kind(value)
-
-    raw_items = F.from_json(source, "array<string>", _STRICT)
-    items = value.cast("array<variant>")
-    kept = F.filter(
-        F.transform(
-            raw_items,
-            lambda raw, i: F.when(truthy(F.get(items, i)), _rendered(raw, F.get(items, i))).otherwise(""),
-        ),
-        lambda item: item != "",
-    )
-
-    raw_fields = F.from_json(source, "map<string,string>", _STRICT)
-    fields = value.cast("map<string,variant>")
-    pairs = F.filter(
-        F.transform(
-            F.map_entries(raw_fields),
-            lambda e: F.when(
-                truthy(F.element_at(fields, e["key"])),
-                F.concat(e["key"], F.lit(": "), _rendered(e["value"], F.element_at(fields, e["key"]))),
-            ).otherwise(""),
-        ),
-        lambda pair: pair != "",
-    )
-    return (
-        F.when(kind == "ARRAY", F.array_join(kept, ", "))
-        .when(kind == "OBJECT", F.array_join(pairs, ", "))
-        .otherwise(F.array_join(split_csv(unstructured(source)), ", "))
+    return let(
+        _read_json(text),
+        lambda j: F.when(
+            j["kind"] == "ARRAY", F.array_join(_listed_items(j["text"], j["value"].cast("array<variant>")), ", ")
+        )
+        .when(
+            j["kind"] == "OBJECT", F.array_join(_listed_fields(j["text"], j["value"].cast("map<string,variant>")), ", ")
+        )
+        .otherwise(F.array_join(split_csv(unstructured(j["text"])), ", ")),
     )
 
 
 def _field_text(item: Column) -> Column:
-    def usable(name: str) -> Column:
-        field = F.try_variant_get(item, f"$.{name}", "variant")
-        text = strip(field.cast("string"))
-        return F.when(truthy(field) & (text != "") & (F.lower(text) != "none"), text)
-
-    return F.coalesce(*[usable(name) for name in ACTION_FIELDS])
+    fields = F.array(*[F.try_variant_get(item, f"$.{name}", "variant") for name in ACTION_FIELDS])
+    texts = F.transform(F.filter(fields, truthy), lambda f: strip(f.cast("string")))
+    return F.get(F.filter(texts, lambda t: ~F.lower(t).isin("", "none")), 0)
 
 
 def _plain_item(item: Column) -> Column:
@@ -195,28 +205,37 @@ def _plain_item(item: Column) -> Column:
 
 def cut_at_item(text: Column, max_length: int) -> Column:
     """At most `max_length` characters, cut after the last whole item if half or more remains."""
-    head = F.substring(text, 1, max_length)
-    tail_after_comma = F.instr(F.reverse(head), ",")
-    comma_at = F.when(tail_after_comma > 0, F.lit(max_length) - tail_after_comma)
-    cut = F.when(comma_at > max_length * 0.5, F.substring(head, F.lit(1), comma_at)).otherwise(head)
-    return F.when(F.length(text) > max_length, F.regexp_replace(cut, "[, ]+$", "")).otherwise(text)
+
+    def cut(head: Column) -> Column:
+        tail_after_comma = F.instr(F.reverse(head), ",")
+        comma_at = F.lit(max_length) - tail_after_comma
+        whole = (tail_after_comma > 0) & (comma_at > max_length * 0.5)
+        return F.regexp_replace(F.when(whole, F.substring(head, F.lit(1), comma_at)).otherwise(head), "[, ]+$", "")
+
+    return let(
+        text, lambda t: F.when(F.length(t) > max_length, let(F.substring(t, 1, max_length), cut)).otherwise(t)
+    )
 
 
 def action_items_text(text: Column, max_length: int = 500) -> Column:
     """Only the wording of the action items, without their dates, owners and states."""
-    source = strip(F.coalesce(text, F.lit("")))
-    value = F.try_parse_json(source)
-    kind = json_kind(value)
-    wordings = F.transform(
-        value.cast("array<variant>"),
-        lambda item: F.when(json_kind(item) == "OBJECT", _field_text(item)).otherwise(_plain_item(item)),
-    )
-    listed = F.array_join(F.filter(wordings, lambda w: w.isNotNull()), ", ")
-    return (
-        F.when(kind == "ARRAY", cut_at_item(listed, max_length))
-        .when(kind == "OBJECT", cut_at_item(F.coalesce(_field_text(value), F.lit("")), max_length))
-        .when(kind.isNull(), strip(F.substring(unstructured(source), 1, max_length)))
-        .otherwise("")
+    wording = lambda item: F.when(json_kind(item) == "OBJECT", _field_text(item)).otherwise(_plain_item(item))
+
+    def listed(value: Column) -> Column:
+        items = F.transform(value.cast("array<variant>"), wording)
+        return F.array_join(F.filter(items, lambda w: w.isNotNull()), ", ")
+
+    return let(
+        _read_json(text),
+        lambda j: F.when(
+            j["kind"].isin("ARRAY", "OBJECT"),
+            cut_at_item(
+                F.when(j["kind"] == "ARRAY", listed(j["value"])).otherwise(F.coalesce(_field_text(j["value"]), F.lit(""))),
+                max_length,
+            ),
+        )
+        .when(j["kind"].isNull(), strip(F.substring(unstructured(j["text"]), 1, max_length)))
+        .otherwise(""),
     )
 
 
@@ -253,12 +272,10 @@ def missing_braces(text: Column) -> Column:
 
 
 def truncation_class(text: Column) -> Column:
-    gap = missing_braces(text)
-    return (
-        F.when(gap == 0, "complete")
-        .when(F.length(text) < SEVERE_TRUNCATION_CHARS, "severe")
-        .when(gap > 0, "repairable")
-        .otherwise("unbalanced")
+    short = F.length(text) < SEVERE_TRUNCATION_CHARS
+    return let(
+        missing_braces(text),
+        lambda gap: F.when(gap == 0, "complete").when(short, "severe").when(gap > 0, "repairable").otherwise("unbalanced"),
     )
 
 
@@ -270,19 +287,27 @@ def _outer_object(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
+def _if_json(text: Column) -> Column:
+    return let(text, lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
+
+
 def repair_json(text: Column) -> Column:
     """The first of several repairs that parses; NULL if none does."""
+
+    def closed(clean: Column) -> Column:
+        return F.concat(clean, F.repeat(F.lit("}"), F.greatest(missing_braces(clean), F.lit(0))))
+
+    def repairs(whole: Column) -> Column:
+        return F.coalesce(
+            _if_json(whole), _if_json(_commas_between_lines(whole)), _if_json(_commas_between_lines(_outer_object(whole)))
+        )
+
     clean = strip_control(strip_abbrev_quotes(strip(text)))
-    closed = F.concat(clean, F.repeat(F.lit("}"), F.greatest(missing_braces(clean), F.lit(0))))
     one_line = F.regexp_replace(_outer_object(strip(text)), r"[\r\n]", " ")
     no_trailing = F.regexp_replace(one_line, r",(\s*[}\]])", "$1")
-    candidates = [
-        closed,
-        _commas_between_lines(closed),
-        _commas_between_lines(_outer_object(closed)),
-        strip_control(strip_abbrev_quotes(no_trailing)),
-    ]
-    return F.coalesce(*[F.when(F.try_parse_json(c).isNotNull(), c) for c in candidates])
+    return F.coalesce(
+        let(let(clean, closed), repairs), _if_json(strip_control(strip_abbrev_quotes(no_trailing)))
+    )
 
 
 def canonical_key(key: Column) -> Column:
@@ -321,11 +346,16 @@ def _one_to_five(number: Column) -> Column:
     return F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), whole)).cast("int"))
 
 
+def _number(text: Column) -> Column:
+    """Text as a number; only what looks like one is cast, as failed casts are slow."""
+    return F.when(text.rlike(r"^[+-]?\d+(?:\.\d+)?$"), text.try_cast("double"))
+
+
 def sentiment_to_int(text: Column) -> Column:
     """Word or number → 1–5; 3 for anything else."""
     words = F.create_map(*[F.lit(x) for pair in SENTIMENT_WORDS.items() for x in pair])
-    word = F.lower(strip(text))
-    return F.coalesce(F.element_at(words, word), _one_to_five(word.try_cast("double")), F.lit(NEUTRAL))
+    score = lambda word: F.coalesce(F.element_at(words, word), _one_to_five(_number(word)), F.lit(NEUTRAL))
+    return let(F.lower(strip(text)), score)
 
 
 def satisfaction_to_int(text: Column) -> Column:

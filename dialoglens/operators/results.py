@@ -31,12 +31,31 @@ DEFAULT_MODEL = "dictalm-2.0"
 SUMMARY_CHARS, CLASS_CHARS, LIST_CHARS, CATEGORY_CHARS, MODEL_CHARS = 4000, 100, 500, 255, 50
 
 
-def _text(path: str, result: str = "result") -> Column:
-    return F.try_variant_get(result, f"$.{path}", "string")
+# fields a result message may have, each read once per message
+FIELDS = [
+    "callId", "sourceId", "ban", "customerId", "subscriberNo", "subscriber_no", "callTime", "call_time", "summary",
+    "summary.text", "sentiment", "sentiment.overall", "classification", "classification.primary", "classification.all",
+    "classifications", "confidence", "churn_confidence", "products", "action_items", "unresolved_issues",
+    "customer_satisfaction", "processingTime", "modelVersion",
+]
 
 
-def _variant(path: str, result: str = "result") -> Column:
-    return F.try_variant_get(result, f"$.{path}", "variant")
+def _name(path: str) -> str:
+    return "_" + path.replace(".", "_of_")
+
+
+def _read_fields(parsed: DataFrame) -> DataFrame:
+    kept = [c for c in parsed.columns if c not in ("result", "body", "verdict")]
+    fields = [F.try_variant_get("result", f"$.{f}", "variant").alias(_name(f)) for f in FIELDS]
+    return parsed.select(*kept, *fields)
+
+
+def _variant(path: str) -> Column:
+    return F.col(_name(path))
+
+
+def _text(path: str) -> Column:
+    return _variant(path).cast("string")
 
 
 def _given(value: Column) -> Column:
@@ -97,7 +116,7 @@ def sentiment_score() -> Column:
 def normalize_results(parsed: DataFrame) -> DataFrame:
     """Good result messages as typed columns, one row per message."""
     either = lambda a, b: F.coalesce(_given(_variant(a)), _given(_variant(b)))
-    rows = parsed.filter("verdict = 'ok'")
+    rows = _read_fields(parsed.filter("verdict = 'ok'"))
     return rows.select(
         F.coalesce(_text("callId"), F.lit("UNKNOWN")).alias("call_id"),
         F.coalesce(_text("sourceId"), F.lit("CALL")).alias("source_type"),

@@ -49,7 +49,8 @@ query("R02_late_data_dedupe", "SELECT call_id, call_time, seq, owner FROM seg GR
 )
 # sessions come out when the watermark, 500 minutes behind the newest segment, has passed their end
 DONE = "call_id IN (SELECT call_id FROM seg GROUP BY 1 HAVING max(call_time) <= (SELECT max(call_time) FROM seg) - INTERVAL 530 MINUTE)"
-query("R03_assemble_stream", f"SELECT call_id, segments, message_count, last_time FROM ({STATS}) WHERE {DONE}")(
+ONCE = STATS.replace("FROM seg", "FROM (SELECT DISTINCT call_id, call_time, seq, owner, text FROM seg)")
+query("R03_assemble_stream", f"SELECT call_id, segments, message_count, last_time FROM ({ONCE}) WHERE {DONE}")(
     lambda db: _result(
         db, ingest_stream.assemble_stream(_segment_stream(db)).select("call_id", "segments", "message_count", "last_time"), "sessions"
     )

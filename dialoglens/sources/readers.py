@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialoglens.functions.text import json_kind, not_blank
 from dialoglens.functions.timing import since
@@ -181,13 +181,18 @@ def check_tables(db: Tables, required: list[str]) -> DataFrame:
 
 
 def read_results(messages: DataFrame, body: str = "body") -> DataFrame:
-    """Result messages as variants with a verdict: `ok`, `bad_json` or `other_type`."""
-    parsed = messages.withColumn("result", F.try_parse_json(body))
-    kind = F.try_variant_get("result", "$.type", "string")
-    verdict = (
-        F.when(F.col("result").isNull(), "bad_json").when(F.coalesce(kind, F.lit("")) != RESULT_MESSAGE, "other_type")
-    )
-    return parsed.withColumn("verdict", F.coalesce(verdict, F.lit("ok")))
+    """Result messages as variants with a verdict: `ok`, `bad_json` or `other_type`.
+
+    The one-element array keeps later filters above it, so that a body is parsed once.
+    """
+
+    def judged(value: Column) -> Column:
+        kind = F.coalesce(F.try_variant_get(value, "$.type", "string"), F.lit(""))
+        verdict = F.when(value.isNull(), "bad_json").when(kind != RESULT_MESSAGE, "other_type").otherwise("ok")
+        return F.struct(value.alias("result"), verdict.alias("verdict"))
+
+    parsed = F.transform(F.array(F.try_parse_json(body)), judged)
+    return messages.select("*", F.inline(parsed))
 
 
 def result_errors(parsed: DataFrame) -> DataFrame:
