@@ -241,12 +241,18 @@ def action_items_text(text: Column, max_length: int = 500) -> Column:
 
 def coerce_list(value: Column, split: bool) -> Column:
     """Variant → list of texts: text becomes a list (split at commas, or one item), others empty."""
-    kind, text = json_kind(value), value.cast("string")
-    alone = split_csv(text) if split else F.when(strip(text) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    return (
-        F.when(kind == "ARRAY", F.transform(value.cast("array<variant>"), lambda v: v.cast("string")))
-        .when(kind == "STRING", alone)
-        .otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def alone(text: Column) -> Column:
+        return split_csv(text) if split else F.when(strip(text) != "", F.array(text)).otherwise(none)
+
+    return let(
+        F.struct(json_kind(value).alias("kind"), value.alias("value")),
+        lambda v: F.when(
+            v["kind"] == "ARRAY", F.transform(v["value"].cast("array<variant>"), lambda x: x.cast("string"))
+        )
+        .when(v["kind"] == "STRING", let(v["value"].cast("string"), alone))
+        .otherwise(none),
     )
 
 
@@ -365,11 +371,12 @@ def satisfaction_to_int(text: Column) -> Column:
 
 def number_or_text_score(value: Column, from_text) -> Column:
     """Variant form of the two functions above: numbers are clamped, texts go through `from_text`."""
-    kind, text = json_kind(value), value.cast("string")
-    return (
-        F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _one_to_five(text.try_cast("double")))
-        .when(kind == "STRING", from_text(text))
-        .otherwise(NEUTRAL)
+    parts = F.struct(json_kind(value).alias("kind"), value.cast("string").alias("text"))
+    return let(
+        parts,
+        lambda v: F.when(v["kind"].isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _one_to_five(v["text"].try_cast("double")))
+        .when(v["kind"] == "STRING", from_text(v["text"]))
+        .otherwise(NEUTRAL),
     )
 
 

@@ -11,6 +11,7 @@ from dialoglens.functions.text import (
     coerce_list,
     json_kind,
     json_to_csv,
+    let,
     number_or_text_score,
     repair_json,
     satisfaction_to_int,
@@ -58,17 +59,36 @@ def _text(path: str) -> Column:
     return _variant(path).cast("string")
 
 
-def _given(value: Column) -> Column:
+def _given(path: str) -> Column:
     """Text of a field, NULL where it is absent or empty."""
-    return F.when(truthy(value), value.cast("string"))
+    return F.col(f"{_name(path)}_given")
+
+
+def _kind(path: str) -> Column:
+    return F.col(f"{_name(path)}_kind")
+
+
+# fields looked at for emptiness, and for being text, list or object
+GIVEN = [
+    "ban", "customerId", "subscriberNo", "subscriber_no", "callTime", "call_time", "summary", "sentiment",
+    "classification", "classification.primary", "classification.all", "classifications",
+]
+KINDS = ["summary", "sentiment", "classification.all", "classifications"]
+
+
+def _judge_fields(fields: DataFrame) -> DataFrame:
+    given = {f"{_name(f)}_given": F.when(truthy(_variant(f)), _text(f)) for f in GIVEN}
+    return fields.withColumns({**given, **{f"{_name(f)}_kind": json_kind(_variant(f)) for f in KINDS}})
 
 
 def _texts(value: Column) -> Column:
     return F.transform(value.cast("array<variant>"), lambda v: v.cast("string"))
 
 
-def _is_list(value: Column) -> Column:
-    return (json_kind(value) == "ARRAY") & truthy(value)
+def _list(path: str) -> Column:
+    """Entries of a field that is a list with any, else NULL."""
+    filled = (_kind(path) == "ARRAY") & _given(path).isNotNull()
+    return F.when(filled, _texts(_variant(path)))
 
 
 def distinct_categories(labels: Column) -> Column:
@@ -77,46 +97,42 @@ def distinct_categories(labels: Column) -> Column:
 
 
 def primary_category() -> Column:
-    many = _variant("classifications")
-    first = F.when(_is_list(many), F.get(_texts(many), 0))
-    label = F.coalesce(_given(_variant("classification.primary")), first, _given(_variant("classification")))
-    return F.substring(F.coalesce(label, F.lit(NO_CATEGORY)), 1, CLASS_CHARS)
+    label = F.coalesce(
+        _given("classification.primary"), F.get(_list("classifications"), 0), _given("classification"), F.lit(NO_CATEGORY)
+    )
+    return F.substring(label, 1, CLASS_CHARS)
 
 
 def all_categories_text() -> Column:
-    own, many = _variant("classification.all"), _variant("classifications")
-    has_primary = _given(_variant("classification.primary")).isNotNull()
-    listed = F.when(has_primary, own).when(_is_list(many), many)
-    joined = F.when(json_kind(listed) == "ARRAY", F.array_join(_texts(listed), ", ")).otherwise(_given(listed))
-    return F.coalesce(joined, F.lit(""))
+    own = F.coalesce(F.array_join(_list("classification.all"), ", "), _given("classification.all"))
+    listed = F.when(_given("classification.primary").isNotNull(), own).otherwise(
+        F.array_join(_list("classifications"), ", ")
+    )
+    return F.coalesce(listed, F.lit(""))
 
 
-def category_labels() -> Column:
+def category_labels(primary: Column) -> Column:
     """Labels for the category table: the list, else the detailed list, else the main label."""
-    many, own = _variant("classifications"), _variant("classification.all")
-    single = F.when(json_kind(many) == "STRING", F.array(_given(many)))
-    labels = F.coalesce(
-        F.when(_is_list(many), _texts(many)), single, F.when(_is_list(own), _texts(own)), F.array(primary_category())
-    )
+    single = F.when(_kind("classifications") == "STRING", F.array(_given("classifications")))
+    labels = F.coalesce(_list("classifications"), single, _list("classification.all"), F.array(primary))
     return F.transform(distinct_categories(labels), lambda c: F.substring(c, 1, CATEGORY_CHARS))
 
 
 def summary_text() -> Column:
-    summary = _variant("summary")
-    inner = F.when(json_kind(summary) == "OBJECT", _text("summary.text")).otherwise(_given(summary))
+    inner = F.when(_kind("summary") == "OBJECT", _text("summary.text")).otherwise(_given("summary"))
     return F.substring(F.coalesce(inner, F.lit("")), 1, SUMMARY_CHARS)
 
 
 def sentiment_score() -> Column:
-    sentiment = _variant("sentiment")
-    value = F.when(json_kind(sentiment) == "OBJECT", _text("sentiment.overall")).otherwise(_given(sentiment))
-    return sentiment_to_int(value)
+    return sentiment_to_int(
+        F.when(_kind("sentiment") == "OBJECT", _text("sentiment.overall")).otherwise(_given("sentiment"))
+    )
 
 
 def normalize_results(parsed: DataFrame) -> DataFrame:
     """Good result messages as typed columns, one row per message."""
-    either = lambda a, b: F.coalesce(_given(_variant(a)), _given(_variant(b)))
-    rows = _read_fields(parsed.filter("verdict = 'ok'"))
+    either = lambda a, b: F.coalesce(_given(a), _given(b))
+    rows = _judge_fields(_read_fields(parsed.filter("verdict = 'ok'")))
     return rows.select(
         F.coalesce(_text("callId"), F.lit("UNKNOWN")).alias("call_id"),
         F.coalesce(_text("sourceId"), F.lit("CALL")).alias("source_type"),
@@ -127,7 +143,7 @@ def normalize_results(parsed: DataFrame) -> DataFrame:
         sentiment_score().alias("sentiment"),
         primary_category().alias("classification_primary"),
         all_categories_text().alias("classification_all"),
-        category_labels().alias("categories"),
+        category_labels(primary_category()).alias("categories"),
         F.coalesce(_text("confidence").try_cast("double"), F.lit(0.0)).alias("confidence_score"),
         F.coalesce(_text("processingTime").try_cast("bigint"), F.lit(0)).alias("ml_processing_time_ms"),
         F.substring(F.coalesce(_text("modelVersion"), F.lit(DEFAULT_MODEL)), 1, MODEL_CHARS).alias("ml_model_version"),
@@ -228,22 +244,32 @@ def structure_result(responses: DataFrame, raw: str = "response") -> DataFrame:
     Keys may differ in case and language; of repeated keys the last counts. Rows without
     success keep their input, so that they can be queued again or set aside.
     """
-    clean = strip_abbrev_quotes(strip(F.col(raw)))
-    severe = truncation_class(clean) == "severe"
-    repaired = responses.withColumn("_json", F.when(~severe, repair_json(F.col(raw)))).withColumn("_severe", severe)
-    entries = F.transform(
-        F.map_entries(F.try_parse_json("_json").cast("map<string,variant>")),
-        lambda e: F.struct(canonical_key(e["key"]).alias("key"), e["value"].alias("value")),
-    )
-    fields = repaired.withColumn("_fields", F.when(json_kind(F.try_parse_json("_json")) == "OBJECT", entries))
+    severe = let(strip_abbrev_quotes(strip(F.col(raw))), truncation_class) == "severe"
+    repaired = responses.withColumn("_severe", F.coalesce(severe, F.lit(False)))
+
+    def named(value: Column) -> Column:
+        entries = F.map_entries(value.cast("map<string,variant>"))
+        present = F.filter(entries, lambda e: truthy(e["value"]))
+        return F.transform(
+            present, lambda e: F.struct(canonical_key(e["key"]).alias("key"), e["value"].alias("value"))
+        )
+
+    def object_fields(value: Column) -> Column:
+        return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), named(value))
+
+    parsed = F.try_parse_json(F.when(~F.col("_severe"), repair_json(F.col(raw))))
+    fields = repaired.withColumn("_fields", let(parsed, object_fields))
+
+    def last(name: str) -> Column:
+        return F.get(F.filter(F.reverse("_fields"), lambda e: e["key"] == name), 0)["value"]
 
-    def field(name: str) -> Column:
-        found = F.filter("_fields", lambda e: (e["key"] == name) & truthy(e["value"]))
-        return F.get(found, F.size(found) - 1)["value"]
+    names = ["summary", "sentiment", "customer_satisfaction", "products", "action_items", "unresolved_issues"]
+    fields = fields.withColumns({f"_{n}": last(n) for n in names})
+    field = lambda name: F.col(f"_{name}")
 
     summary = F.when(json_kind(field("summary")) == "STRING", field("summary").cast("string"))
     error = (
-        F.when(F.coalesce(F.col("_severe"), F.lit(False)), "severe_truncation")
+        F.when(F.col("_severe"), "severe_truncation")
         .when(F.col("_fields").isNull(), "invalid_json")
         .when(F.nullif(F.trim(summary), F.lit("")).isNull(), "missing_summary")
     )
@@ -262,4 +288,4 @@ def structure_result(responses: DataFrame, raw: str = "response") -> DataFrame:
             "unresolved_issues": F.coalesce(field("unresolved_issues").cast("string"), F.lit("")),
         }
     )
-    return structured.drop("_json", "_severe", "_fields")
+    return structured.drop("_severe", "_fields", *[f"_{n}" for n in names])
