@@ -88,7 +88,7 @@ class KeyedTable:
             return self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        return self._all().drop("bucket")
+        return self._all().filter(F.col(self.keys[0]).isNotNull()).drop("bucket")
 
     def upsert(self, new: DataFrame, touched: DataFrame | None = None) -> None:
         """`touched` names keys to clear as well, also where no new row replaces them."""
@@ -98,7 +98,10 @@ class KeyedTable:
         buckets = F.broadcast(cleared.select("bucket").distinct())
         old = self._all().join(buckets, "bucket", "left_semi")
         kept = old.join(cleared.select(*self.keys).distinct(), self.keys, "left_anti")
-        merged = materialize(kept.unionByName(placed, allowMissingColumns=True), "upsert")
+        # a row without key per bucket: one that loses its last row is overwritten as well
+        present = cleared.select("bucket").distinct()
+        rows = kept.filter(F.col(self.keys[0]).isNotNull()).unionByName(placed, allowMissingColumns=True)
+        merged = materialize(rows.unionByName(present, allowMissingColumns=True), "upsert")
         self._store(merged.select(*old.columns), "overwrite")
 
     def append_absent(self, new: DataFrame) -> None:
