@@ -144,16 +144,21 @@ def conversation_parts(db: Tables, rules: DataFrame, windows: list[float]) -> Da
 
 
 def product_parts(by_account: DataFrame, subscriber: DataFrame, rules: DataFrame) -> DataFrame:
-    """Sums per age class and account → per age class, and per age class and watched product."""
-    everything = by_account.groupBy("age").agg(*added()).withColumn("product", F.lit(None).cast("string"))
-    watched = rules.filter("filter_product is not null").select(F.col("filter_product").alias("product")).distinct()
+    """Sums per age class and account → per age class, and per age class and watched product.
+
+    An account lists the watched products it owns, at most as many as the rules name.
+    """
+    watched = rules.filter("filter_product is not null").select(F.col("filter_product").alias("product_code")).distinct()
     owners = (
-        subscriber.select(F.col("customer_ban").alias("ban"), F.col("product_code").alias("product"))
-        .distinct()
-        .join(watched, "product", "left_semi")
+        subscriber.select(F.col("customer_ban").alias("ban"), "product_code")
+        .join(watched, "product_code", "left_semi")
+        .groupBy("ban")
+        .agg(F.collect_set("product_code").alias("_owned"))
     )
-    per_product = by_account.join(owners, "ban").groupBy("age", "product").agg(*added())
-    return everything.unionByName(per_product)
+    everything = F.array(F.lit(None).cast("string"))
+    counted_for = F.concat(everything, F.coalesce("_owned", F.array().cast("array<string>")))
+    listed = by_account.join(owners, "ban", "left").withColumn("product", F.explode(counted_for))
+    return listed.groupBy("age", "product").agg(*added())
 
 
 def conversation_metrics(rules: DataFrame, parts: DataFrame) -> DataFrame:

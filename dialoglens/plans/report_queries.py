@@ -682,20 +682,18 @@ query(
     {RISKIEST.replace('cs.', 'b.')}, sub_status, product_code LIMIT 25 OFFSET 25""",
 )(lambda db: calls.high_risk_calls(db, offset=25))
 
-# lookups are asked for every customer or call that an error was logged for
+# lookups are asked for every call
 query(
     "L16_call_details",
-    f"""WITH ids AS (SELECT DISTINCT call_id AS id FROM errors)
-    SELECT source_id AS call_id, source_type AS type, strftime(conversation_time, {SEC}) AS created, summary, sentiment,
+    f"""SELECT source_id AS call_id, source_type AS type, strftime(conversation_time, {SEC}) AS created, summary, sentiment,
       satisfaction, round(churn_score, 1) AS churn_score, products, action_items, unresolved_issues, ban, cs.subscriber_no,
       sub_status, product_code, coalesce((SELECT string_agg(DISTINCT category_code, ',' ORDER BY category_code) FROM cat
         WHERE cat.source_id = cs.source_id), '') AS categories, q.queue_name
-    FROM cs JOIN ids ON id = source_id
-    LEFT JOIN sub ON rtrim(sub.subscriber_no) = cs.subscriber_no AND customer_ban = ban
+    FROM cs LEFT JOIN sub ON rtrim(sub.subscriber_no) = cs.subscriber_no AND customer_ban = ban
     LEFT JOIN (SELECT call_id, queue_name FROM seg QUALIFY row_number() OVER
       (PARTITION BY call_id ORDER BY call_time, seq, owner) = 1) q ON q.call_id = source_id""",
 )(
-    lambda db: calls.call_details(db, db.error_log.select(F.col("call_id").alias("source_id"))).withColumn(
+    lambda db: calls.call_details(db, db.conversation_summary.select("source_id")).withColumn(
         "categories", F.array_join("categories", ",")
     )
 )
@@ -704,9 +702,8 @@ query(
     f"""SELECT call_id, owner AS speaker, strftime(call_time, {SEC}) AS timestamp, seq, text,
       CASE owner WHEN 'A' THEN 'Agent' WHEN 'C' THEN 'Customer' ELSE owner END AS speaker_label,
       CASE owner WHEN 'A' THEN 'agent' WHEN 'C' THEN 'customer' ELSE 'other' END AS speaker_class,
-      count(*) OVER (PARTITION BY call_id) AS message_count
-      FROM seg WHERE call_id IN (SELECT call_id FROM errors)""",
-)(lambda db: calls.call_conversation(db, db.error_log.select(F.col("call_id").alias("source_id"))))
+      count(*) OVER (PARTITION BY call_id) AS message_count FROM seg""",
+)(lambda db: calls.call_conversation(db, db.conversation_summary.select("source_id")))
 CUSTOMERS = "SELECT DISTINCT subscriber_no, ban FROM cs"
 STATUS = f"""SELECT k.subscriber_no, k.ban, coalesce(sub_status, 'UNKNOWN') AS status,
     coalesce(sub_status = 'A', false) AS is_active, product_code FROM ({CUSTOMERS}) k
@@ -760,7 +757,7 @@ query(
 )(lambda db: customers.lookup_recent_calls(db, db.subscriber.select(F.col("subscriber_no").alias("value"))))
 query(
     "L20_customer_lookup_call",
-    f"""WITH v AS (SELECT call_id AS value FROM errors UNION SELECT 'none-' || call_id FROM errors)
+    f"""WITH v AS (SELECT source_id AS value FROM cs UNION SELECT 'none-' || source_id FROM cs)
     SELECT value, cs.source_id IS NOT NULL AS found, cs.subscriber_no, ban, coalesce(sub_status, 'Unknown') AS status,
       product_code, if(cs.source_id IS NULL, 0, (SELECT count(*) FROM cs c WHERE c.subscriber_no = cs.subscriber_no
         AND c.ban = cs.ban)) AS total_interactions
@@ -769,8 +766,8 @@ query(
 )(
     lambda db: customers.customer_lookup(
         db,
-        db.error_log.select(F.col("call_id").alias("value")).union(
-            db.error_log.select(F.concat(F.lit("none-"), "call_id"))
+        db.conversation_summary.select(F.col("source_id").alias("value")).union(
+            db.conversation_summary.select(F.concat(F.lit("none-"), "source_id"))
         ),
         "source_id",
     )
