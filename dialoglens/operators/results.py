@@ -32,63 +32,30 @@ DEFAULT_MODEL = "dictalm-2.0"
 SUMMARY_CHARS, CLASS_CHARS, LIST_CHARS, CATEGORY_CHARS, MODEL_CHARS = 4000, 100, 500, 255, 50
 
 
-# fields a result message may have, each read once per message
-FIELDS = [
-    "callId", "sourceId", "ban", "customerId", "subscriberNo", "subscriber_no", "callTime", "call_time", "summary",
-    "summary.text", "sentiment", "sentiment.overall", "classification", "classification.primary", "classification.all",
-    "classifications", "confidence", "churn_confidence", "products", "action_items", "unresolved_issues",
-    "customer_satisfaction", "processingTime", "modelVersion",
-]
+def _text(name: str) -> Column:
+    return F.col(f"result.{name}")
 
 
-def _name(path: str) -> str:
-    return "_" + path.replace(".", "_of_")
-
-
-def _read_fields(parsed: DataFrame) -> DataFrame:
-    kept = [c for c in parsed.columns if c not in ("result", "body", "verdict")]
-    fields = [F.try_variant_get("result", f"$.{f}", "variant").alias(_name(f)) for f in FIELDS]
-    return parsed.select(*kept, *fields)
-
-
-def _variant(path: str) -> Column:
-    return F.col(_name(path))
-
-
-def _text(path: str) -> Column:
-    return _variant(path).cast("string")
-
-
-def _given(path: str) -> Column:
+def _given(name: str) -> Column:
     """Text of a field, NULL where it is absent or empty."""
-    return F.col(f"{_name(path)}_given")
-
-
-def _kind(path: str) -> Column:
-    return F.col(f"{_name(path)}_kind")
+    text = _text(name)
+    return F.when(~text.isin("", "[]", "{}", "false"), text)
 
 
-# fields looked at for emptiness, and for being text, list or object
-GIVEN = [
-    "ban", "customerId", "subscriberNo", "subscriber_no", "callTime", "call_time", "summary", "sentiment",
-    "classification", "classification.primary", "classification.all", "classifications",
-]
-KINDS = ["summary", "sentiment", "classification.all", "classifications"]
+def _inside(name: str, inner: str) -> Column:
+    """Non-empty field of a field that is an object, else NULL."""
+    value = F.get_json_object(_text(name), f"$.{inner}")
+    return F.when(_is_object(name) & ~value.isin("", "[]", "{}"), value)
 
 
-def _judge_fields(fields: DataFrame) -> DataFrame:
-    given = {f"{_name(f)}_given": F.when(truthy(_variant(f)), _text(f)) for f in GIVEN}
-    return fields.withColumns({**given, **{f"{_name(f)}_kind": json_kind(_variant(f)) for f in KINDS}})
+def _is_object(name: str) -> Column:
+    return F.coalesce(F.startswith(_text(name), F.lit("{")), F.lit(False))
 
 
-def _texts(value: Column) -> Column:
-    return F.transform(value.cast("array<variant>"), lambda v: v.cast("string"))
-
-
-def _list(path: str) -> Column:
-    """Entries of a field that is a list with any, else NULL."""
-    filled = (_kind(path) == "ARRAY") & _given(path).isNotNull()
-    return F.when(filled, _texts(_variant(path)))
+def _entries(text: Column) -> Column:
+    """Entries of a text that is a JSON list with any, else NULL."""
+    items = F.from_json(F.when(F.startswith(text, F.lit("[")), text), "array<string>")
+    return let(items, lambda found: F.when(F.size(found) > 0, found))
 
 
 def distinct_categories(labels: Column) -> Column:
@@ -98,41 +65,51 @@ def distinct_categories(labels: Column) -> Column:
 
 def primary_category() -> Column:
     label = F.coalesce(
-        _given("classification.primary"), F.get(_list("classifications"), 0), _given("classification"), F.lit(NO_CATEGORY)
+        _inside("classification", "primary"),
+        F.get(_entries(_given("classifications")), 0),
+        _given("classification"),
+        F.lit(NO_CATEGORY),
     )
     return F.substring(label, 1, CLASS_CHARS)
 
 
 def all_categories_text() -> Column:
-    own = F.coalesce(F.array_join(_list("classification.all"), ", "), _given("classification.all"))
-    listed = F.when(_given("classification.primary").isNotNull(), own).otherwise(
-        F.array_join(_list("classifications"), ", ")
+    own, many = _inside("classification", "all"), _given("classifications")
+    listed = F.when(_inside("classification", "primary").isNotNull(), F.coalesce(F.array_join(_entries(own), ", "), own))
+    return F.coalesce(
+        F.when(_inside("classification", "primary").isNull(), F.array_join(_entries(many), ", ")).otherwise(listed), F.lit("")
     )
-    return F.coalesce(listed, F.lit(""))
 
 
-def category_labels(primary: Column) -> Column:
+def category_labels() -> Column:
     """Labels for the category table: the list, else the detailed list, else the main label."""
-    single = F.when(_kind("classifications") == "STRING", F.array(_given("classifications")))
-    labels = F.coalesce(_list("classifications"), single, _list("classification.all"), F.array(primary))
+    many = _given("classifications")
+    labels = F.coalesce(
+        _entries(many),
+        F.when(~F.startswith(many, F.lit("[")), F.array(many)),
+        _entries(_inside("classification", "all")),
+        F.array(primary_category()),
+    )
     return F.transform(distinct_categories(labels), lambda c: F.substring(c, 1, CATEGORY_CHARS))
 
 
 def summary_text() -> Column:
-    inner = F.when(_kind("summary") == "OBJECT", _text("summary.text")).otherwise(_given("summary"))
+    inner = F.when(_is_object("summary"), F.get_json_object(_text("summary"), "$.text")).otherwise(_given("summary"))
     return F.substring(F.coalesce(inner, F.lit("")), 1, SUMMARY_CHARS)
 
 
 def sentiment_score() -> Column:
+    """Words and numbers as 1–5; an absent, empty or zero value is neutral."""
+    plain = F.nullif(_given("sentiment"), F.lit("0"))
     return sentiment_to_int(
-        F.when(_kind("sentiment") == "OBJECT", _text("sentiment.overall")).otherwise(_given("sentiment"))
+        F.when(_is_object("sentiment"), F.get_json_object(_text("sentiment"), "$.overall")).otherwise(plain)
     )
 
 
 def normalize_results(parsed: DataFrame) -> DataFrame:
     """Good result messages as typed columns, one row per message."""
     either = lambda a, b: F.coalesce(_given(a), _given(b))
-    rows = _judge_fields(_read_fields(parsed.filter("verdict = 'ok'")))
+    rows = parsed.filter("verdict = 'ok'")
     return rows.select(
         F.coalesce(_text("callId"), F.lit("UNKNOWN")).alias("call_id"),
         F.coalesce(_text("sourceId"), F.lit("CALL")).alias("source_type"),
@@ -143,7 +120,7 @@ def normalize_results(parsed: DataFrame) -> DataFrame:
         sentiment_score().alias("sentiment"),
         primary_category().alias("classification_primary"),
         all_categories_text().alias("classification_all"),
-        category_labels(primary_category()).alias("categories"),
+        category_labels().alias("categories"),
         F.coalesce(_text("confidence").try_cast("double"), F.lit(0.0)).alias("confidence_score"),
         F.coalesce(_text("processingTime").try_cast("bigint"), F.lit(0)).alias("ml_processing_time_ms"),
         F.substring(F.coalesce(_text("modelVersion"), F.lit(DEFAULT_MODEL)), 1, MODEL_CHARS).alias("ml_model_version"),

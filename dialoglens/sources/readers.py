@@ -180,19 +180,30 @@ def check_tables(db: Tables, required: list[str]) -> DataFrame:
 # ---- messages --------------------------------------------------------------------------------------
 
 
+# fields of a result message; each may be text, number, list or object, and is kept as its text
+RESULT_FIELDS = [
+    "type", "callId", "sourceId", "ban", "customerId", "subscriberNo", "subscriber_no", "callTime", "call_time", "summary",
+    "sentiment", "classification", "classifications", "confidence", "churn_confidence", "products", "action_items",
+    "unresolved_issues", "customer_satisfaction", "processingTime", "modelVersion",
+]
+_BROKEN = "_broken"
+
+
 def read_results(messages: DataFrame, body: str = "body") -> DataFrame:
-    """Result messages as variants with a verdict: `ok`, `bad_json` or `other_type`.
+    """Result messages with their fields as texts and a verdict: `ok`, `bad_json` or `other_type`.
 
     The one-element array keeps later filters above it, so that a body is parsed once.
     """
+    schema = ", ".join(f"`{name}` string" for name in [*RESULT_FIELDS, _BROKEN])
+    parsed = F.from_json(body, schema, {"columnNameOfCorruptRecord": _BROKEN})
 
     def judged(value: Column) -> Column:
-        kind = F.coalesce(F.try_variant_get(value, "$.type", "string"), F.lit(""))
-        verdict = F.when(value.isNull(), "bad_json").when(kind != RESULT_MESSAGE, "other_type").otherwise("ok")
+        broken = value.isNull() | value[_BROKEN].isNotNull()
+        other = F.coalesce(value["type"], F.lit("")) != RESULT_MESSAGE
+        verdict = F.when(broken, "bad_json").when(other, "other_type").otherwise("ok")
         return F.struct(value.alias("result"), verdict.alias("verdict"))
 
-    parsed = F.transform(F.array(F.try_parse_json(body)), judged)
-    return messages.select("*", F.inline(parsed))
+    return messages.select("*", F.inline(F.transform(F.array(parsed), judged)))
 
 
 def result_errors(parsed: DataFrame) -> DataFrame:

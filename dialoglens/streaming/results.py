@@ -35,11 +35,11 @@ def store_results(messages: DataFrame, segments: DataFrame, store: ResultStore,
     """One micro-batch into all tables. Repeating it gives the same tables."""
     parsed = readers.read_results(messages)
     sent = parsed.filter("verdict = 'ok'").select(
-        F.try_variant_get("result", "$.callId", "string").alias("call_id"), "sent_at"
+        F.col("result.callId").alias("call_id"), "sent_at"
     )
     newest = sent.groupBy("call_id").agg(F.max("sent_at").alias("sent_at"))
     # of several results for a call the newest counts, and of equal messages one
-    current = parsed.withColumn("call_id", F.try_variant_get("result", "$.callId", "string")).join(
+    current = parsed.withColumn("call_id", F.col("result.callId")).join(
         newest, ["call_id", "sent_at"], "left_semi"
     )
     rows = materialize(results.normalize_results(current).dropDuplicates(["source_type", "call_id"]), "results")
