@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from dialoglens.functions.timing import clock
 from dialoglens.operators import alerts, evaluation, workflow
-from dialoglens.operators.joins import alert_history_join
 from dialoglens.plans.registry import query, recent
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
