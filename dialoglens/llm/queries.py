@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoglens.llm import chat, rans, shards, warc
+from dialoglens.llm import chat, jaccard, rans, shards, warc
 from dialoglens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ FROM k
 """)
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op9_token_group_join")
+def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"))

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dialoglens.llm.files import read_whole, write_whole
+from dialoglens.llm.shingles import text_slices
 from dialoglens.session import fresh_path, materialize
 
 MAGIC = b"RANSTOK1"
@@ -90,17 +91,6 @@ def encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
-def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about `most` bytes of text; a longer text is a run of its own."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    begin = 0
-    while begin < len(texts):
-        done = sizes[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(sizes, done + most, side="right")))
-        yield begin, end
-        begin = end
-
-
 # ---- codec ---------------------------------------------------------------------------------------------------------
 
 def shared_table(counts: np.ndarray) -> tuple[int, np.ndarray]:
@@ -245,7 +235,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for begin, end in slices(texts, TEXT_SLICE):
+            for begin, end in text_slices(texts, TEXT_SLICE):
                 tokens, lengths = coder.encode(texts[begin:end], end_id)
                 some = ids[begin:end]
                 held.append((pc.fill_null(some, 0).to_numpy(zero_copy_only=False), pc.is_valid(some).to_numpy(zero_copy_only=False), lengths, tokens))
