@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoglens.llm import chat, jaccard, rans, shards, warc
+from dialoglens.llm import chat, decontam, jaccard, rans, shards, warc
 from dialoglens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,27 @@ def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_group_join")
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_spaced_seeds", check=r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+mask(m, offs) AS (VALUES (0, [0, 1, 3, 4, 6, 7]), (1, [0, 1, 2, 4, 7, 8]), (2, [0, 1, 3, 6, 7, 8])),
+dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d),
+bp AS (SELECT item_id, w, unnest(range(len(w))) AS p FROM b),
+ds AS (SELECT doc_id, p, m, [w[p + o + 1] for o in offs] AS s FROM dp, mask WHERE p + offs[6] < len(w)),
+bs AS (SELECT item_id, p, m, [w[p + o + 1] for o in offs] AS s FROM bp, mask WHERE p + offs[6] < len(w)),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS g FROM ds JOIN bs USING (m, s)),
+cmp AS (
+  SELECT h.doc_id, h.item_id, h.g, bp.p, len(bp.w) AS n, CAST(bp.w[bp.p + 1] = d.w[bp.p + h.g + 1] AS INT) AS e
+  FROM hits h JOIN d USING (doc_id) JOIN bp USING (item_id) WHERE bp.p + h.g >= 0 AND bp.p + h.g < len(d.w)),
+dense AS (
+  SELECT *, sum(e) OVER (PARTITION BY doc_id, item_id, g ORDER BY p RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM cmp),
+each AS (
+  SELECT doc_id, item_id, n, p, min(g) AS low, max(g) AS high FROM dense WHERE e = 1 AND near >= 3 GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS n_matched, CAST(n AS BIGINT) AS item_words,
+  CAST(min(p + low) AS BIGINT) AS first_word, CAST(max(p + high) AS BIGINT) AS last_word
+FROM each GROUP BY doc_id, item_id, n HAVING count(*) >= 12 OR count(*) >= ceil(n * 0.8)
+""")
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
