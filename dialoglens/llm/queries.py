@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoglens.llm import chat, decontam, jaccard, rans, shards, warc
+from dialoglens.llm import chat, decontam, jaccard, pii, quality, rans, shards, warc
 from dialoglens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,13 @@ FROM each GROUP BY doc_id, item_id, n HAVING count(*) >= 12 OR count(*) >= ceil(
 """)
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_feistel_pseudonyms")
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_pseudonyms(table(spark, sf_dir, "documents")).select("doc_id", "text")
