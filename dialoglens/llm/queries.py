@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoglens.llm import chat, decontam, jaccard, pii, quality, rans, shards, warc
+from dialoglens.llm import chat, covertree, decontam, jaccard, pieces, pii, quality, rans, shards, warc
 from dialoglens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_feistel_pseudonyms")
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_pseudonyms(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", "ids_crc32", "parity", "round_trip", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+
+
+@query("op5_cover_tree")
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
