@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoglens.llm.graph import counted_small
+from dialoglens.llm.graph import counted_small, row_key
 from dialoglens.session import materialize
 
 #: 1: the token counts, 0: it is passed over.
@@ -32,11 +32,6 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def row_key() -> Column:
-    """What tells a row of documents from others, also without an id."""
-    return F.xxhash64("doc_id", "text")
-
-
 def seeds_of(hashes: Column, n: Column, mask: str, number: int) -> Column:
     """Hash of the tokens that `mask` looks at, at each place where the mask fits."""
     offsets = [k for k, bit in enumerate(mask) if bit == "1"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.session import materialize
 
@@ -14,6 +14,11 @@ def counted_small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def row_key() -> Column:
+    """What tells a row of documents from others, also without an id; equal rows share it."""
+    return F.xxhash64("doc_id", "text")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `component`, its smallest reachable node, for all nodes of the edges (a, b).
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from dialoglens.llm.graph import components, counted_small
 from dialoglens.llm.shingles import mixed, odd_numbers, shingle_sets, text_slices
@@ -245,3 +245,15 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     found = placed.join(counted_small(alike.withColumnRenamed("node", "id")), "id", "left")
     rest = sketched.filter("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")).unionByName(rest)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The document with the smallest doc_id of each component, once, with all its columns."""
+    dropped = similarity_classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(counted_small(materialize(dropped, "dropped")), "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("_rows")).filter("_rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    once = kept.join(counted_small(again), "doc_id", "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1")
+    return kept.join(counted_small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dialoglens.llm.graph import counted_small, row_key
 from dialoglens.llm.shingles import text_bytes, text_slices, word_hashes
 from dialoglens.session import materialize
 
@@ -79,17 +80,18 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and `x`, its statistics; stored, so that texts are read once."""
+    """doc_id, row key and `x`, the statistics; stored, so that texts are read once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end in text_slices(batch.column(1)):
                 rows = statistics(batch.column(1)[begin:end])
                 offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1)))], names=["doc_id", "x"])
+                x = pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], batch.column(2)[begin:end], x], names=["doc_id", "row", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, x array<double>")
-    return materialize(rows, "statistics")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    return materialize(rows.mapInArrow(make, "doc_id long, row long, x array<double>"), "statistics")
 
 
 # ---- model ---------------------------------------------------------------------------------------------------------
@@ -186,18 +188,27 @@ def train(statistics: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(statistics: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def scores(statistics: DataFrame, model: Model) -> DataFrame:
+    """doc_id, row key and score of every document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(rows_of(batch, "x")))], names=["doc_id", "score"])
+            found = pa.array(model.score(rows_of(batch, "x")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), found], names=["doc_id", "row", "score"])
+
+    return statistics.mapInArrow(score, "doc_id long, row long, score double")
+
 
-    return statistics.mapInArrow(score, "doc_id long, score double").select(
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    rows = document_statistics(docs)
+    return scores(rows, train(rows, labels)).select(
         "doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score of `threshold` and more, with all their columns."""
     rows = document_statistics(docs)
-    return scored(rows, train(rows, labels))
+    low = materialize(scores(rows, train(rows, labels)).filter(F.col("score") < threshold).select(F.col("row").alias("_row")).distinct(), "rejected")
+    return docs.join(counted_small(low), row_key() == F.col("_row"), "left_anti")
