@@ -203,8 +203,15 @@ def _plain_item(item: Column) -> Column:
     return F.when(truthy(item) & (F.lower(text) != "none"), F.nullif(strip(text), F.lit("")))
 
 
-def cut_at_item(text: Column, max_length: int) -> Column:
-    """At most `max_length` characters, cut after the last whole item if half or more remains."""
+def preview(name: str, chars: int | None) -> Column:
+    """The first characters of a column under its name; None shows all."""
+    return (F.col(name) if chars is None else F.substring(name, 1, chars)).alias(name)
+
+
+def cut_at_item(text: Column, max_length: int | None) -> Column:
+    """At most `max_length` characters, cut after the last whole item if half or more remains; None cuts nothing."""
+    if max_length is None:
+        return text
 
     def cut(head: Column) -> Column:
         tail_after_comma = F.instr(F.reverse(head), ",")
@@ -217,8 +224,9 @@ def cut_at_item(text: Column, max_length: int) -> Column:
     )
 
 
-def action_items_text(text: Column, max_length: int = 500) -> Column:
+def action_items_text(text: Column, max_length: int | None = None) -> Column:
     """Only the wording of the action items, without their dates, owners and states."""
+    head = lambda plain: plain if max_length is None else F.substring(plain, 1, max_length)
     wording = lambda item: F.when(json_kind(item) == "OBJECT", _field_text(item)).otherwise(_plain_item(item))
 
     def listed(value: Column) -> Column:
@@ -234,7 +242,7 @@ def action_items_text(text: Column, max_length: int = 500) -> Column:
                 max_length,
             ),
         )
-        .when(j["kind"].isNull(), strip(F.substring(unstructured(j["text"]), 1, max_length)))
+        .when(j["kind"].isNull(), strip(head(unstructured(j["text"]))))
         .otherwise(""),
     )
 

@@ -41,21 +41,40 @@ def bound(df: DataFrame, time_col: str, limit: Column) -> Column:
     return limit.cast("timestamp_ntz") if untimed else limit
 
 
+MONTHS_OF = "months_of"
+
+
+def with_month_layout(df: DataFrame, time_col: str, month_col: str = "month") -> DataFrame:
+    """Mark `month_col` as the month folder of `time_col`, so that time filters prune folders."""
+    return df.withMetadata(month_col, {MONTHS_OF: time_col})
+
+
+def _months(df: DataFrame, time_col: str, first: Column | None, last: Column | None = None) -> DataFrame:
+    """Leave only the month folders from `first` to `last`, where the table has folders of this time."""
+    for field in df.schema.fields:
+        if field.metadata.get(MONTHS_OF) == time_col:
+            month = lambda limit: F.date_trunc("month", limit).cast("date")
+            df = df if first is None else df.filter(F.col(field.name) >= month(first))
+            df = df if last is None else df.filter(F.col(field.name) <= month(last))
+    return df
+
+
 def since(df: DataFrame, time_col: str, days: float, as_of) -> DataFrame:
-    """Rows younger than `days`. The bare column keeps the predicate pushable."""
-    return df.filter(F.col(time_col) > bound(df, time_col, ago(as_of, days)))
+    """Rows younger than `days`. The bare column keeps the predicate pushable; old month folders aren't opened."""
+    limit = ago(as_of, days)
+    return _months(df, time_col, limit).filter(F.col(time_col) > bound(df, time_col, limit))
 
 
 def between_periods(df: DataFrame, time_col: str, current_days: float, compare_days: float, as_of) -> DataFrame:
     """The period before the current one, both ends included."""
     first, last = ago(as_of, current_days + compare_days), ago(as_of, current_days)
-    return df.filter(F.col(time_col).between(bound(df, time_col, first), bound(df, time_col, last)))
+    return _months(df, time_col, first, last).filter(F.col(time_col).between(bound(df, time_col, first), bound(df, time_col, last)))
 
 
 def day_slice(df: DataFrame, time_col: str, start, days: float = 1) -> DataFrame:
     """`[start, start + days)`."""
     begin, end = clock(start), clock(start) + interval_days(days)
-    return df.filter(
+    return _months(df, time_col, begin, end).filter(
         (F.col(time_col) >= bound(df, time_col, begin)) & (F.col(time_col) < bound(df, time_col, end))
     )
 

@@ -252,46 +252,37 @@ _COUNTED = {
 }
 
 
-def affected_by_rule(db: Tables, rules: DataFrame, limit: int = AFFECTED_LIMIT) -> DataFrame:
-    """The leading conversations behind each count rule, with subscriber status.
-
-    Order: score for churn, newest for sentiment, lowest rating for satisfaction. Each row
-    lists the rules it counts for; only `limit` rows per rule leave a task.
-    """
-    asked = config_rows(
-        rules.filter(F.col("metric_name").isin(list(_COUNTED))).select(
-            "alert_id", "metric_name", "time_window_hours", "filter_product"
-        ),
-        MAX_RULES,
+def matching_rows(db: Tables, rules: DataFrame) -> DataFrame:
+    """Conversations behind each count rule: each row meets the rules of the metrics that it counts for."""
+    asked = rules.filter(F.col("metric_name").isin(list(_COUNTED))).select(
+        "alert_id", "metric_name", "time_window_hours", F.col("filter_product").alias("product")
     )
     cs = db.conversation_summary
-    if not asked:
-        asked_rows = F.array().cast("array<struct<alert_id:string,metric_name:string,product:string>>")
-        longest = 0.0
-    else:
-        longest = max(r.time_window_hours for r in asked)
-        asked_rows = F.filter(
-            F.array(
-                *[
-                    F.when(
-                        _COUNTED[r.metric_name]()
-                        & (F.col("conversation_time") > bound(cs, "conversation_time", ago(db.as_of, r.time_window_hours / 24))),
-                        F.struct(
-                            F.lit(r.alert_id).alias("alert_id"),
-                            F.lit(r.metric_name).alias("metric_name"),
-                            F.lit(r.filter_product).cast("string").alias("product"),
-                        ),
-                    )
-                    for r in asked
-                ]
-            ),
-            lambda rule: rule.isNotNull(),
-        )
-    rows = since(cs, "conversation_time", longest / 24, db.as_of).withColumn("rule", F.explode(asked_rows)).select("*", "rule.*")
+    longest = asked.agg(F.max("time_window_hours")).first()[0] or 0.0
+    metrics = F.filter(
+        F.array(*[F.when(counted(), F.lit(name)) for name, counted in _COUNTED.items()]), lambda name: name.isNotNull()
+    )
+    recent = since(cs, "conversation_time", longest / 24, db.as_of).withColumn("metric_name", F.explode(metrics))
+    age = F.col("time_window_hours") * F.lit(3600)
+    inside = F.unix_micros(F.col("conversation_time").cast("timestamp")) > F.unix_micros(clock(db.as_of)) - age * 1_000_000
+    rows = recent.join(asked, "metric_name").filter(inside)
     owners = db.subscriber.select(F.col("customer_ban").alias("ban"), F.col("product_code").alias("product")).distinct()
-    matching = rows.filter("product is null").unionByName(
+    return rows.filter("product is null").unionByName(
         rows.filter("product is not null").join(owners, ["ban", "product"], "left_semi").select(*rows.columns)
     )
+
+
+def affected_counts(db: Tables, rules: DataFrame) -> DataFrame:
+    """How many rows the whole list of each count rule has."""
+    return with_subscriber(matching_rows(db, rules), db.subscriber).groupBy("alert_id").agg(F.count(F.lit(1)).alias("affected"))
+
+
+def affected_by_rule(db: Tables, rules: DataFrame, limit: int = AFFECTED_LIMIT) -> DataFrame:
+    """The leading conversations behind each count rule, with subscriber status.
+
+    Order: score for churn, newest for sentiment, lowest rating for satisfaction. Only `limit` rows per rule leave a task.
+    """
+    matching = matching_rows(db, rules)
     order = [
         F.desc_nulls_last(F.when(F.col("metric_name").isin("high_risk_count", "critical_risk_count"), F.col("churn_score"))),
         F.asc_nulls_last(F.when(F.col("metric_name") == "low_satisfaction_count", F.col("satisfaction"))),
@@ -321,8 +312,8 @@ def affected_by_rule(db: Tables, rules: DataFrame, limit: int = AFFECTED_LIMIT)
     )
 
 
-def alert_history_rows(db: Tables, evaluated: DataFrame, affected: DataFrame) -> DataFrame:
-    """New history rows for created alerts; a list holds at most 100 subscribers."""
+def alert_history_rows(db: Tables, evaluated: DataFrame, affected: DataFrame, counts: DataFrame) -> DataFrame:
+    """New history rows for created alerts: the leading subscribers and how many there are in all."""
     lists = affected.groupBy("alert_id").agg(
         F.sort_array(
             F.collect_list(
@@ -330,7 +321,7 @@ def alert_history_rows(db: Tables, evaluated: DataFrame, affected: DataFrame) ->
             )
         ).alias("_rows")
     )
-    created = evaluated.filter("created").join(lists, "alert_id", "left")
+    created = evaluated.filter("created").join(lists, "alert_id", "left").join(counts, "alert_id", "left")
     shape = "array<struct<subscriber_no:string,ban:string,churn_score:double,call_time:timestamp,product_code:string,sub_status:string>>"
     people = F.transform("_rows", lambda r: r.dropFields("position")).cast(shape)
     return created.select(
@@ -342,7 +333,7 @@ def alert_history_rows(db: Tables, evaluated: DataFrame, affected: DataFrame) ->
         "severity",
         F.lit("ACTIVE").alias("status"),
         F.coalesce(people, F.array().cast(shape)).alias("affected_subscribers"),
-        F.when(F.col("_rows").isNull(), 0).otherwise(F.size("_rows")).alias("affected_count"),
+        F.coalesce("affected", F.lit(0)).cast("int").alias("affected_count"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoglens.functions.text import pad_free
+from dialoglens.functions.text import pad_free, preview
 from dialoglens.functions.timing import MINUTE, SECOND, fmt_ts, since
 from dialoglens.operators.categories import top_n
 from dialoglens.operators.filters import (
@@ -57,18 +57,19 @@ def order_by_severity(df: DataFrame) -> DataFrame:
 
 
 def recent_conversations(
-    db: Tables, days: float = 7, limit: int = 50, call_type: str = "service", time_col: str = "conversation_time"
+    db: Tables, days: float = 7, limit: int = 50, call_type: str = "service", time_col: str = "conversation_time",
+    summary_chars: int = 150,
 ) -> DataFrame:
     latest = top_n(conversations(db, days, call_type, time_col), limit, *_newest(time_col))
-    return latest.select(*call_columns(False, 150))
+    return latest.select(*call_columns(False, summary_chars))
 
 
-def recent_errors(db: Tables, days: float = 7, limit: int = 100) -> DataFrame:
+def recent_errors(db: Tables, days: float = 7, limit: int = 100, message_chars: int | None = 200) -> DataFrame:
     errors = since(db.error_log, "error_timestamp", days, db.as_of)
     latest = top_n(errors, limit, F.desc_nulls_last("error_timestamp"), F.asc("error_id"))
     return latest.select(
         "error_type",
-        F.substring("error_message", 1, 200).alias("error_message"),
+        preview("error_message", message_chars),
         "call_id",
         fmt_ts(F.col("error_timestamp"), SECOND).alias("timestamp"),
     )
@@ -135,6 +136,7 @@ def high_risk_calls(
     offset: int = 0,
     limit: int = 25,
     call_type: str = "service",
+    summary_chars: int | None = 100,
 ) -> DataFrame:
     """One page of risky calls with subscriber status.
 
@@ -156,7 +158,7 @@ def high_risk_calls(
         "churn_score",
         pad_free(F.col("subscriber_no")).alias("subscriber_no"),
         "ban",
-        F.substring("summary", 1, 100).alias("summary"),
+        preview("summary", summary_chars),
         "sub_status",
         "product_code",
         total.alias("total"),

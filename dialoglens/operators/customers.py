@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dialoglens.functions.text import pad_free
+from dialoglens.functions.text import pad_free, preview
 from dialoglens.functions.timing import MINUTE, SECOND, fmt_ts, since
 from dialoglens.operators.joins import TRANSCRIPT_DAYS, attach_categories, subscriber_keys
 from dialoglens.tables import Tables
@@ -47,7 +47,7 @@ def avg_churn(calls: DataFrame, *keys: str) -> DataFrame:
     return calls.groupBy(*keys).agg(F.round(F.avg(F.round("churn_score", 1)), 1).alias("avg_churn_score"))
 
 
-def journey_timeline(db: Tables, customers: DataFrame, limit: int = JOURNEY_CALLS) -> DataFrame:
+def journey_timeline(db: Tables, customers: DataFrame, limit: int = JOURNEY_CALLS, summary_chars: int | None = 200) -> DataFrame:
     """The last interactions of each customer of the last year, newest first."""
     wanted = _canonical(customers)
     latest = _latest(_known(db, wanted), limit, "subscriber_no", "ban")
@@ -63,7 +63,7 @@ def journey_timeline(db: Tables, customers: DataFrame, limit: int = JOURNEY_CALL
         "sentiment",
         F.round("churn_score", 1).alias("churn_score"),
         "satisfaction",
-        F.substring("summary", 1, 200).alias("summary"),
+        preview("summary", summary_chars),
         "products",
         "categories",
     )
@@ -148,7 +148,9 @@ def customer_lookup(db: Tables, values: DataFrame, by: str = "phone") -> DataFra
     )
 
 
-def lookup_recent_calls(db: Tables, values: DataFrame, by: str = "phone", limit: int = LOOKUP_CALLS) -> DataFrame:
+def lookup_recent_calls(
+    db: Tables, values: DataFrame, by: str = "phone", limit: int = LOOKUP_CALLS, summary_chars: int | None = 80
+) -> DataFrame:
     """The newest calls of each searched customer."""
     latest = _latest(_matching_calls(db, resolve_customers(db, values, by)), limit, "value")
     return latest.select(
@@ -160,5 +162,5 @@ def lookup_recent_calls(db: Tables, values: DataFrame, by: str = "phone", limit:
         "sentiment",
         F.round("churn_score", 1).alias("churn_score"),
         "satisfaction",
-        F.substring("summary", 1, 80).alias("summary"),
+        preview("summary", summary_chars),
     )

@@ -16,11 +16,16 @@ LOOKUP_DAYS = 90
 # ---- ledger ------------------------------------------------------------------------------
 
 
+def handled_calls(processed: DataFrame, source_type: str) -> DataFrame:
+    """Ids that the ledger holds for a feed: a chat may have the id of a call."""
+    return processed.filter((F.col("source_type") == source_type) & F.col("call_id").isNotNull()).select("call_id").distinct()
+
+
 def unprocessed(
-    segments: DataFrame, processed: DataFrame, lookback_days: float, ledger_days: float, as_of
+    segments: DataFrame, processed: DataFrame, lookback_days: float, ledger_days: float, as_of, source_type: str = "CALL"
 ) -> DataFrame:
-    """Recent segments of calls the ledger does not hold. Ledger rows beyond the window do not count."""
-    done = since(processed, "text_time", ledger_days, as_of).filter("call_id is not null").select("call_id").distinct()
+    """Recent segments of calls the ledger does not hold for their feed. Ledger rows beyond the window do not count."""
+    done = handled_calls(since(processed, "text_time", ledger_days, as_of), source_type)
     return since(segments, "call_time", lookback_days, as_of).join(done, "call_id", "left_anti")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.functions.numbers import churn_score_100
@@ -25,11 +29,28 @@ from dialoglens.functions.text import (
 from dialoglens.functions.timing import clock, parse_iso
 from dialoglens.operators.joins import lookup_customer
 
-# fixed values: defaults and column widths of the stored results
+# fixed values: defaults of the stored results
 NO_CATEGORY = "unknown"
 DEFAULT_CATEGORY = "בירור כללי"
 DEFAULT_MODEL = "dictalm-2.0"
-SUMMARY_CHARS, CLASS_CHARS, LIST_CHARS, CATEGORY_CHARS, MODEL_CHARS = 4000, 100, 500, 255, 50
+
+
+@dataclass(frozen=True)
+class Widths:
+    """Most characters of stored texts, for a target with narrow columns; None keeps texts whole."""
+
+    summary: int | None = None
+    label: int | None = None
+    listed: int | None = None
+    category: int | None = None
+    model: int | None = None
+
+
+WHOLE = Widths()
+
+
+def _cut(text: Column, width: int | None) -> Column:
+    return text if width is None else F.substring(text, 1, width)
 
 
 def _text(name: str) -> Column:
@@ -63,14 +84,14 @@ def distinct_categories(labels: Column) -> Column:
     return F.array_distinct(F.filter(labels, lambda c: F.nullif(F.trim(c), F.lit("")).isNotNull()))
 
 
-def primary_category() -> Column:
+def primary_category(widths: Widths = WHOLE) -> Column:
     label = F.coalesce(
         _inside("classification", "primary"),
         F.get(_entries(_given("classifications")), 0),
         _given("classification"),
         F.lit(NO_CATEGORY),
     )
-    return F.substring(label, 1, CLASS_CHARS)
+    return _cut(label, widths.label)
 
 
 def all_categories_text() -> Column:
@@ -81,21 +102,21 @@ def all_categories_text() -> Column:
     )
 
 
-def category_labels() -> Column:
+def category_labels(widths: Widths = WHOLE) -> Column:
     """Labels for the category table: the list, else the detailed list, else the main label."""
     many = _given("classifications")
     labels = F.coalesce(
         _entries(many),
         F.when(~F.startswith(many, F.lit("[")), F.array(many)),
         _entries(_inside("classification", "all")),
-        F.array(primary_category()),
+        F.array(primary_category(widths)),
     )
-    return F.transform(distinct_categories(labels), lambda c: F.substring(c, 1, CATEGORY_CHARS))
+    return F.transform(distinct_categories(labels), lambda c: _cut(c, widths.category))
 
 
-def summary_text() -> Column:
+def summary_text(widths: Widths = WHOLE) -> Column:
     inner = F.when(_is_object("summary"), F.get_json_object(_text("summary"), "$.text")).otherwise(_given("summary"))
-    return F.substring(F.coalesce(inner, F.lit("")), 1, SUMMARY_CHARS)
+    return _cut(F.coalesce(inner, F.lit("")), widths.summary)
 
 
 def sentiment_score() -> Column:
@@ -106,8 +127,8 @@ def sentiment_score() -> Column:
     )
 
 
-def normalize_results(parsed: DataFrame) -> DataFrame:
-    """Good result messages as typed columns, one row per message."""
+def normalize_results(parsed: DataFrame, widths: Widths = WHOLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Good result messages as typed columns, one row per message, and the columns in `keep`."""
     either = lambda a, b: F.coalesce(_given(a), _given(b))
     rows = parsed.filter("verdict = 'ok'")
     return rows.select(
@@ -116,30 +137,31 @@ def normalize_results(parsed: DataFrame) -> DataFrame:
         either("ban", "customerId").alias("customer_id"),
         either("subscriberNo", "subscriber_no").alias("subscriber_no"),
         parse_iso(either("callTime", "call_time")).alias("call_time"),
-        summary_text().alias("summary_text"),
+        summary_text(widths).alias("summary_text"),
         sentiment_score().alias("sentiment"),
-        primary_category().alias("classification_primary"),
+        primary_category(widths).alias("classification_primary"),
         all_categories_text().alias("classification_all"),
-        category_labels().alias("categories"),
+        category_labels(widths).alias("categories"),
         F.coalesce(_text("confidence").try_cast("double"), F.lit(0.0)).alias("confidence_score"),
         F.coalesce(_text("processingTime").try_cast("bigint"), F.lit(0)).alias("ml_processing_time_ms"),
-        F.substring(F.coalesce(_text("modelVersion"), F.lit(DEFAULT_MODEL)), 1, MODEL_CHARS).alias("ml_model_version"),
-        F.substring(json_to_csv(_text("products")), 1, LIST_CHARS).alias("products"),
-        action_items_text(_text("action_items"), LIST_CHARS).alias("action_items"),
-        F.substring(json_to_csv(_text("unresolved_issues")), 1, LIST_CHARS).alias("unresolved_issues"),
+        _cut(F.coalesce(_text("modelVersion"), F.lit(DEFAULT_MODEL)), widths.model).alias("ml_model_version"),
+        _cut(json_to_csv(_text("products")), widths.listed).alias("products"),
+        action_items_text(_text("action_items"), widths.listed).alias("action_items"),
+        _cut(json_to_csv(_text("unresolved_issues")), widths.listed).alias("unresolved_issues"),
         satisfaction_to_int(_text("customer_satisfaction")).alias("satisfaction"),
         churn_score_100(_text("churn_confidence").try_cast("double")).alias("churn_score"),
+        *keep,
     )
 
 
-def latest_per_call(results: DataFrame, order: str) -> DataFrame:
+def latest_per_call(results: DataFrame, *order: str) -> DataFrame:
     """The newest of several results of one call."""
     rest = [c for c in results.columns if c not in ("source_type", "call_id")]
-    newest = F.max_by(F.struct(*rest), F.struct(order, "summary_text")).alias("_row")
+    newest = F.max_by(F.struct(*rest), F.struct(*order, "summary_text")).alias("_row")
     return results.groupBy("source_type", "call_id").agg(newest).select("source_type", "call_id", "_row.*")
 
 
-def call_summary_rows(results: DataFrame, as_of) -> DataFrame:
+def call_summary_rows(results: DataFrame, as_of, keep: tuple[str, ...] = ()) -> DataFrame:
     return results.select(
         "call_id",
         "customer_id",
@@ -153,12 +175,24 @@ def call_summary_rows(results: DataFrame, as_of) -> DataFrame:
         "ml_processing_time_ms",
         "ml_model_version",
         clock(as_of).alias("processed_at"),
+        *keep,
     )
 
 
-def conversation_summary_rows(results: DataFrame, segments: DataFrame, as_of) -> DataFrame:
-    """Summary rows with the account, subscriber and time taken from the call's segments."""
-    known = lookup_customer(results.drop("subscriber_no"), segments, as_of)
+def conversation_summary_rows(results: DataFrame, segments: DataFrame | Mapping[str, DataFrame], as_of, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Summary rows with the account, subscriber and time of the call or chat.
+
+    `segments` holds all feeds, or is a mapping of source types to theirs; a type without a feed finds nothing.
+    """
+    bare = results.drop("subscriber_no")
+    if isinstance(segments, Mapping):
+        parts = [lookup_customer(bare.filter(F.col("source_type") == kind), feed, as_of) for kind, feed in segments.items()]
+        rest = bare.filter(~F.coalesce(F.col("source_type").isin(list(segments)), F.lit(False)))
+        absent = {"ban": "string", "subscriber_no": "string", "conversation_time": "timestamp"}
+        parts.append(rest.withColumns({name: F.lit(None).cast(kind) for name, kind in absent.items()}))
+        known = reduce(DataFrame.unionByName, parts)
+    else:
+        known = lookup_customer(bare, segments, as_of)
     return known.select(
         "source_type",
         F.col("call_id").alias("source_id"),
@@ -173,15 +207,17 @@ def conversation_summary_rows(results: DataFrame, segments: DataFrame, as_of) ->
         "subscriber_no",
         "conversation_time",
         "churn_score",
+        *keep,
     )
 
 
-def category_rows(results: DataFrame, as_of) -> DataFrame:
+def category_rows(results: DataFrame, as_of, keep: tuple[str, ...] = ()) -> DataFrame:
     return results.select(
         F.col("call_id").alias("source_id"),
         "source_type",
         clock(as_of).alias("creation_date"),
         F.explode("categories").alias("category_code"),
+        *keep,
     )
 
 

@@ -127,13 +127,15 @@ query("W07_top_n_per_rule", f"SELECT alert_id, position, source_id FROM ({AFFECT
 
 def _new_history(db):
     evaluated = alerts.evaluate_alerts(db)
-    return alerts.alert_history_rows(db, evaluated, alerts.affected_by_rule(db, db.alert_rules))
+    return alerts.alert_history_rows(
+        db, evaluated, alerts.affected_by_rule(db, db.alert_rules), alerts.affected_counts(db, db.alert_rules)
+    )
 
 
 query(
     "S16_append_alert_history",
-    f"""WITH e AS ({EVALUATED}), a AS (SELECT alert_id, count(*) AS n, string_agg(subscriber_no, ',' ORDER BY position) AS people
-      FROM ({AFFECTED}) GROUP BY 1)
+    f"""WITH e AS ({EVALUATED}), a AS (SELECT alert_id, count(*) AS n, string_agg(subscriber_no, ',' ORDER BY position) FILTER (position <= 100) AS people
+      FROM ({AFFECTED.replace('QUALIFY position <= 100', '')}) GROUP BY 1)
     SELECT e.alert_id, metric_value, threshold AS threshold_value, severity, 'ACTIVE' AS status, coalesce(n, 0) AS affected_count,
       coalesce(people, '') AS people FROM e LEFT JOIN a USING (alert_id) WHERE created""",
 )(

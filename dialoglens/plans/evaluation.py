@@ -40,6 +40,6 @@ def weekly_evaluation(
         "recommendations": recommendations,
         "history": evaluation.evaluation_row(metrics.filter("total_churned > 0"), recommendations, db.as_of),
         "errors": metrics.filter("total_churned = 0").select(
-            F.lit(f"No churned customers found in last {days} days").alias("error")
+            F.lit(f"no customer has left within {days} days").alias("error")
         ),
     }

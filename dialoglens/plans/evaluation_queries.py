@@ -97,9 +97,9 @@ WRONG = "SELECT sum(n) AS n FROM (SELECT count(*) AS n FROM fb WHERE is_correct
 query(
     "K06_generate_recommendations",
     f"""WITH m AS ({RECALL}), k AS (SELECT count(*) AS n FROM ({KEYWORD_COUNTS}) WHERE significant)
-    SELECT 'churn_threshold' AS rec_type, 'Churn recall is only ' || printf('%.1f', recall / 4 * 100) || '%. Lowering the alert threshold will catch more churners.' AS reason FROM m
-    UNION ALL SELECT 'pipeline_coverage', 'Only ' || printf('%.1f', coverage / 4 * 100) || '% of churner calls were processed by ML. ' || without_score || ' customers had no churn score.' FROM m
-    UNION ALL SELECT 'churn_keywords', 'Found ' || n || ' keywords appearing frequently in conversations of churners we missed' FROM k WHERE n > 0""",
+    SELECT 'churn_threshold' AS rec_type, printf('%.1f', recall / 4 * 100) || '% of the churners had a high score; a lower threshold finds more of them' AS reason FROM m
+    UNION ALL SELECT 'pipeline_coverage', printf('%.1f', coverage / 4 * 100) || '% of the churners have a score, ' || without_score || ' have none' FROM m
+    UNION ALL SELECT 'churn_keywords', n || ' keywords are frequent in the calls of missed churners' FROM k WHERE n > 0""",
 )(
     lambda db: evaluation.generate_recommendations(
         evaluation.churn_recall(_churned(db)).withColumns({"recall": F.col("recall") / 4, "coverage": F.col("coverage") / 4}),
@@ -111,7 +111,7 @@ query(
 query(
     "S17_append_recommendations",
     f"""SELECT 'classification_fix' AS rec_type, 'PENDING' AS status,
-      'Human reviewers corrected these classifications ' || CAST(n AS BIGINT) || ' times' AS reason FROM ({WRONG}) WHERE n > 0""",
+      'reviewers changed these labels ' || CAST(n AS BIGINT) || ' times' AS reason FROM ({WRONG}) WHERE n > 0""",
 )(
     lambda db: evaluation.recommendation_rows(
         evaluation.classification_recommendation(evaluation.misclassifications(db.feedback, db.as_of)), db.as_of
@@ -165,10 +165,10 @@ query(
 # ---- vectors ------------------------------------------------------------------------------------------------------
 
 
-def _prototypes(db, labels: int = 10):
-    """The vector with the lowest id of each label; the first five labels are churn prototypes."""
+def _prototypes(db):
+    """The vector with the lowest id of each label."""
     first = db.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    return first.filter(F.col("label") < labels).withColumn("proto_index", F.col("label"))
+    return first.withColumn("proto_index", F.col("label"))
 
 
 def _categories(db):
@@ -182,15 +182,15 @@ def _categories(db):
 
 PROTOS = """p AS (SELECT label AS pos, arg_min(embedding, vec_id)::DOUBLE[] AS proto FROM embeddings GROUP BY 1),
   s AS (SELECT vec_id, pos, list_dot_product(embedding::DOUBLE[], proto) AS sim FROM embeddings, p)"""
-query("J18_score_against", f"WITH {PROTOS} SELECT vec_id, pos, round(sim, 4) AS similarity FROM s WHERE pos < 5")(
-    lambda db: classify.score_against(db.embeddings, _prototypes(db, 5), "proto_index")
+query("J18_score_against", f"WITH {PROTOS} SELECT vec_id, pos, round(sim, 4) AS similarity FROM s")(
+    lambda db: classify.score_against(db.embeddings, _prototypes(db), "proto_index")
     .select("vec_id", F.posexplode("scores").alias("pos", "s"))
     .select("vec_id", "pos", F.round("s", 4).alias("similarity"))
 )
-BEST = f"""WITH {PROTOS}, b AS (SELECT vec_id, round(sim, 4) AS best, pos AS idx FROM s WHERE pos < 5
+BEST = f"""WITH {PROTOS}, b AS (SELECT vec_id, round(sim, 4) AS best, pos AS idx FROM s
     QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 4) DESC, pos) = 1)"""
 query("W01_best_prototype", f"{BEST} SELECT vec_id, best AS similarity, idx AS index FROM b")(
-    lambda db: classify.score_against(db.embeddings, _prototypes(db, 5), "proto_index")
+    lambda db: classify.score_against(db.embeddings, _prototypes(db), "proto_index")
     .select("vec_id", classify.best_prototype(F.col("scores")).alias("b"))
     .select("vec_id", "b.*")
 )
@@ -198,7 +198,7 @@ CHURN = f"""{BEST}, f AS (SELECT *, greatest(0, least(100, (best - 0.5::DOUBLE)
     SELECT vec_id, score >= 70 AS is_churn, round(score / 100, 3) AS churn_confidence, CAST(floor(score) AS INT) AS churn_score,
       best AS raw_similarity, idx AS best_prototype_index FROM f"""
 query("X03_detect_churn", CHURN)(
-    lambda db: classify.detect_churn(db.embeddings, _prototypes(db, 5)).select(
+    lambda db: classify.detect_churn(db.embeddings, _prototypes(db)).select(
         "vec_id", "is_churn", "churn_confidence", "churn_score", "raw_similarity", "best_prototype_index"
     )
 )
@@ -206,7 +206,7 @@ query(
     "A39_churn_batch_summary",
     f"""SELECT count(*) AS total, count(*) FILTER (is_churn) AS churn, round(count(*) FILTER (is_churn) * 100 / count(*), 1) AS churn_percent,
       count(*) FILTER (NOT is_churn) AS clean FROM ({CHURN})""",
-)(lambda db: classify.churn_batch_summary(classify.detect_churn(db.embeddings, _prototypes(db, 5))))
+)(lambda db: classify.churn_batch_summary(classify.detect_churn(db.embeddings, _prototypes(db))))
 
 
 def _texts(db):
@@ -258,10 +258,10 @@ query(
 )
 query(
     "A41_enrichment_stats",
-    f"""{TOP2}, n AS ({CHURN.replace('WITH ' + PROTOS + ',', 'WITH ' + PROTOS.replace('p AS', 'p2 AS').replace('s AS', 's2 AS').replace(', p)', ', p2)') + ',').replace('FROM s WHERE', 'FROM s2 WHERE')})
+    f"""{TOP2}, n AS ({CHURN.replace('WITH ' + PROTOS + ',', 'WITH ' + PROTOS.replace('p AS', 'p2 AS').replace('s AS', 's2 AS').replace(', p)', ', p2)') + ',').replace('AS idx FROM s', 'AS idx FROM s2')})
     SELECT (SELECT count(*) FROM embeddings) AS classifications, count(*) FILTER (keyword_boost > 0) AS keyword_boosts_applied,
       (SELECT count(*) FROM n) AS churn_detections, (SELECT count(*) FROM n WHERE is_churn) AS churn_positives FROM full_list""",
-)(lambda db: classify.enrichment_stats(classify.detect_churn(_classified(db), _prototypes(db, 5))))
+)(lambda db: classify.enrichment_stats(classify.detect_churn(_classified(db), _prototypes(db))))
 query(
     "X01_embedder",
     "SELECT doc_id, text <> '' AS embedded, 64 AS dimensions, if(text = '', 0, 1) AS norm FROM (SELECT doc_id, trim(text) AS text FROM documents)",

@@ -10,7 +10,9 @@ from dialoglens.session import materialize
 from dialoglens.sources import readers, writers
 from dialoglens.tables import Tables
 
-NORMAL_MODE, HISTORICAL_MODE = "CDC_NORMAL_MODE", "CDC_HISTORICAL_MODE"
+NORMAL_MODE, HISTORICAL_MODE, CHAT_MODE = "CDC_NORMAL_MODE", "CDC_HISTORICAL_MODE", "CDC_NORMAL_MODE_SF_OC"
+#: Mode under which a feed is booked.
+MODE_OF = {"CALL": NORMAL_MODE, "WAPP": CHAT_MODE}
 STALE_AFTER_DAYS = 5 / 1440
 
 

@@ -11,7 +11,7 @@ from dialoglens.plans.pipeline_queries import FEWEST, GOOD, ID, LINES, R_LABELS,
 from dialoglens.plans.alert_queries import EVALUATED
 from dialoglens.plans.registry import query
 from dialoglens.session import fresh_path
-from dialoglens.sources import readers, writers
+from dialoglens.sources import readers
 from dialoglens.streaming import alerts as alert_stream, config, ingest as ingest_stream, results as result_stream
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -19,11 +19,14 @@ SPEC = readers.SourceSpec("calls", "segments", "call_id", "call_time", "call_tim
 
 
 def _streamed(db, table: str) -> DataFrame:
-    """The rows of a given file as a stream of micro-batches."""
+    """All files of a given table as a stream of micro-batches."""
     frame = getattr(db, table)
-    path = frame.inputFiles()[0]
-    folder, name = path.rsplit("/", 1)
-    return db.spark.readStream.schema(frame.schema).option("pathGlobFilter", name).parquet(folder)
+    files = frame.inputFiles()
+    folders = sorted({f.rsplit("/", 1)[0] for f in files})
+    reader = db.spark.readStream.schema(frame.schema)
+    if len(folders) == 1 and len(files) == 1:  # a table that is one file, beside others
+        reader = reader.option("pathGlobFilter", files[0].rsplit("/", 1)[1])
+    return reader.parquet(folders[0] if len(folders) == 1 else "{" + ",".join(folders) + "}")
 
 
 def _segment_stream(db) -> DataFrame:
@@ -60,7 +63,7 @@ query("R03_assemble_stream", f"SELECT call_id, segments, message_count, last_tim
 def _ingested(db) -> str:
     out = fresh_path(db.spark, "ingest")
     ingest_stream.ingest_stream(
-        _segment_stream(db), db.segments, SPEC, out, f"{out}/state", db.as_of, interval=None
+        _segment_stream(db), lambda: db.segments, SPEC, out, f"{out}/state", db.as_of, interval=None
     ).awaitTermination()
     return out
 
@@ -79,9 +82,7 @@ query(
     "R04_skip_stream",
     f"SELECT call_id, {REASON} AS sqs_message_id FROM ({STATS}) WHERE {DONE} AND {REASON} IS NOT NULL",
 )(
-    lambda db: writers.KeyedTable(
-        db.spark, f"{_ingested(db)}/ledger", "source_type string, call_id string, sqs_message_id string", writers.LEDGER_KEYS
-    )
+    lambda db: ingest_stream.ledger_table(db.spark, _ingested(db))
     .read()
     .filter("sqs_message_id like 'SKIPPED%'")
     .select("call_id", "sqs_message_id")
@@ -96,13 +97,13 @@ def _message_stream(db) -> DataFrame:
 
 def _stored(db, flush: bool = False) -> result_stream.ResultStore:
     out = fresh_path(db.spark, "results")
-    store = result_stream.ResultStore(db.spark, out, buckets=8)
+    store = result_stream.ResultStore(db.spark, out)
     if flush:
-        running = result_stream.flush_stream(_message_stream(db), db.segments, store, f"{out}/state", db.as_of, 1)
+        running = result_stream.flush_stream(_message_stream(db), lambda: db.segments, store, f"{out}/state", db.as_of, 1)
         running.processAllAvailable()
         running.stop()
     else:
-        result_stream.drain(_message_stream(db), db.segments, store, f"{out}/state", db.as_of)
+        result_stream.drain(_message_stream(db), lambda: db.segments, store, f"{out}/state", db.as_of)
     return store
 
 
@@ -158,7 +159,7 @@ query(
 def _judged(db):
     """Rules judged from the slots that a stream over the conversations has filled."""
     out = fresh_path(db.spark, "slots")
-    slots = writers.KeyedTable(db.spark, f"{out}/slots", alert_stream.PARTIALS, ["slot_end", "ban"], buckets=8)
+    slots = alert_stream.slot_table(db.spark, f"{out}/slots")
     conversations = _view(_streamed(db, "events"), {**SUMMARY, "conversation_time": "CAST(ts AS TIMESTAMP)"})
     alert_stream.alerts_stream(conversations, slots, f"{out}/state", interval=None).awaitTermination()
     return alerts.evaluate_alerts(db, partials=slots.read())
@@ -176,12 +177,14 @@ query(
 
 
 def _refreshed(db):
-    """A second configuration with too few categories must not replace the first."""
+    """The stored configuration shrinks below what is usable before the stream begins: the first one stays."""
     kinds = db.events.select(F.col("event_type").alias("category")).distinct()
-    words = kinds.select("category", F.lit("strong").alias("strength"), F.col("category").alias("keyword")).orderBy("category")
-    versions = [words, words.filter("category = 'view'")]
-    refreshed = config.RefreshedConfig(lambda: versions.pop(0) if versions else words.limit(0))
+    words = kinds.select("category", F.lit("strong").alias("strength"), F.col("category").alias("keyword"))
+    path = fresh_path(db.spark, "keywords")
+    words.write.parquet(path)
+    refreshed = config.RefreshedConfig(db.spark, lambda: db.spark.read.parquet(path))
     refreshed.current()
+    words.filter("category = 'view'").write.mode("overwrite").parquet(path)
     out = fresh_path(db.spark, "enriched")
     texts = _view(_streamed(db, "events"), {k: SUMMARY[k] for k in ("source_id", "summary")})
     enrich = lambda batch, keywords: classify.keyword_category(

@@ -56,7 +56,7 @@ query(
     """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'call ' || event_type || ', write' WHEN 1 THEN event_type || ', b'
       WHEN 2 THEN 'do ' || event_type || ' now' WHEN 3 THEN event_type
       ELSE array_to_string([event_type FOR x IN range(500 // (length(event_type) + 2))], ', ') END AS items FROM events""",
-)(lambda db: derived(db, ACTIONS).select("event_id", text.action_items_text(F.col("v")).alias("items")))
+)(lambda db: derived(db, ACTIONS).select("event_id", text.action_items_text(F.col("v"), 500).alias("items")))
 
 # ---- repair -------------------------------------------------------------------------------------
 

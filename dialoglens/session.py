@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +54,45 @@ def work_dir(spark: SparkSession) -> str:
     return local
 
 
+_scratch = threading.local()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, inside the scratch root where one is open."""
+    root = getattr(_scratch, "root", None) or work_dir(spark)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Frames materialized inside live in one folder, which is deleted at the end: use them up before."""
+    outer = getattr(_scratch, "root", None)
+    _scratch.root = root = fresh_path(spark, name)
+    try:
+        yield
+    finally:
+        _scratch.root = outer
+        delete_path(spark, root)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def list_folders(spark: SparkSession, path: str, prefix: str, complete: bool = False) -> list[str]:
+    """Names of the folders in `path` that begin with `prefix`, of finished writes only if `complete`."""
+    files, where = _files(spark, path)
+    if not files.exists(where):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(where) if entry.isDirectory()]
+    done = lambda name: files.exists(_files(spark, f"{path}/{name}/_SUCCESS")[1])
+    return sorted(name for name in names if name.startswith(prefix) and (not complete or done(name)))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

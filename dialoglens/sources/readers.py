@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dialoglens.functions.text import json_kind, not_blank
 from dialoglens.functions.timing import since
 from dialoglens.operators.filters import chat_base_filter
+from dialoglens.operators.joins import handled_calls
 from dialoglens.tables import SCHEMAS, Tables
 
 SEGMENT_COLUMNS = ["call_id", "ban", "subscriber_no", "owner", "text", "call_time", "queue_name", "seq"]
@@ -94,9 +95,11 @@ def union_sources(db: Tables, specs: list[SourceSpec]) -> DataFrame:
     return reduce(DataFrame.unionByName, feeds)
 
 
-def bulk_scan_calls(segments: DataFrame, processed: DataFrame, as_of, days: float = BACKFILL_DAYS) -> DataFrame:
-    """Distinct ids of calls the ledger does not hold, over a long window."""
-    done = since(processed, "text_time", days, as_of).filter("call_id is not null").select("call_id").distinct()
+def bulk_scan_calls(
+    segments: DataFrame, processed: DataFrame, as_of, days: float = BACKFILL_DAYS, source_type: str = "CALL"
+) -> DataFrame:
+    """Distinct ids of calls the ledger does not hold for the feed, over a long window."""
+    done = handled_calls(since(processed, "text_time", days, as_of), source_type)
     calls = since(segments, "call_time", days, as_of).select("call_id").distinct()
     return calls.join(done, "call_id", "left_anti")
 
@@ -154,11 +157,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 # ---- checks ---------------------------------------------------------------------------------------
 
 REQUIRED_TABLES = ["segments", "processed_calls", "processing_status", "error_log", "call_summary"]
-COUNT_CAP = 1000
 
 
 def check_tables(db: Tables, required: list[str]) -> DataFrame:
-    """Per required table: present, columns missing, and its row count up to 1000."""
+    """Per required table: present, columns missing, and its row count."""
     reports = []
     for name in required:
         if name not in db:
@@ -168,7 +170,7 @@ def check_tables(db: Tables, required: list[str]) -> DataFrame:
         table = getattr(db, name)
         wanted = [part.split()[0] for part in SCHEMAS[name].split(", ") if "<" not in part and ">" not in part]
         missing = ",".join(sorted(set(wanted) - set(table.columns)))
-        counted = table.limit(COUNT_CAP).agg(F.count(F.lit(1)).alias("rows"))
+        counted = table.agg(F.count(F.lit(1)).alias("rows"))
         reports.append(
             counted.select(
                 F.lit(name).alias("table_name"), F.lit(True).alias("present"), F.lit(missing).alias("missing"), "rows"
@@ -206,7 +208,7 @@ def read_results(messages: DataFrame, body: str = "body") -> DataFrame:
     return messages.select("*", F.inline(F.transform(F.array(parsed), judged)))
 
 
-def result_errors(parsed: DataFrame) -> DataFrame:
+def result_errors(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Bad messages as error rows; messages of other types are skipped, not errors."""
     bad = parsed.filter("verdict = 'bad_json'")
     return bad.select(
@@ -214,4 +216,5 @@ def result_errors(parsed: DataFrame) -> DataFrame:
         F.lit("message is not valid JSON").alias("error_message"),
         F.lit("PROCESSING_ERROR").alias("error_type"),
         F.col("body").alias("original_message"),
+        *keep,
     )

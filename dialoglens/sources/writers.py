@@ -1,22 +1,22 @@
-"""Rows for the engine's tables, and the keyed replace that stores them."""
+"""Rows for the engine's tables, and keyed replace between frames."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialoglens.functions.numbers import null_to_zero
 from dialoglens.functions.timing import clock, interval_days, since
-from dialoglens.session import materialize
 from dialoglens.sources.readers import CONVERSATION_MESSAGE
+from dialoglens.tables import PARTITIONED
 
 SENDER = "on-premises-cdc"
 MAX_RETRIES = 3
 
 
 def row_id(*natural_key: str | Column) -> Column:
-    """Id from the natural key: the same row gets the same id on a re-run."""
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k for k in natural_key]))
+    """Id from the natural key: the same row gets the same id on a re-run. NULL parts count as such."""
+    parts = [F.col(k).cast("string") if isinstance(k, str) else k for k in natural_key]
+    return F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("\0")) for p in parts]))
 
 
 # ---- conversations out -------------------------------------------------------------------------
@@ -64,55 +64,6 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.join(replaced, keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-class KeyedTable:
-    """Parquet table replaced by key, in hash buckets of the key.
-
-    An upsert reads and rewrites only the buckets the new rows fall into, found by dynamic
-    partition pruning, and never overwrites a path its own plan still reads. Replaying a
-    batch gives the same table. Where the catalog offers a format with MERGE INTO, use that.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, keys, buckets
-
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def _all(self) -> DataFrame:
-        schema = f"{self.schema}, bucket int"
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def read(self) -> DataFrame:
-        return self._all().filter(F.col(self.keys[0]).isNotNull()).drop("bucket")
-
-    def upsert(self, new: DataFrame, touched: DataFrame | None = None) -> None:
-        """`touched` names keys to clear as well, also where no new row replaces them."""
-        placed = self._placed(new)
-        cleared = placed if touched is None else self._placed(touched.select(*self.keys))
-        # at most one row per bucket
-        buckets = F.broadcast(cleared.select("bucket").distinct())
-        old = self._all().join(buckets, "bucket", "left_semi")
-        kept = old.join(cleared.select(*self.keys).distinct(), self.keys, "left_anti")
-        # a row without key per bucket: one that loses its last row is overwritten as well
-        present = cleared.select("bucket").distinct()
-        rows = kept.filter(F.col(self.keys[0]).isNotNull()).unionByName(placed, allowMissingColumns=True)
-        merged = materialize(rows.unionByName(present, allowMissingColumns=True), "upsert")
-        self._store(merged.select(*old.columns), "overwrite")
-
-    def append_absent(self, new: DataFrame) -> None:
-        fresh = new.dropDuplicates(self.keys).join(self.read().select(*self.keys), self.keys, "left_anti")
-        self._store(materialize(self._placed(fresh), "append"), "append")
-
-    def _store(self, rows: DataFrame, mode: str) -> None:
-        writer = rows.repartition("bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("bucket").parquet(self.path)
-
-
 def upsert_call_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     return replace_by_key(old, new, ["call_id"])
 
@@ -272,17 +223,6 @@ def feedback_rows(submitted: DataFrame, as_of) -> DataFrame:
 
 # ---- month partitions -----------------------------------------------------------------------------------------
 
-# fixed values: tables kept in month folders and their time columns
-PARTITIONED = {
-    "segments": "call_time",
-    "conversation_summary": "conversation_time",
-    "conversation_category": "creation_date",
-    "call_summary": "processed_at",
-    "processed_calls": "processed_at",
-    "error_log": "error_timestamp",
-}
-
-
 def with_month(df: DataFrame, time_col: str) -> DataFrame:
     """Rows with their month; a row without time has no partition and is refused downstream."""
     return df.filter(F.col(time_col).isNotNull()).withColumn("month", F.trunc(time_col, "month"))

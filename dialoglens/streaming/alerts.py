@@ -6,11 +6,11 @@ to one slot, and a rule adds up the slots of its window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoglens.operators.alerts import partial_sums
-from dialoglens.sources.writers import KeyedTable
+from dialoglens.sources.store import ChangeTable
 
 SLOT = "5 minutes"
 LATENESS = "500 minutes"
@@ -28,13 +28,18 @@ def slot_sums(conversations: DataFrame) -> DataFrame:
     return slots.select(F.col("slot.end").cast("timestamp").alias("slot_end"), "ban", *sums)
 
 
+def slot_table(spark: SparkSession, path: str) -> ChangeTable:
+    """Sums per slot and account, in months of the slots; an account may be NULL."""
+    return ChangeTable(spark, path, PARTIALS, ["slot_end", "ban"], time="slot_end")
+
+
 def alerts_stream(
-    conversations: DataFrame, partials: KeyedTable, checkpoint: str, on_batch=None, interval: str | None = EVALUATION_INTERVAL
+    conversations: DataFrame, partials: ChangeTable, checkpoint: str, on_batch=None, interval: str | None = EVALUATION_INTERVAL
 ) -> StreamingQuery:
     """Keep the slots current and call `on_batch(partials, batch_id)`, which judges the rules."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partials.upsert(batch)
+        partials.put(batch, batch_id)
         if on_batch:
             on_batch(partials.read(), batch_id)
 

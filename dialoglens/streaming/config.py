@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoglens.operators.classify import usable_config
 
 
 class RefreshedConfig:
-    """Reads a configuration for each micro-batch and keeps the last usable one."""
+    """Reads a configuration for each micro-batch and keeps the rows of the last usable one.
 
-    def __init__(self, read: Callable[[], DataFrame], usable: Callable[[DataFrame], bool] = usable_config):
-        self._read, self._usable = read, usable
+    Rows are kept, not the plan: a file that is emptied, broken or deleted later doesn't touch them. Only faults of
+    reading and of content fall back; all others are raised.
+    """
+
+    def __init__(self, spark: SparkSession, read: Callable[[], DataFrame], usable: Callable[[DataFrame], bool] = usable_config):
+        self._spark, self._read, self._usable = spark, read, usable
         self._good: DataFrame | None = None
 
     def current(self) -> DataFrame:
         try:
             candidate = self._read()
-            if self._usable(candidate):
-                self._good = candidate
-        except Exception:
+            kept = self._spark.createDataFrame(candidate.toArrow(), candidate.schema)
+            if self._usable(kept):
+                self._good = kept
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError):
             if self._good is None:
                 raise
         if self._good is None:

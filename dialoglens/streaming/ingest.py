@@ -6,15 +6,20 @@ the segment table once a call is complete, so a very long call does not fill the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoglens.functions.text import not_blank
+from dialoglens.functions.timing import clock
 from dialoglens.operators import assemble
-from dialoglens.plans.ingest import NORMAL_MODE, prepare_calls
-from dialoglens.session import materialize
+from dialoglens.plans.ingest import MODE_OF, NORMAL_MODE, prepare_calls
+from dialoglens.session import materialize, scratch
 from dialoglens.sources import writers
 from dialoglens.sources.readers import SourceSpec
+from dialoglens.sources.store import ChangeTable
 from dialoglens.tables import SCHEMAS
 
 LATENESS = "500 minutes"
@@ -52,13 +57,32 @@ def _trigger(interval: str | None) -> dict:
     return {"processingTime": interval} if interval else {"availableNow": True}
 
 
+Source = DataFrame | Callable[[], DataFrame]
+
+
+def fresh(source: Source) -> DataFrame:
+    """The table as it is now. A frame has the files of the time it was made; a callable reads it again."""
+    return source() if callable(source) and not isinstance(source, DataFrame) else source
+
+
+def now(as_of) -> Column:
+    """The clock of a batch: a callable is asked each time, None is the wall clock, all else stays."""
+    value = as_of() if callable(as_of) and not isinstance(as_of, Column) else as_of
+    return F.current_timestamp() if value is None else clock(value)
+
+
+def ledger_table(spark: SparkSession, out: str) -> ChangeTable:
+    """Calls with the batch that took them first, in months of their last segment."""
+    return ChangeTable(spark, f"{out}/ledger", SCHEMAS["processed_calls"], writers.LEDGER_KEYS, time="text_time", keep="first")
+
+
 def ingest_stream(
     segments: DataFrame,
-    table: DataFrame,
+    table: Source,
     spec: SourceSpec,
     out: str,
     checkpoint: str,
-    as_of,
+    as_of=None,
     interval: str | None = POLL_INTERVAL,
     lateness: str = LATENESS,
     gap: str = SESSION_GAP,
@@ -66,26 +90,36 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Publish completed calls and keep the ledger, the batch log and the status.
 
-    Per micro-batch: calls the ledger lacks are assembled from `table`; messages carry ids
-    made from the call, the ledger takes a call once, so a repeated batch changes nothing
-    but may publish a message again. `interval=None` drains what is there and stops.
+    `table` is best a callable: each micro-batch then sees segments that came after the start. A batch takes the calls
+    that no other batch has in the ledger, so repeating it, also after its ledger rows were written, publishes the same
+    calls again into the same folders. The ledger is written last. `interval=None` drains what is there and stops.
     """
-    spark = table.sparkSession
-    ledger = writers.KeyedTable(spark, f"{out}/ledger", SCHEMAS["processed_calls"], writers.LEDGER_KEYS)
+    spark = segments.sparkSession
+    ledger = ledger_table(spark, out)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        known = ledger.read().filter(F.col("source_type") == spec.source_type).select("call_id")
-        ids = materialize(batch.select("call_id").distinct().join(known, "call_id", "left_anti"), "ids")
-        documents, handled = prepare_calls(table, ids, spec, as_of, mark_skipped)
-        handled = materialize(handled, "handled")
-        # one folder per batch: a repeated batch replaces its own messages
-        writers.conversation_messages(documents).write.mode("overwrite").json(f"{out}/messages/batch={batch_id}")
-        rows = writers.mark_processed_backfill(handled, ledger.read(), as_of)
-        ledger.append_absent(rows)
-        log = handled.select("call_id", F.lit(0).alias("processing_time_ms"), F.lit(None).cast("string").alias("error_message"))
-        writers.batch_log(log, str(batch_id), as_of).write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
-        marks = handled.agg(F.max("text_time").alias("mark"), F.count(F.lit(1)).alias("calls"))
-        marks.withColumn("table_name", F.lit(NORMAL_MODE)).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
+        began, clock_now = time.monotonic(), now(as_of)
+        with scratch(spark, f"ingest-{batch_id}"):
+            others = ledger.changes().filter((F.col("source_type") == spec.source_type) & (F.col("batch") != batch_id))
+            ids = materialize(batch.select("call_id").distinct().join(others.select("call_id"), "call_id", "left_anti"), "ids")
+            documents, handled = prepare_calls(fresh(table), ids, spec, clock_now, mark_skipped)
+            handled = materialize(handled, "handled")
+            # one folder per batch: a repeated batch replaces its own messages
+            writers.conversation_messages(documents).write.mode("overwrite").json(f"{out}/messages/batch={batch_id}")
+            # a call that the stream has seen whole but the table does not hold is a failure, not a silent loss
+            lost = ids.join(handled.select("call_id"), "call_id", "left_anti") if mark_skipped else ids.limit(0)
+            failed = lost.select("call_id", F.lit("no segments in the table").alias("error_message"), F.lit("PROCESSING_ERROR").alias("error_type"))
+            writers.error_rows(failed, clock_now).write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
+            spent = int((time.monotonic() - began) * 1000)
+            each = F.lit(spent) / F.greatest(F.lit(1), F.lit(ids.count()))
+            log = handled.select("call_id", each.alias("processing_time_ms"), F.lit(None).cast("string").alias("error_message"))
+            log = log.unionByName(failed.select("call_id", each.alias("processing_time_ms"), "error_message"))
+            writers.batch_log(log, str(batch_id), clock_now).write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
+            marks = handled.agg(F.max("text_time").alias("mark"), F.count(F.lit(1)).alias("calls"))
+            mode = MODE_OF.get(spec.source_type, NORMAL_MODE)
+            marks.withColumn("table_name", F.lit(mode)).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
+            rows = handled.select(*writers.LEDGER_KEYS, clock_now.alias("processed_at"), "text_time", "sqs_message_id")
+            ledger.put(rows.dropDuplicates(writers.LEDGER_KEYS), batch_id)
 
     calls = assemble_stream(segments, lateness, gap)
     writer = calls.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
@@ -93,13 +127,25 @@ def ingest_stream(
 
 
 def stream_status(spark: SparkSession, out: str) -> DataFrame:
-    """Status row of a running ingest: high-water mark and total, from its batch marks."""
+    """Status rows of a running ingest: high-water mark and total, from its batch marks."""
     marks = spark.read.parquet(f"{out}/marks")
     return marks.groupBy("table_name").agg(
         F.max("mark").alias("last_processed_timestamp"), F.sum("calls").alias("total_processed")
     )
 
 
+def current_status(status: DataFrame, out: str, as_of=None) -> DataFrame:
+    """The status table with the marks and totals of a running ingest."""
+    moved = stream_status(status.sparkSession, out).withColumnsRenamed({"last_processed_timestamp": "_mark", "total_processed": "_total"})
+    changed = {
+        "last_processed_timestamp": F.coalesce("_mark", "last_processed_timestamp"),
+        "total_processed": F.col("total_processed") + F.coalesce("_total", F.lit(0)),
+        "last_updated": F.when(F.col("_mark").isNotNull(), now(as_of)).otherwise(F.col("last_updated")),
+    }
+    joined = status.join(moved, "table_name", "left")
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in status.columns])
+
+
 def skip_stream(batch: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame]:
     """Side output of a micro-batch of segments: eligible calls, and ledger rows of the others."""
     stats = assemble.conversation_stats(batch, spec.required_channels, spec.min_segments)

@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoglens.operators import results
-from dialoglens.session import materialize
+from dialoglens.session import materialize, scratch
 from dialoglens.sources import readers, writers
+from dialoglens.sources.store import ChangeTable
+from dialoglens.streaming.ingest import Source, fresh, now
 from dialoglens.tables import SCHEMAS
 
-MESSAGES = "message_id string, sent_at timestamp, body string"
+MESSAGES = "message_id string, sent_at timestamp, body string, attempts int"
 
 
 class ResultStore:
-    """The tables a result ends in, under one folder."""
+    """The tables a result ends in, under one folder. Of several results of a call the newest sent one counts."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        table = lambda name, keys: writers.KeyedTable(spark, f"{path}/{name}", SCHEMAS[name], keys, buckets)
-        self.call_summary = table("call_summary", ["call_id"])
-        self.conversation_summary = table("conversation_summary", ["source_type", "source_id"])
-        self.conversation_category = table("conversation_category", ["source_id", "source_type"])
-        self.error_log = table("error_log", ["error_id"])
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        sent = ", sent_at timestamp"
+        table = lambda name, keys, more=sent, **how: ChangeTable(spark, f"{path}/{name}", SCHEMAS[name] + more, keys, **how)
+        self.call_summary = table("call_summary", ["source_type", "call_id"], ", source_type string" + sent, order="sent_at", time="processed_at")
+        self.conversation_summary = table("conversation_summary", ["source_type", "source_id"], order="sent_at", time="conversation_time")
+        self.conversation_category = table("conversation_category", ["source_id", "source_type"], order="sent_at", time="creation_date")
+        self.error_log = table("error_log", ["error_id"], "", time="error_timestamp", keep="first")
+        self.dead_letters = table("dead_letters", ["failure_id"], "", time="marked_failed_at", keep="first")
 
 
 def message_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -31,46 +36,55 @@ def message_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.json(path)
 
 
-def store_results(messages: DataFrame, segments: DataFrame, store: ResultStore, as_of) -> None:
-    """One micro-batch into all tables. Repeating it gives the same tables."""
-    parsed = readers.read_results(messages)
-    sent = parsed.filter("verdict = 'ok'").select(
-        F.col("result.callId").alias("call_id"), "sent_at"
-    )
-    newest = sent.groupBy("call_id").agg(F.max("sent_at").alias("sent_at"))
-    # of several results for a call the newest counts, and of equal messages one
-    current = parsed.withColumn("call_id", F.col("result.callId")).join(
-        newest, ["call_id", "sent_at"], "left_semi"
-    )
-    rows = materialize(results.normalize_results(current).dropDuplicates(["source_type", "call_id"]), "results")
-    store.call_summary.upsert(results.call_summary_rows(rows, as_of))
-    store.conversation_summary.upsert(results.conversation_summary_rows(rows, segments, as_of))
-    touched = rows.select(F.col("call_id").alias("source_id"), "source_type")
-    store.conversation_category.upsert(results.category_rows(rows, as_of), touched)
-    errors = writers.error_rows(readers.result_errors(parsed), as_of)
-    store.error_log.append_absent(errors)
+def store_results(messages: DataFrame, segments: Source, store: ResultStore, as_of=None, batch_id: int = 0, chats: Source | None = None) -> None:
+    """One micro-batch into all tables. Repeating it replaces what it has stored.
+
+    Calls are looked up in `segments` and chats in `chats` (in the segment layout). A message that can't be read is an
+    error; it is queued again with one more attempt, and out of attempts it becomes a dead letter.
+    """
+    spark, clock_now = store.spark, now(as_of)
+    with scratch(spark, f"results-{batch_id}"):
+        parsed = readers.read_results(messages)
+        # what is sent at one time is ordered by message
+        rows = materialize(
+            results.latest_per_call(results.normalize_results(parsed, keep=("sent_at", "message_id")), "sent_at", "message_id"), "results"
+        )
+        summaries = results.call_summary_rows(rows, clock_now, ("source_type", "sent_at"))
+        store.call_summary.put(summaries, batch_id)
+        feeds = {"CALL": fresh(segments)} if chats is None else {"CALL": fresh(segments), "WAPP": fresh(chats)}
+        store.conversation_summary.put(results.conversation_summary_rows(rows, feeds, clock_now, ("sent_at",)), batch_id)
+        touched = rows.select(F.col("call_id").alias("source_id"), "source_type", "sent_at")
+        store.conversation_category.put(results.category_rows(rows, clock_now, ("sent_at",)), batch_id, touched)
+        attempts = F.coalesce("attempts", F.lit(0)) if "attempts" in messages.columns else F.lit(0)
+        failed = materialize(readers.result_errors(parsed.withColumn("attempts", attempts), ("message_id", "sent_at", "attempts")), "failed")
+        again, dead = writers.split_retries(failed)
+        queued = again.select("message_id", "sent_at", F.col("original_message").alias("body"), "attempts")
+        queued.write.mode("overwrite").json(f"{store.path}/retry/batch={batch_id}")
+        store.dead_letters.put(writers.dead_letter_rows(dead, clock_now).dropDuplicates(["failure_id"]), batch_id)
+        store.error_log.put(writers.error_rows(failed, clock_now).dropDuplicates(["error_id"]), batch_id)
 
 
 def results_stream(
-    messages: DataFrame, segments: DataFrame, store: ResultStore, checkpoint: str, as_of, interval: str | None = None
+    messages: DataFrame, segments: Source, store: ResultStore, checkpoint: str, as_of=None, interval: str | None = None, chats: Source | None = None
 ) -> StreamingQuery:
     """Results into the store. The checkpoint acknowledges a batch after all tables have it.
 
-    Without an interval the stream drains what is there and stops; with one it repeats.
+    `segments` is best a callable, so that calls that came after the start are found. Without an interval the stream
+    drains what is there and stops; with one it repeats.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store_results(batch, segments, store, as_of)
+        store_results(batch, segments, store, as_of, batch_id, chats)
 
     writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
 
 
-def drain(messages: DataFrame, segments: DataFrame, store: ResultStore, checkpoint: str, as_of) -> None:
+def drain(messages: DataFrame, segments: Source, store: ResultStore, checkpoint: str, as_of=None) -> None:
     results_stream(messages, segments, store, checkpoint, as_of).awaitTermination()
 
 
 def flush_stream(
-    messages: DataFrame, segments: DataFrame, store: ResultStore, checkpoint: str, as_of, seconds: int = 60
+    messages: DataFrame, segments: Source, store: ResultStore, checkpoint: str, as_of=None, seconds: int = 60
 ) -> StreamingQuery:
     return results_stream(messages, segments, store, checkpoint, as_of, f"{seconds} seconds")

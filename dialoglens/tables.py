@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dialoglens.functions.timing import with_month_layout
+
 # engine table name -> Spark DDL
 SCHEMAS = {
     "segments": "call_id string, ban string, subscriber_no string, owner string, text string, "
@@ -51,6 +53,16 @@ SCHEMAS = {
     "recommendations_generated int, notes string",
 }
 
+# fixed values: tables kept in month folders and their time columns
+PARTITIONED = {
+    "segments": "call_time",
+    "conversation_summary": "conversation_time",
+    "conversation_category": "creation_date",
+    "call_summary": "processed_at",
+    "processed_calls": "processed_at",
+    "error_log": "error_timestamp",
+}
+
 
 class Tables:
     """Named DataFrames, built on first use: `Tables(spark, {...}).segments`.
@@ -76,6 +88,9 @@ class Tables:
         source = self._sources[name]
         if callable(source) and not isinstance(source, DataFrame):
             source = self._sources[name] = source()
+        # a stored table in month folders: time filters then prune them
+        if name in PARTITIONED and "month" in source.columns and not source.schema["month"].metadata:
+            source = self._sources[name] = with_month_layout(source, PARTITIONED[name])
         return source
 
     def __contains__(self, name: str) -> bool:

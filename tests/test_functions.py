@@ -39,10 +39,11 @@ def test_json_to_csv(spark):
 
 def test_action_items(spark):
     long = "[" + ", ".join(f'"item {i:03d}"' for i in range(100)) + "]"
+    assert column(spark, [long], text.action_items_text)[0].endswith("item 099")
     got = column(
         spark,
         ['[{"due": "x", "action": "call"}, {"name": "None", "instructions": "write"}]', '["a", "none", "b"]', "do [it]", "{\"task\": \"t\"}", "5", None, long],
-        text.action_items_text,
+        lambda c: text.action_items_text(c, 500),
     )
     assert got[:6] == ["call, write", "a, b", "do it", "t", "", ""]
     assert len(got[6]) <= 500 and got[6].endswith("item 049")
