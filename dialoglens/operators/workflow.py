@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.functions.timing import clock
 from dialoglens.sources.writers import row_id
@@ -134,3 +134,41 @@ def recommended_threshold(approved: DataFrame, current: float) -> DataFrame:
     return rows.filter("value is not null").agg(
         F.coalesce(F.max_by("value", F.struct("created_at", "rec_id")), F.lit(float(current))).alias("threshold")
     )
+
+
+def updated_config(config: DataFrame, recommendations: DataFrame, current_threshold: float) -> DataFrame:
+    """The configuration with what was approved: `config` is one JSON text, and so is the result.
+
+    Approved churn keywords join those listed under `churn_detection.keywords`, each once and in order, and the latest
+    approved threshold becomes `churn_detection.threshold`. All other fields stay.
+    """
+    fields = F.from_json("config", "map<string,string>")
+    churn = F.from_json(F.coalesce(F.try_element_at(fields, F.lit("churn_detection")), F.lit("{}")), "map<string,string>")
+    # configuration: a few words and one number
+    found = F.lit(sorted(r.keyword for r in recommended_keywords(recommendations).collect())).cast("array<string>")
+    listed = F.from_json(F.try_element_at(churn, F.lit("keywords")), "array<string>")
+    words = F.array_distinct(F.concat(F.coalesce(listed, F.array().cast("array<string>")), found))
+    threshold = F.lit(recommended_threshold(recommendations, current_threshold).first()[0])
+    changed = F.create_map(F.lit("keywords"), F.to_json(words), F.lit("threshold"), threshold.cast("string"))
+    inner = F.map_concat(F.map_filter(churn, lambda k, _: ~k.isin("keywords", "threshold")), changed)
+    outer = F.map_concat(F.map_filter(fields, lambda k, _: k != "churn_detection"), F.create_map(F.lit("churn_detection"), json_object(inner)))
+    return config.select(json_object(outer).alias("config"))
+
+
+def json_object(fields: Column) -> Column:
+    """JSON object of a map from names to JSON texts; a text that isn't JSON becomes a string."""
+    is_json = lambda v: F.try_parse_json(v).isNotNull()
+    value = lambda v: F.when(is_json(v), v).otherwise(quoted(v))
+    pairs = F.transform(F.map_entries(fields), lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(value(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
+
+
+def quoted(text: Column) -> Column:
+    """A JSON string."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def write_config(config: DataFrame, path: str) -> None:
+    """Store a configuration as one text file that the configuration readers take."""
+    config.select(F.col("config").alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dialoglens.functions.timing import clock, interval_days
+from dialoglens.functions.timing import clock, day_slice, interval_days
 from dialoglens.operators import assemble
+from dialoglens.operators.joins import handled_calls
 from dialoglens.session import materialize
 from dialoglens.sources import readers, writers
 from dialoglens.tables import Tables
@@ -63,14 +64,37 @@ def historical_replay(db: Tables, status: DataFrame, days: int) -> DataFrame:
 
     Nothing is replayed while the mode is disabled. The mark moves on by finished slices.
     """
-    mark = status.filter((F.col("table_name") == HISTORICAL_MODE) & F.col("is_enabled")).agg(
-        F.max("last_processed_timestamp")
-    ).scalar()
-    begun = db.segments.withColumn("call_time", F.col("call_time").cast("timestamp"))
-    inside = begun.filter((F.col("call_time") >= mark) & (F.col("call_time") < mark + interval_days(days)))
-    done = db.processed_calls.filter("call_id is not null").select("call_id").distinct()
-    fresh = inside.select("call_id", F.date_trunc("day", "call_time").alias("slice")).distinct().join(done, "call_id", "left_anti")
-    return fresh.groupBy("slice").agg(F.count(F.lit(1)).alias("calls")).withColumn("mark", F.col("slice") + interval_days(1))
+    return _replayed(db, status, days).groupBy("slice").agg(F.count(F.lit(1)).alias("calls")).withColumn(
+        "mark", F.col("slice") + interval_days(1)
+    )
+
+
+def _replayed(db: Tables, status: DataFrame, days: int, source_type: str = "CALL") -> DataFrame:
+    """`call_id, slice` of the calls to replay; the bare time column lets the slice reach the scan."""
+    mark = status.filter((F.col("table_name") == HISTORICAL_MODE) & F.col("is_enabled")).agg(F.max("last_processed_timestamp")).first()[0]
+    if mark is None:
+        return db.segments.limit(0).select("call_id", F.lit(None).cast("timestamp").alias("slice"))
+    inside = day_slice(db.segments, "call_time", mark, days)
+    done = handled_calls(db.processed_calls, source_type)
+    day = F.date_trunc("day", F.col("call_time").cast("timestamp"))
+    return inside.select("call_id", day.alias("slice")).distinct().join(done, "call_id", "left_anti")
+
+
+def replay_history(db: Tables, status: DataFrame, days: int, spec: readers.SourceSpec) -> dict[str, DataFrame]:
+    """Replay the slices: `conversations, ledger, status`, the last with the mark behind the last slice.
+
+    A call is replayed whole, with the segments that it has outside the slices too.
+    """
+    calls = materialize(_replayed(db, status, days, spec.source_type), "replayed")
+    documents, handled = prepare_calls(db.segments, calls.select("call_id").distinct(), spec, db.as_of)
+    ledger = writers.mark_processed_backfill(materialize(handled, "handled"), db.processed_calls, db.as_of)
+    begun = (F.col("table_name") == HISTORICAL_MODE) & F.col("is_enabled")
+    end = F.least(F.col("last_processed_timestamp") + interval_days(days), clock(db.as_of))
+    moved = status.withColumn("last_processed_timestamp", F.when(begun, end).otherwise(F.col("last_processed_timestamp")))
+    if "total_processed" in status.columns:
+        count = F.when(begun, F.lit(calls.select("call_id").distinct().count())).otherwise(0)
+        moved = moved.withColumn("total_processed", F.col("total_processed") + count)
+    return {"conversations": documents, "ledger": ledger, "status": moved}
 
 
 def staleness(status: DataFrame, as_of, days: float = STALE_AFTER_DAYS) -> DataFrame:

@@ -121,13 +121,16 @@ query("R07_flush_stream", f"SELECT {ID} AS source_id, CAST(event_id % 100 AS DOU
 )
 
 
-def _historical(db, enabled: bool):
-    status = db.events.agg(F.min("ts").cast("timestamp").alias("first")).select(
+def _mark(db, enabled: bool):
+    return db.events.agg(F.min("ts").cast("timestamp").alias("first")).select(
         F.lit(ingest.HISTORICAL_MODE).alias("table_name"),
         F.date_trunc("day", "first").alias("last_processed_timestamp"),
         F.lit(enabled).alias("is_enabled"),
     )
-    return ingest.historical_replay(db, status, 10)
+
+
+def _historical(db, enabled: bool):
+    return ingest.historical_replay(db, _mark(db, enabled), 10)
 
 
 query(
@@ -139,6 +142,26 @@ query(
 query("R08_historical_replay_disabled", "SELECT NULL AS slice, NULL AS calls, NULL AS mark FROM events WHERE false")(
     lambda db: _historical(db, False)
 )
+REPLAYED = """call_id IN (SELECT call_id FROM seg WHERE call_time >= TIMESTAMP '2024-01-01' AND call_time < TIMESTAMP '2024-01-11')
+      AND call_id NOT IN (SELECT call_id FROM ledger)"""
+query("R08_replayed_conversations", f"SELECT call_id, pos, channel, text FROM ({LINES}) WHERE {REPLAYED}")(
+    lambda db: ingest.replay_history(db, _mark(db, True), 10, SPEC)["conversations"]
+    .select("call_id", F.posexplode("messages").alias("pos", "m"))
+    .select("call_id", "pos", F.col("m.channel").alias("channel"), F.col("m.text").alias("text"))
+)
+query(
+    "R08_replayed_ledger",
+    f"SELECT call_id, coalesce({REASON}, 'SENT') AS handled FROM ({STATS}) WHERE {REPLAYED}",
+)(
+    lambda db: ingest.replay_history(db, _mark(db, True), 10, SPEC)["ledger"].select(
+        "call_id", F.when(F.col("sqs_message_id").startswith("SKIPPED"), F.col("sqs_message_id")).otherwise("SENT").alias("handled")
+    )
+)
+query("R08_replayed_mark", "SELECT 'CDC_HISTORICAL_MODE' AS table_name, date_trunc('day', min(ts)) + INTERVAL 10 DAY AS mark FROM events")(
+    lambda db: ingest.replay_history(db, _mark(db, True), 10, SPEC)["status"].select(
+        "table_name", F.col("last_processed_timestamp").alias("mark")
+    )
+)
 query(
     "R09_backfill",
     """WITH s AS (SELECT call_id, count(*) AS n, count(DISTINCT owner) FILTER (owner IN ('A', 'C')) AS found FROM seg

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +241,35 @@ def test_result_schema_is_stable(spark, db):
 
     columns = normalize_results(readers.read_results(raw)).columns
     assert columns[:3] == ["call_id", "source_type", "customer_id"] and columns[-1] == "churn_score"
+
+
+def test_configuration_with_what_was_approved(spark):
+    from dialoglens.operators import workflow
+
+    kinds = "rec_id string, rec_type string, status string, rec_details string, created_at int"
+    told = [("1", "churn_keywords", "APPROVED", '{"keywords": ["leave", "go \\"now\\""]}', 1), ("2", "churn_keywords", "PENDING", '{"keywords": ["no"]}', 1),
+            ("3", "churn_threshold", "APPROVED", '{"recommended_value": 45}', 2)]
+    before = '{"version": "a b", "classifications": [{"name": "x"}], "churn_detection": {"enabled": true, "keywords": ["leave"], "threshold": 70}}'
+    path = fresh_path(spark, "config")
+    made = workflow.updated_config(spark.createDataFrame([(before,)], "config string"), spark.createDataFrame(told, kinds), 70)
+    workflow.write_config(made, path)
+    assert json.loads(spark.read.text(path).first()[0]) == {
+        "version": "a b", "classifications": [{"name": "x"}],
+        "churn_detection": {"enabled": True, "keywords": ["leave", 'go "now"'], "threshold": 45.0},
+    }
+    assert readers.read_prototypes(spark, path).count() == 0 and readers.read_categories(spark, path).count() == 1
+
+
+def test_reports_prune_months(spark, db):
+    from dialoglens.operators import calls, churn, customers, kpi  # noqa: F401
+
+    stored = {}
+    for name, time in (("conversation_summary", "conversation_time"), ("segments", "call_time")):
+        path = fresh_path(spark, name)
+        writers.write_partitioned(getattr(db, name), time, path)
+        stored[name] = spark.read.parquet(path)
+    months = db.replaced(**stored)
+    for report in (lambda d: kpi.summary_kpis(d, days=7), lambda d: calls.recent_conversations(d, 7), lambda d: calls.high_risk_calls(d, days=7)):
+        made = report(months)
+        assert "PartitionFilters: [isnotnull(month" in made._jdf.queryExecution().toString()
+        assert sorted(map(str, made.collect())) == sorted(map(str, report(db).collect()))
