@@ -189,7 +189,7 @@ def candidate_blocks(members: DataFrame) -> DataFrame:
     """(id, group, block): query sets and the blocks of smaller groups that may hold a set linked with them."""
     tokens = members.select("id", "n", "group", "block", F.explode("prefix").alias("token"))
     across = tokens.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("token")
-    shared = materialize(tokens.join(counted_small(materialize(across, "shared-tokens")), "token", "left_semi"), "shared")
+    shared = materialize(tokens.join(across, "token", "left_semi"), "shared")
     matrix = shared.groupBy("token", F.col("group").alias("g"), F.col("block").alias("b")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     met = (
         shared.join(matrix, "token").filter("group > g AND 4 * high >= 3 * n AND 3 * low <= 4 * n")
