@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dialoglens.operators import assemble, calls, results
 from dialoglens.operators.filters import success_gate
@@ -10,6 +10,8 @@ from dialoglens.operators.joins import transcripts
 from dialoglens.plans.registry import query, recent
 from dialoglens.session import fresh_path
 from dialoglens.sources import readers, writers
+from dialoglens.sources.store import ChangeTable
+from dialoglens.tables import PARTITIONED, SCHEMAS
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 REQUIRED, FEWEST = ("A", "C"), 3
@@ -358,13 +360,24 @@ query("T13_primary_category", f"SELECT {ID} AS call_id, {R_PRIMARY} AS classific
 query("T14_summary_text", f"SELECT {ID} AS call_id, 'sum ' || {ID} AS summary_text, {R_SENTIMENT} AS sentiment {GOOD}")(
     lambda db: _results(db).select("call_id", "summary_text", "sentiment")
 )
+
+
+def _replaced(db, name: str, keys: list[str], old: DataFrame, new: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """The stored table after a batch of old rows and one of new rows."""
+    table = ChangeTable(db.spark, fresh_path(db.spark, name), SCHEMAS[name], keys, time=PARTITIONED[name])
+    table.put(old, 0)
+    table.put(new, 1, touched)
+    return table.read()
+
+
 query(
     "S06_upsert_call_summary",
     f"""SELECT {ID} AS call_id, 'sum ' || {ID} AS summary_text, {R_SENTIMENT} AS sentiment, {R_PRIMARY} AS classification_primary,
       {R_TIME} AS call_time, CAST(user_id % 50 AS STRING) AS customer_id, 12 AS ml_processing_time_ms {GOOD}
       UNION ALL SELECT {ID}, 'old', 3, 'old', ts, 'old', 1 FROM events WHERE event_id % 10 <= 1""",
 )(
-    lambda db: writers.upsert_call_summary(
+    lambda db: _replaced(
+        db, "call_summary", ["call_id"],
         db.events.selectExpr(
             f"{ID} AS call_id", "'old' AS summary_text", "3 AS sentiment", "'old' AS classification_primary",
             "CAST(ts AS TIMESTAMP) AS call_time", "'old' AS customer_id", "1L AS ml_processing_time_ms",
@@ -395,7 +408,8 @@ COLUMNS = (
 def _upserted_summaries(db):
     old = db.conversation_summary.drop("sentiment_text").withColumn("conversation_time", F.col("conversation_time").cast("timestamp"))
     new = results.conversation_summary_rows(_results(db), db.segments, db.as_of)
-    merged = writers.upsert_conversation_summary(old, new.withColumn("churn_score", F.round("churn_score", 6)))
+    new = new.withColumn("churn_score", F.round("churn_score", 6))
+    merged = _replaced(db, "conversation_summary", ["source_type", "source_id"], old, new)
     return merged.selectExpr(*COLUMNS.split(", "))
 
 
@@ -410,8 +424,8 @@ query(
       SELECT * FROM n UNION ALL SELECT source_id, source_type, category_code FROM cat
       WHERE (source_id, source_type) NOT IN (SELECT (source_id, source_type) FROM n)""",
 )(
-    lambda db: writers.replace_categories(
-        db.conversation_category.drop("creation_date"), results.category_rows(_results(db), db.as_of).drop("creation_date")
+    lambda db: _replaced(
+        db, "conversation_category", ["source_id", "source_type"], db.conversation_category, results.category_rows(_results(db), db.as_of)
     ).select("source_id", "source_type", "category_code")
 )
 query(

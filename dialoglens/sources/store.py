@@ -42,7 +42,7 @@ class ChangeTable:
         version = F.unix_micros(F.col(self.order).cast("timestamp")) if self.order else F.lit(batch_id)
         fields = self.spark.createDataFrame([], self.schema).schema.fields
         present = set(self.keys if gone else rows.columns)
-        columns = [F.col(f.name) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
         return rows.select(*columns, version.cast("bigint").alias("_version"), F.lit(gone).alias("_gone"))
 
     def changes(self, first_month=None) -> DataFrame:
