@@ -38,6 +38,10 @@ SAMPLE = 8192
 LEVELS = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Bounds are widened by this much against rounding.
 SLACK = 1e-7
+#: The same for outlines, which are in single precision.
+ROUGH = 1e-3
+RUN = 200_000
+THIN = 0.05
 BLOCKS_A_TASK = 8
 
 MANIFEST_SCHEMA = "block long, cell int, path string, points long"
@@ -88,6 +92,16 @@ class Tree:
             np.maximum.at(most, node, away)
             self.radius.append(most)
 
+    @functools.cached_property
+    def outlines(self) -> np.ndarray:
+        """The first third of each point's components and the length of the rest, in single precision.
+
+        Outlines are never farther apart than their points, so what their distance prunes is pruned rightly.
+        """
+        k = max(1, self.points.shape[1] // 3)
+        rest = np.sqrt((self.points[:, k:] ** 2).sum(axis=1, keepdims=True))
+        return np.hstack([self.points[:, :k], rest]).astype(np.float32)
+
     @functools.cached_property
     def centres(self) -> list[np.ndarray]:
         return [np.unique(node) for node in self.levels]
@@ -103,6 +117,11 @@ class Tree:
             out.append((order, np.cumsum(counts) - counts, counts))
         return out
 
+    @functools.cached_property
+    def sums(self) -> list[np.ndarray]:
+        """For each level the weight of each node."""
+        return [np.bincount(node, weights=self.weights, minlength=len(self.ids)).astype(np.int64) for node in self.levels]
+
     def members(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Points of the nodes one level lower than `level`, and for each the place of its node in `nodes`."""
         order, begins, counts = self.below[level]
@@ -131,102 +150,132 @@ class Links:
         self.ids = left.ids if right is None else np.concatenate([left.ids, right.ids])
         self.shift = 0 if right is None else len(left.ids)
         self.counts = np.zeros(len(self.ids), np.int64)
-        self.parent = list(range(len(self.ids)))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+        self.parent = np.arange(len(self.ids))
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        at = self.parent[x]
+        while (at != self.parent[at]).any():
+            at = self.parent[at]
+        return at
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Connect each a with its b; only pairs that aren't connected yet cost a step."""
+        while True:
+            x, y = self.roots(a), self.roots(b)
+            apart = x != y
+            if not apart.any():
+                self.parent = self.roots(np.arange(len(self.parent)))
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with links, their counts, and an id that each is connected with."""
         some = np.flatnonzero(self.counts)
-        roots = np.array([self.root(int(x)) for x in some], np.int64)
-        return self.ids[some], self.counts[some], self.ids[roots]
+        return self.ids[some], self.counts[some], self.ids[self.roots(some)]
+
+
+def runs(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose counts add up to about `most`, or of one entry."""
+    sums, begin = np.cumsum(counts), 0
+    while begin < len(counts):
+        done = sums[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sums, done + most, side="right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def cosines(left: Tree, other: Tree, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", left.points[u], other.points[v])
+
+
+class Traversal:
+    """Dual traversal of two trees, or of one with itself. Memory is bounded: pairs go down in runs of about `RUN`."""
+
+    def __init__(self, left: Tree, right: Tree | None, cosine: float = COSINE):
+        self.left, self.other, self.same, self.cosine = left, left if right is None else right, right is None, cosine
+        self.limit = float(chord(np.array(cosine)))
+        self.links = Links(left, right)
+        for a, b in self.tops():
+            self.descend(0, a, b, cosines(left, self.other, a, b))
+
+    def tops(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of highest nodes in reach: thin ones by their outlines, those with a wide node by all components."""
+        rows, columns = self.left.centres[0], self.other.centres[0]
+        thin_rows, thin_columns = self.left.radius[0][rows] <= THIN, self.other.radius[0][columns] <= THIN
+        least = np.float32(1.0 - (self.limit + 2 * THIN + ROUGH) ** 2 / 2.0)
+        for some, across, thin in (
+            (rows[thin_rows], columns[thin_columns], True), (rows[thin_rows], columns[~thin_columns], False), (rows[~thin_rows], columns, False)
+        ):
+            for begin in range(0, len(some) if len(across) else 0, 512):
+                x = some[begin:begin + 512]
+                if thin:
+                    met = self.left.outlines[x] @ self.other.outlines[across].T >= least
+                else:
+                    reach = self.limit + SLACK + self.left.radius[0][x][:, None] + self.other.radius[0][across]
+                    met = chord(self.left.points[x] @ self.other.points[across].T) <= reach
+                x, y = (k[at] for k, at in zip((x, across), np.nonzero(met), strict=True))
+                if self.same:
+                    x, y = x[x <= y], y[x <= y]
+                for part in runs(np.ones(len(x), np.int64), RUN):
+                    yield x[part], y[part]
+
+    def descend(self, level: int, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
+        """Prune node pairs, link whole ones, and open the others."""
+        away, r = chord(near), self.left.radius[level][a] + self.other.radius[level][b]
+        whole = away + r + SLACK <= self.limit
+        self.link_whole(level, a[whole], b[whole])
+        open_ = (away - r - SLACK <= self.limit) & ~whole
+        a, b = a[open_], b[open_]
+        for part in runs(self.left.below[level][2][a], RUN):
+            u, at = self.left.members(level, a[part])
+            nodes, twice = b[part][at], (a[part] == b[part])[at] & self.same
+            for inner in runs(self.other.below[level][2][nodes], RUN):
+                v, where = self.other.members(level, nodes[inner])
+                self.lower(level + 1, u[inner][where], v, twice[inner][where])
+
+    def lower(self, level: int, u: np.ndarray, v: np.ndarray, twice: np.ndarray) -> None:
+        """Go on with what node pairs hold; a node beside itself holds each pair twice."""
+        points = level == len(LEVELS)
+        keep = ~twice | ((u < v) if points else (u <= v))
+        u, v = u[keep], v[keep]
+        near = cosines(self.left, self.other, u, v)
+        if not points:
+            if len(u):
+                self.descend(level, u, v, near)
+            return
+        u, v = u[near >= self.cosine], v[near >= self.cosine]
+        np.add.at(self.links.counts, u, self.other.weights[v])
+        np.add.at(self.links.counts, v + self.links.shift, self.left.weights[u])
+        self.links.join(u, v + self.links.shift)
+
+    def link_whole(self, level: int, a: np.ndarray, b: np.ndarray) -> None:
+        """Link all points of node pairs without comparing them."""
+        if not len(a):
+            return
+        left, other, links = self.left, self.other, self.links
+        gain_left, gain_right = np.zeros(len(left.ids), np.int64), np.zeros(len(other.ids), np.int64)
+        np.add.at(gain_left, a, other.sums[level][b])
+        once = (a != b) if self.same else np.ones(len(a), bool)
+        np.add.at(gain_right, b[once], left.sums[level][a[once]])
+        if self.same:
+            own = np.zeros(len(left.ids), bool)
+            own[a[~once]] = True
+            links.counts += (gain_left + gain_right)[left.levels[level]] - np.where(own[left.levels[level]], left.weights, 0)
+        else:
+            links.counts[: links.shift] += gain_left[left.levels[level]]
+            links.counts[links.shift:] += gain_right[other.levels[level]]
+        links.join(a, b + links.shift)
+        for tree, nodes, shift in ((left, a, 0), (other, b, links.shift)):
+            marks = np.zeros(len(tree.ids), bool)
+            marks[nodes] = True
+            points = np.flatnonzero(marks[tree.levels[level]])
+            links.join(points + shift, tree.levels[level][points] + shift)
 
 
 def traverse(left: Tree, right: Tree | None, cosine: float = COSINE) -> Links:
-    """All links between two trees, or inside one: node pairs are pruned, linked whole, or opened level by level."""
-    same, other = right is None, left if right is None else right
-    out, limit = Links(left, right), float(chord(np.array(cosine)))
-    rows, columns = left.centres[0], other.centres[0]
-    pairs = []
-    for begin in range(0, len(rows), 1024):
-        some = rows[begin:begin + 1024]
-        near = left.points[some] @ other.points[columns].T
-        reach = limit + left.radius[0][some] + other.radius[0][columns].max(initial=0.0) + SLACK
-        x, y = np.nonzero(near >= np.where(reach < 2.0, 1.0 - reach * reach / 2.0, -2.0)[:, None])
-        keep = some[x] <= columns[y] if same else slice(None)
-        pairs.append((some[x][keep], columns[y][keep], near[x, y][keep]))
-    a, b, near = (np.concatenate(z) for z in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64),) * 3
-    for level in range(len(LEVELS)):
-        away, r = chord(near), left.radius[level][a] + other.radius[level][b]
-        link_whole(out, left, other, same, level, a, b, away + r + SLACK <= limit)
-        open_ = (away - r - SLACK <= limit) & (away + r + SLACK > limit)
-        nexts = []
-        for begin in range(0, int(open_.sum()), 4096):
-            x, y = a[open_][begin:begin + 4096], b[open_][begin:begin + 4096]
-            nexts.append(opened(left, other, same, level, x, y, limit if level + 1 < len(LEVELS) else None, cosine))
-        a, b, near = (np.concatenate(z) for z in zip(*nexts, strict=True)) if nexts else (np.empty(0, np.int64),) * 3
-    np.add.at(out.counts, a, other.weights[b])
-    np.add.at(out.counts, b + out.shift, left.weights[a])
-    for x, y in zip(a.tolist(), (b + out.shift).tolist(), strict=True):
-        out.join(x, y)
-    return out
-
-
-def opened(left: Tree, other: Tree, same: bool, level: int, a: np.ndarray, b: np.ndarray, limit: float | None, cosine: float):
-    """Pairs of what node pairs hold one level lower: those still in reach, or, of points, those that link."""
-    u, at = left.members(level, a)
-    counts = other.below[level][2][b][at]
-    v, where = other.members(level, b[at])
-    u = u[where]
-    if same:
-        keep = u <= v if limit is not None else u < v
-        twice = (a == b)[at][where]
-        keep |= ~twice
-        u, v = u[keep], v[keep]
-    near = np.einsum("ij,ij->i", left.points[u], other.points[v]) if len(u) < 200_000 else np.concatenate(
-        [np.einsum("ij,ij->i", left.points[u[k:k + 200_000]], other.points[v[k:k + 200_000]]) for k in range(0, len(u), 200_000)]
-    )
-    if limit is None:
-        hit = near >= cosine
-    else:
-        hit = chord(near) <= limit + left.radius[level + 1][u] + other.radius[level + 1][v] + SLACK
-    return u[hit], v[hit], near[hit]
-
-
-def link_whole(out: Links, left: Tree, other: Tree, same: bool, level: int, a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> None:
-    """Link all points of some node pairs without comparing them."""
-    if not whole.any():
-        return
-    sums = [np.bincount(t.levels[level], weights=t.weights, minlength=len(t.ids)).astype(np.int64) for t in (left, other)]
-    gain_left, gain_right = np.zeros(len(left.ids), np.int64), np.zeros(len(other.ids), np.int64)
-    a, b = a[whole], b[whole]
-    np.add.at(gain_left, a, sums[1][b])
-    once = (a != b) if same else np.ones(len(a), bool)
-    np.add.at(gain_right, b[once], sums[0][a[once]])
-    if same:
-        out.counts += (gain_left + gain_right)[left.levels[level]]
-        own = np.zeros(len(left.ids), bool)
-        own[a[~once]] = True
-        out.counts -= np.where(own[left.levels[level]], left.weights, 0)
-    else:
-        out.counts[: out.shift] += gain_left[left.levels[level]]
-        out.counts[out.shift:] += gain_right[other.levels[level]]
-    for x, y in zip(a.tolist(), (b + out.shift).tolist(), strict=True):
-        out.join(x, y)
-    touched = [np.zeros(len(left.ids), bool), np.zeros(len(other.ids), bool)]
-    touched[0][a], touched[1][b] = True, True
-    for tree, marks, shift in ((left, touched[0], 0), (other, touched[1], out.shift)):
-        for x in np.flatnonzero(marks[tree.levels[level]]).tolist():
-            out.join(x + shift, int(tree.levels[level][x]) + shift)
+    """All links between two trees, or inside one."""
+    return Traversal(left, right, cosine).links
 
 
 # ---- jobs ----------------------------------------------------------------------------------------------------------
