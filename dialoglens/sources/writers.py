@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dialoglens.functions.numbers import null_to_zero
 from dialoglens.functions.timing import clock, interval_days, since
 from dialoglens.sources.readers import CONVERSATION_MESSAGE
-from dialoglens.tables import PARTITIONED
 
 SENDER = "on-premises-cdc"
 MAX_RETRIES = 3
