@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dialoglens.session import materialize
 
 SMALL_ROWS = 1_000_000
+BATCH_ROWS = 3000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs run inside hand whole texts to Python in batches of at most `rows`, which bounds the memory of a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def counted_small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:

@@ -27,11 +27,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from dialoglens.llm.graph import components, counted_small
+from dialoglens.llm.graph import components, counted_small, small_batches
 from dialoglens.llm.shingles import mixed, odd_numbers, shingle_sets, text_slices
 from dialoglens.session import materialize
 
 KEYS = 4
+BATCH_BYTES = 8_000_000
 BLOCK = 64
 QUERIES_A_BLOCK = 256
 #: A token is common when batches that hold it at least twice count so many documents, and so large a share of all.
@@ -63,7 +64,7 @@ def repeated_tokens(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in text_slices(batch.column(0), 16_000_000):
+            for begin, end in text_slices(batch.column(0), BATCH_BYTES):
                 sets = [s for x, y in text_slices(batch.column(0)[begin:end]) for s in shingle_sets(batch.column(0)[begin:end][x:y])]
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
                 again = counts > 1
@@ -230,18 +231,19 @@ def block_links(docs: DataFrame, members: DataFrame, candidates: DataFrame) -> D
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    common = common_tokens(docs, docs.count())
-    sketched = materialize(sketches(docs, common), "sketches")
-    sign = ["sign_a", "sign_b", "n"]
-    known = sketched.filter("doc_id IS NOT NULL AND n > 0")
-    classes = known.groupBy(*sign).agg(F.min("doc_id").alias("id"))
-    placed = materialize(known.select("doc_id", *sign).join(classes, sign).select("doc_id", "n", "id"), "classes")
-    copies = materialize(placed.filter("doc_id <> id").select("doc_id").distinct(), "copies")
-    kept = known.join(counted_small(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "keys", "prefix")
-    first = minhash_links(docs, kept)
-    members = with_blocks(kept, materialize(components(first), "groups"))
-    links = materialize(block_links(docs, members, candidate_blocks(members)), "links")
-    alike = materialize(components(first.union(links)), "components")
+    with small_batches(docs.sparkSession):
+        common = common_tokens(docs, docs.count())
+        sketched = materialize(sketches(docs, common), "sketches")
+        sign = ["sign_a", "sign_b", "n"]
+        known = sketched.filter("doc_id IS NOT NULL AND n > 0")
+        classes = known.groupBy(*sign).agg(F.min("doc_id").alias("id"))
+        placed = materialize(known.select("doc_id", *sign).join(classes, sign).select("doc_id", "n", "id"), "classes")
+        copies = materialize(placed.filter("doc_id <> id").select("doc_id").distinct(), "copies")
+        kept = known.join(counted_small(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "keys", "prefix")
+        first = minhash_links(docs, kept)
+        members = with_blocks(kept, materialize(components(first), "groups"))
+        links = materialize(block_links(docs, members, candidate_blocks(members)), "links")
+        alike = materialize(components(first.union(links)), "components")
     found = placed.join(counted_small(alike.withColumnRenamed("node", "id")), "id", "left")
     rest = sketched.filter("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")).unionByName(rest)

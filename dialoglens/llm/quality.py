@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dialoglens.llm.graph import counted_small, row_key
+from dialoglens.llm.graph import counted_small, row_key, small_batches
 from dialoglens.llm.shingles import text_bytes, text_slices, word_hashes
 from dialoglens.session import materialize
 
@@ -91,7 +91,8 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], batch.column(2)[begin:end], x], names=["doc_id", "row", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
-    return materialize(rows.mapInArrow(make, "doc_id long, row long, x array<double>"), "statistics")
+    with small_batches(docs.sparkSession):
+        return materialize(rows.mapInArrow(make, "doc_id long, row long, x array<double>"), "statistics")
 
 
 # ---- model ---------------------------------------------------------------------------------------------------------

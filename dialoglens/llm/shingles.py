@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WIDTH = 5
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
