@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
-SLICE_BYTES = 2_000_000
-CACHED_STRETCHES = 300_000
+SLICE_BYTES = 1_000_000
+CACHED_STRETCHES = 100_000
 THREADS = 2
 
+ROUND_TRIP_SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean, text string"
 ENCODED_SCHEMA = "doc_id long, ids array<int>, parity boolean, text_bytes long, text_crc32 long"
 
 
@@ -120,13 +122,12 @@ class PieceCoder:
             bare = [s[1:].replace(MARKER, " ") if s.startswith(MARKER) else None for s in stretches]
             checks = self.own.encode([b or "" for b in bare], num_threads=THREADS)
             checks = [c if b else None for b, c in zip(bare, checks, strict=True)]
-        for stretch, one, check in zip(stretches, coded, checks, strict=True):
-            ids = one.ids
-            self.known[stretch] = len(self.begins)
-            self.begins.append(len(self.ids))
-            self.lengths.append(len(ids))
-            self.agree.append(check is None or check == ids)
-            self.ids.extend(ids)
+        ids = [one.ids for one in coded]
+        self.known.update(zip(stretches, count(len(self.known))))
+        self.begins.extend(accumulate(map(len, ids[:-1]), initial=len(self.ids)) if ids else ())
+        self.lengths.extend(map(len, ids))
+        self.agree.extend(check is None or check == own for own, check in zip(ids, checks, strict=True))
+        self.ids.extend(chain.from_iterable(ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after the other, the number of ids of each text, and whether its stretches agree."""
@@ -159,8 +160,9 @@ class PieceCoder:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def coder(path: str, verify: bool = True) -> PieceCoder:
+    """One model for each worker process; the stretches that it knows are forgotten at the end of a task."""
     return PieceCoder(path, verify)
 
 
@@ -182,6 +184,7 @@ def encode_documents(docs: DataFrame, model: str, verify: bool = True) -> DataFr
                      pa.array([len(p) for p in plain], pa.int64()), pa.array([zlib.crc32(p) for p in plain], pa.int64())],
                     names=["doc_id", "ids", "parity", "text_bytes", "text_crc32"],
                 )
+        run.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, ENCODED_SCHEMA)
 
@@ -194,23 +197,38 @@ def decode_documents(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("d
         run = coder(model, False)
         for batch in batches:
             ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False))
-            begin = 0
+            ids, begin = batch.column("ids").flatten().to_numpy(zero_copy_only=False), 0
             while begin < batch.num_rows:
                 done = ends[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES // 4, side="right")))
-                part = batch.slice(begin, end - begin)
-                texts = run.decode(part.column("ids").to_pylist())
+                part, cuts = batch.slice(begin, end - begin), [int(done), *ends[begin:end].tolist()]
+                texts = run.decode([ids[x:y].tolist() for x, y in zip(cuts, cuts[1:], strict=False)])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
                 begin = end
 
     return encoded.select(*keep, "ids").mapInArrow(decode, f"{kinds}, text string")
 
 
-def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """What encoding and then decoding all documents gives."""
-    keep = ("doc_id", "n_pieces", "ids_crc32", "parity", "text_bytes", "text_crc32")
-    encoded = encode_documents(docs, model).withColumns({
-        "n_pieces": F.size("ids").cast("long"), "ids_crc32": F.crc32(F.array_join("ids", ",").cast("binary")),
-    })
-    same = (F.octet_length("text") == F.col("text_bytes")) & (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32"))
-    return decode_documents(encoded, model, keep).select("doc_id", "n_pieces", "ids_crc32", "parity", same.alias("round_trip"), "text")
+def round_trip(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
+    """What encoding and then decoding all documents gives, both in one pass of a task over its texts.
+
+    `ids_crc32` is that of the ids as little-endian 32-bit integers.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = coder(model, verify)
+        for batch in batches:
+            for begin, end in text_slices(batch.column(1), SLICE_BYTES):
+                texts = batch.column(1)[begin:end]
+                ids, lengths, agree = run.encode(texts)
+                cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+                each = [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                back = pa.array(run.decode([one.tolist() for one in each]), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[begin:end], pa.array(lengths, pa.int64()), pa.array([zlib.crc32(one.astype("<i4").tobytes()) for one in each], pa.int64()),
+                     pa.array(agree), pc.equal(back, pc.fill_null(texts, "")), back],
+                    names=["doc_id", "n_pieces", "ids_crc32", "parity", "round_trip", "text"],
+                )
+        run.forget()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(code, ROUND_TRIP_SCHEMA)

@@ -86,6 +86,10 @@ def test_pieces_of_odd_rows(odd_docs, no_docs):
     found = rows(pieces.round_trip(odd_docs, MODEL).select("doc_id", "n_pieces", "parity", "round_trip", F.length("text")))
     assert len(found) == 9 and all(r[2] and r[3] for r in found)
     assert {r[0]: r[1] for r in found if r[0] in (1, 2)} == {1: 0, 2: 0}
+    encoded = pieces.encode_documents(odd_docs, MODEL)
+    decoded = pieces.decode_documents(encoded, MODEL, ("doc_id", "parity"))
+    told = {(r.doc_id, r.text or "") for r in odd_docs.collect()}
+    assert {(r.doc_id, r.text) for r in decoded.collect()} == told and decoded.columns == ["doc_id", "parity", "text"]
     assert pieces.round_trip(no_docs, MODEL).count() == 0
 
 
