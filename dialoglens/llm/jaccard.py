@@ -204,7 +204,9 @@ def candidate_blocks(members: DataFrame) -> DataFrame:
         behind = F.ceil(F.greatest(F.col("n"), other) * 3 / 4) - 1
         return F.ceil((F.col("n") + other) * 3 / 7) - behind
 
-    return met.filter((F.col("met") >= least(low)) | (F.col("met") >= least(high))).select("id", "g", "b")
+    # up to n the least number grows with the size; above it falls, but for single steps up: two sizes more never need more
+    sizes = (low, high, F.greatest(low, high - 1))
+    return met.filter(F.col("met") >= F.least(*map(least, sizes))).select("id", "g", "b")
 
 
 def block_links(docs: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -407,6 +407,34 @@ def test_classes_where_everything_is_common(spark, monkeypatch):
     assert found == shingle_classes(told)
 
 
+def test_no_size_in_a_block_is_passed_over(spark):
+    query, block = [*range(2, 11), 100], [list(range(11)), list(range(-1, 11)), list(range(10))]
+    sets = [(5, query, 5), *((k, s, 1) for k, s in enumerate(block, 1))]
+    members = [(k, len(s), s[: jaccard.prefix_length(len(s))], group, 0) for k, s, group in sets]
+    assert len({*query} & {*block[0]}) == jaccard.needed(10, 11)
+    found = jaccard.candidate_blocks(spark.createDataFrame(members, "id long, n long, prefix array<long>, group long, block int"))
+    assert rows(found) == [(5, 1, 0)]
+
+
+def test_bound_of_a_block_is_the_least_of_all_its_sizes(spark):
+    def least(n, o):
+        return jaccard.needed(n, o) - max(n - jaccard.prefix_length(n), o - jaccard.prefix_length(o))
+
+    # two members, of the smallest and the largest size, share the first `met` tokens of the query's prefix
+    members, wanted = [], set()
+    for n in (10, 17, 24, 40):
+        for low in range(-(-3 * n // 4), 4 * n // 3 + 1):
+            for high in range(low, 4 * n // 3 + 1):
+                for met in range(1, jaccard.prefix_length(n) + 1):
+                    k = 10 * len(members)
+                    tokens = [1000 * k + t for t in range(jaccard.prefix_length(n))]
+                    members += [(k + 5, n, tokens, k + 5, 0), (k, low, tokens[:met], k, 0), (k + 1, high, tokens[:met], k, 0)]
+                    if met >= min(least(n, o) for o in range(low, high + 1)):
+                        wanted.add((k + 5, k, 0))
+    found = jaccard.candidate_blocks(spark.createDataFrame(members, "id long, n long, prefix array<long>, group long, block int"))
+    assert {*rows(found)} == wanted and 0 < len(wanted) < len(members) // 3
+
+
 def test_classes_of_odd_rows(odd_docs, no_docs):
     found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.similarity_classes(odd_docs).collect()))
     assert found == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 5, 5), (6, 76, 6), (6, 76, 6), (7, 0, 7)]
