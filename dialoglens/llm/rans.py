@@ -7,7 +7,8 @@ and a checksum, so each block decodes alone; numpy decodes all blocks of a file
 
 Texts become ids in two steps that give what the tokenizer gives for the whole text: texts are parted at white space
 and between a letter and an ASCII sign, where this tokenizer always parts and drops the space, and each different
-part of a batch is encoded once.
+part of a batch is encoded once. The tokenizer finds its added tokens (such as `<|endoftext|>`) in the raw text, before
+anything is parted or lower-cased: a text that holds one is encoded whole.
 
 Defined results: a NULL or empty text is the end id alone; rows without doc_id come first; rows repeated with one id
 follow each other; an empty table gives no rows.
@@ -34,7 +35,7 @@ MAGIC = b"RANSTOK1"
 LANES, STEPS = 32, 2048
 LOW = np.uint64(1 << 31)
 FILE_TOKENS = 4_000_000
-TEXT_SLICE = 8_000_000
+TEXT_SLICE, WHOLE_SLICE = 8_000_000, 1_000_000
 CACHED_PARTS = 400_000
 
 MANIFEST_SCHEMA = "part int, file int, path string, docs long, tokens long, bytes long"
@@ -50,6 +51,7 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -64,9 +66,26 @@ class PartEncoder:
             self.lengths.append(len(ids))
             self.ids.extend(ids)
 
+    def whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that aren't parted, and the number of ids of each text."""
+        ids, lengths = [np.empty(0, np.uint32)], []
+        for begin, end in text_slices(texts, WHOLE_SLICE):
+            for coded in self.tokenizer.encode_batch_fast(texts[begin:end].to_pylist(), add_special_tokens=False):
+                ids.append(np.array(coded.ids, np.uint32))
+                lengths.append(len(ids[-1]))
+        return np.concatenate(ids), np.array(lengths, np.int64)
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text closed by `end_id`, and the number of ids of each text."""
-        plain = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[\t-\r]", " ")
+        texts = pc.fill_null(texts, "")
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        late, more = np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        if holds.any():
+            late, more[holds] = self.whole(texts.filter(pa.array(holds)))
+            texts = pc.if_else(pa.array(holds), "", texts)
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"[\t-\r]", " ")
         parted = pc.replace_substring_regex(plain, r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2")
         words = pc.split_pattern(parted, " ")
         coded = words.flatten().dictionary_encode()
@@ -82,8 +101,12 @@ class PartEncoder:
         source = np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32)
         offsets = words.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        closes = ends[offsets[1:]]
-        return np.insert(source[at], closes, end_id).astype(np.uint32), np.diff(ends[offsets]) + 1
+        # behind a text's parts come its ids as a whole, if it has such, and the end id
+        behind = np.full(len(texts) + len(late), end_id, np.uint32)
+        last = np.zeros(len(behind), bool)
+        last[np.cumsum(more + 1) - 1] = True
+        behind[~last] = late
+        return np.insert(source[at], np.repeat(ends[offsets[1:]], more + 1), behind).astype(np.uint32), np.diff(ends[offsets]) + 1 + more
 
 
 @functools.lru_cache(maxsize=2)

@@ -312,6 +312,18 @@ def test_parts_give_the_ids_of_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == whole
 
 
+def test_added_tokens_are_found_in_the_raw_text(spark):
+    texts = ["hello <|endoftext|> world", "<|startoftext|>A B<|endoftext|>", "plain. text", "<|endoftext|>", "", None, "É<|endoftext|>\u0301x's", "<|ENDOFTEXT|> <|endoftext |>",
+             "<|endoftext|>" * 3, "last"]
+    docs = list(enumerate(texts))
+    found = rows(rans.token_files(spark.createDataFrame(docs, "doc_id long, text string"), WORDS))
+    assert sorted(found) == token_digests(docs)
+    ids, lengths = rans.encoder(WORDS).encode(pa.array(texts[:1]), 2)
+    assert ids.tolist() == [3306, 49407, 1002, 2] and lengths.tolist() == [4]
+    ids, lengths = rans.encoder(WORDS).encode(pa.array([], pa.string()), 2)
+    assert not len(ids) and not len(lengths)
+
+
 @pytest.mark.parametrize("ids", [[7], [5] * 200_000, list(range(70_000)), np.random.default_rng(1).zipf(1.3, 300_000) % 49_408])
 def test_rans_blocks_decode_alone(ids):
     ids = np.array(ids, np.uint32)
