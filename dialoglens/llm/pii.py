@@ -6,10 +6,16 @@ to the other. The result is written in the same format and is valid again. The p
 format, so equal values stay equal in all documents, different values stay different, and the holder of the key can
 undo it. An e-mail address is no number: its parts are replaced by a keyed hash of theirs.
 
+Numbers that stand beside a card, such as a security code or an expiry month, look like a part of it. So a whole run of
+numbers is taken, up to a value of another form, and the cards in it are those that are valid: first unbroken numbers
+and the usual groups (4-4-4-4, 4-6-5, 4-6-4) wherever they are, then the run as one card, then the run without its first
+or last number. What is left is read from left to right in stretches of up to 19 digits. A card in unusual groups with
+two or more numbers on one side of it may be missed.
+
 | Value | Kept | Permuted |
 |---|---|---|
 | card number, 13-19 digits | length, separators, first digit | other digits; the check digit is computed anew |
-| phone number with country code | country code, separators | national digits |
+| phone number with country code, separated or not (E.164) | country code, separators | national digits |
 | IPv4 address | form | the 32 bits |
 | social security number | form | all valid numbers |
 | date (ISO, m/d/y, d.m.y), 1801-2100 | form, century | days of the century |
@@ -29,13 +35,25 @@ KEY = "change me: the key of the pseudonyms"
 #: Forms of the values.
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{4}",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}|\+[1-9][0-9]{7,14}",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "hex": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
+#: A run of numbers as long as a card or longer. It ends before a value of another form.
+FORMS["card"] = (
+    r"(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![0-9A-Za-z])(?:[ -](?!(?:"
+    + "|".join(FORMS[kind] for kind in ("email", "date", "ip", "ssn", "hex")) + r")(?![0-9A-Za-z]))[0-9]++(?![0-9A-Za-z]))*+"
+)
+ONE_CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Where cards may be in a run, likely places first. Places of one form may overlap.
+PLACES = (
+    *(rf"(?<![0-9])(?=({form})(?![0-9]))" for form in ("[0-9]{13,19}", "[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}")),
+    f"^({ONE_CARD})$", f"^({ONE_CARD})[ -][0-9]+$", f"^[0-9]+[ -]({ONE_CARD})$", f"^[0-9]+[ -]({ONE_CARD})[ -][0-9]+$",
+)
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 DATE_FORMATS = {r"[0-9]{4}-.*": "yyyy-MM-dd", r".*/.*": "M/d/yyyy", r".*\..*": "d.M.yyyy"}
 #: First day, and two factors of the number of days, of each century.
 CENTURIES = (("1801-01-01", 92, 397), ("1901-01-01", 75, 487), ("2001-01-01", 92, 397))
@@ -110,19 +128,45 @@ def refilled(form: Column, digits: Column) -> Column:
     return F.aggregate(F.split(form, ""), empty, step, lambda s: s["out"])
 
 
+def exchanged(text: Column, form: str, new) -> Column:
+    """`text` with each match of `form` replaced by what `new` makes of it."""
+    values, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
+    return F.array_join(F.flatten(F.zip_with(between, F.transform(values, new), lambda b, v: F.array(b, F.coalesce(v, F.lit(""))))), "")
+
+
 # ---- kinds: each gives NULL for what isn't valid -------------------------------------------------------------------
 
+def valid_card(value: Column) -> Column:
+    digits = digits_of(value)
+    return (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & ~digits.rlike("^0*$")
+
+
+def cards(value: Column, key: str) -> Column:
+    """A run of numbers with each card in it replaced. A card that is found is kept apart as <letters>."""
+    places = F.concat(*(F.regexp_extract_all(value, F.lit(place), F.lit(1)) for place in PLACES))
+
+    def apart(run, found):
+        bounded = F.concat(F.lit("(?<![0-9a-j])"), found, F.lit("(?![0-9a-j])"))
+        return F.regexp_replace(run, bounded, F.concat(F.lit("<"), F.translate(found, "0123456789", "abcdefghij"), F.lit(">")))
+
+    marked = F.aggregate(F.filter(F.array_distinct(places), valid_card), value, apart)
+    return exchanged(
+        marked, f"<[^>]*>|(?<![0-9]){ONE_CARD}(?![0-9])",
+        lambda v: F.coalesce(card(F.translate(v, "abcdefghij<>", "0123456789"), key), v),
+    )
+
+
 def card(value: Column, key: str) -> Column:
     digits = digits_of(value)
     n = F.length(digits)
     body = F.concat(F.substring(digits, 1, 1), permuted_digits(F.substr(digits, F.lit(2), n - 2), 10, key, F.concat(F.lit("card"), F.substring(digits, 1, 1))))
     check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    valid = (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & ~digits.rlike("^0*$")
-    return F.when(valid, refilled(value, F.concat(body, check.cast("string"))))
+    return F.when(valid_card(value), refilled(value, F.concat(body, check.cast("string"))))
 
 
 def phone(value: Column, key: str) -> Column:
-    code = digits_of(F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))
+    apart = F.regexp_extract(value, r"^\+([0-9]{1,3})[^0-9]", 1)
+    code = F.when(apart == "", F.regexp_extract(value, COUNTRY, 1)).otherwise(apart)
     digits = digits_of(value)
     nation = F.substr(digits, F.length(code) + 1, F.length(digits))
     return F.when(F.length(digits) <= 15, refilled(value, F.concat(code, permuted_digits(nation, 10, key, F.concat(F.lit("phone"), code)))))
@@ -183,7 +227,7 @@ def email(value: Column, key: str) -> Column:
     return F.concat(F.lit("u"), keyed(value, 12), F.lit("@h"), keyed(F.substring_index(value, "@", -1), 8), F.lit(".invalid"))
 
 
-KINDS = {"email": email, "phone": phone, "date": date, "ip": ip, "ssn": ssn, "hex": hex_key, "card": card}
+KINDS = {"email": email, "phone": phone, "date": date, "ip": ip, "ssn": ssn, "hex": hex_key, "card": cards}
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -197,8 +241,5 @@ def pseudonym(value: Column, key: str) -> Column:
 def with_pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """`docs` with the private values in column `text` replaced. Rows stay where they are: nothing is shuffled."""
     body = F.col(text)
-    values = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
-    between = F.split(body, ANY, -1)
-    new = F.transform(values, lambda v: pseudonym(v, key))
-    whole = F.array_join(F.flatten(F.zip_with(between, new, lambda b, v: F.array(b, F.coalesce(v, F.lit(""))))), "")
+    whole = exchanged(body, ANY, lambda v: pseudonym(v, key))
     return docs.withColumn(text, F.when(body.rlike(MAYBE), whole).otherwise(body))

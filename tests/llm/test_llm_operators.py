@@ -503,6 +503,34 @@ def test_pseudonyms_keep_their_format(spark):
     assert luhn(re.sub(r"\D", "", again[0])) and luhn(again[1].split()[-1])
 
 
+def test_cards_beside_other_numbers(spark):
+    plain, amex = "4111111111111111", "3782 822463 10005"
+    texts = ["4111 1111 1111 1111 123", f"{plain} 12/27", f"no 2 {plain}", "12 34 4111-1111-1111-1111 1111 5", f"{plain} {plain} 7", f"1 {amex} 1234", "x 41111111 11111111 99",
+             "1234 4111 1111 1111 1111 2024-02-29", f"{plain} 12/27/2027", f"{plain} 10.0.0.1", f"{plain} 123-45-6789", f"{plain} 77a", f"{plain} 123@mail.example.com",
+             " ".join(["4111 1111 1111 1111 5"] * 3000)]
+    new = replaced(spark, texts)
+    card, short = replaced(spark, [plain, amex])
+    four = [card[k:k + 4] for k in range(0, 16, 4)]
+    assert card != plain and short != amex
+    assert new[:7] == [f"{' '.join(four)} 123", f"{card} 12/27", f"no 2 {card}", f"12 34 {'-'.join(four)} 1111 5", f"{card} {card} 7", f"1 {short} 1234", f"x {card[:8]} {card[8:]} 99"]
+    assert new[7].startswith(f"1234 {' '.join(four)} 20") and "2024-02-29" not in new[7]
+    others = replaced(spark, ["12/27/2027", "10.0.0.1", "123-45-6789", "77a", "123@mail.example.com"])
+    assert new[8:13] == [f"{card} {other}" for other in others] and "123@mail" not in new[12]
+    assert new[13] == " ".join([f"{' '.join(four)} 5"] * 3000)
+    same = ["4111 1111 1111 1112 123", "7 " * 5000, "12345678901234567890123 4", "1" * 5000, "1-" * 5000]
+    found = replaced(spark, same)
+    assert found[0] == same[0] and found[2:4] == same[2:4]
+    assert [len(f) for f in found] == [len(t) for t in same]
+
+
+def test_phones_without_separators(spark):
+    texts = ["+15551234567", "+4915112345678", "+1 5551234567", "+35312345678", "+29912345", "call +15551234567."]
+    new = replaced(spark, texts)
+    assert all(n != t and len(n) == len(t) for n, t in zip(new, texts, strict=True))
+    assert [n[:len(code)] for n, code in zip(new, ("+1", "+49", "+1 ", "+353", "+299", "call +1"), strict=True)] == ["+1", "+49", "+1 ", "+353", "+299", "call +1"]
+    assert replaced(spark, ["+1555", "1+1234567", "+0123456789012345678"]) == ["+1555", "1+1234567", "+0123456789012345678"]
+
+
 def test_permutations_are_those_of_the_rounds(spark):
     octets = "97.51.17.173".split(".")
     a, b = feistel(int(octets[0]) * 256 + int(octets[1]), int(octets[2]) * 256 + int(octets[3]), 65536, 65536, "ip")
