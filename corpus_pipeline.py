@@ -37,7 +37,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, and the text that they decode to."""
+    """Piece ids of each document as little-endian 32-bit integers (`ids`), and the text that they decode to."""
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -39,7 +39,7 @@ SLICE_BYTES = 1_000_000
 CACHED_STRETCHES = 100_000
 THREADS = 2
 
-ROUND_TRIP_SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean, text string"
+ROUND_TRIP_SCHEMA = "doc_id long, ids binary, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean, text string"
 ENCODED_SCHEMA = "doc_id long, ids array<int>, parity boolean, text_bytes long, text_crc32 long"
 
 
@@ -212,7 +212,7 @@ def decode_documents(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("d
 def round_trip(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
     """What encoding and then decoding all documents gives, both in one pass of a task over its texts.
 
-    `ids_crc32` is that of the ids as little-endian 32-bit integers.
+    `ids` are little-endian 32-bit integers; `text` is decoded from them, and `ids_crc32` is their checksum.
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,12 +222,12 @@ def round_trip(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
                 texts = batch.column(1)[begin:end]
                 ids, lengths, agree = run.encode(texts)
                 cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-                each = [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-                back = pa.array(run.decode([one.tolist() for one in each]), pa.string())
+                each = [ids[x:y].astype("<i4").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+                back = pa.array(run.decode([np.frombuffer(one, "<i4").tolist() for one in each]), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[begin:end], pa.array(lengths, pa.int64()), pa.array([zlib.crc32(one.astype("<i4").tobytes()) for one in each], pa.int64()),
+                    [batch.column(0)[begin:end], pa.array(each, pa.binary()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(one) for one in each], pa.int64()),
                      pa.array(agree), pc.equal(back, pc.fill_null(texts, "")), back],
-                    names=["doc_id", "n_pieces", "ids_crc32", "parity", "round_trip", "text"],
+                    names=["doc_id", "ids", "n_pieces", "ids_crc32", "parity", "round_trip", "text"],
                 )
         run.forget()
 

@@ -121,7 +121,8 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", "n_pieces", "ids_crc32", "parity", "round_trip", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
+    stored = ((F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"))
+    return coded.select("doc_id", *stored, "parity", "round_trip", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"))
 
 
 @query("op5_cover_tree")

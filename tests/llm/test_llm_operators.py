@@ -93,6 +93,19 @@ def test_pieces_of_odd_rows(odd_docs, no_docs):
     assert pieces.round_trip(no_docs, MODEL).count() == 0
 
 
+def test_piece_ids_are_kept(spark, documents, odd_docs):
+    import corpus_pipeline
+    import sentencepiece
+    from dialoglens.llm import queries
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for docs in (documents, odd_docs):
+        wanted = sorted(((r.doc_id or 0, np.array(own.encode(r.text or ""), "<i4").tobytes(), r.text or "") for r in docs.collect()))
+        assert sorted((r.doc_id or 0, bytes(r.ids), r.text) for r in corpus_pipeline.to_pieces(spark, docs, SF_DIR).collect()) == wanted
+    digests = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in queries.QUERIES["op1_sentencepiece"](spark, SF_DIR).collect()}
+    assert digests == {r.doc_id: (len(ids := own.encode(r.text or "")), zlib.crc32(np.array(ids, "<i4").tobytes())) for r in documents.collect()}
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------
 
 def test_chat_digests_of_marks_ties_and_nulls(spark):
