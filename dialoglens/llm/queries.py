@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoglens.llm import chat, covertree, decontam, jaccard, pieces, pii, quality, rans, shards, warc
+from dialoglens.llm import chat, covertree, decontam, jaccard, merkle, pieces, pii, quality, rans, shards, warc
 from dialoglens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,42 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_cover_tree")
 def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_merkle_manifest", check=r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS body,
+    list_reduce(
+      [4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] for c in string_split(doc_id::VARCHAR, '')]),
+      lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + k)::VARCHAR) || ':' || (n_chars + k), '-') || body) AS claim
+  FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS k FROM d)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+low(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+subs AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, pos, h, n) AS (
+  SELECT 0, pos, subroot, n FROM subs
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2, n),
+climb(doc_id, tree, leaf, level, pos, n, proof, folded) AS (
+  SELECT doc_id, tree, leaf, 0, pos, n, '', claim FROM placed
+  UNION ALL SELECT c.doc_id, c.tree, c.leaf, c.level + 1, c.pos // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.folded ELSE c.folded || coalesce(s.h, '') END)
+  FROM climb c LEFT JOIN low s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1),
+crown(doc_id, tree, leaf, level, pos, n, proof, folded) AS (
+  SELECT c.doc_id, c.tree, c.leaf, 0, subs.pos, subs.n, c.proof, c.folded FROM climb c JOIN subs USING (tree) WHERE c.n = 1
+  UNION ALL SELECT c.doc_id, c.tree, c.leaf, c.level + 1, c.pos // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.folded ELSE c.folded || coalesce(s.h, '') END)
+  FROM crown c LEFT JOIN high s ON s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1)
+SELECT c.doc_id, c.leaf, subs.subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.h AS verified
+FROM crown c JOIN subs USING (tree), (SELECT h FROM high WHERE n = 1) r WHERE c.n = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"), {"n_chars": merkle.tampered_count()})
