@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoglens.llm import chat, covertree, decontam, jaccard, merkle, pieces, pii, quality, rans, shards, warc
+from dialoglens.llm import chat, covertree, decontam, gnat, jaccard, merkle, onebit, pieces, pii, quality, rans, shards, warc
 from dialoglens.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,28 @@ FROM crown c JOIN subs USING (tree), (SELECT h FROM high WHERE n = 1) r WHERE c.
 """)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"), {"n_chars": merkle.tampered_count()})
+
+
+@query("op12_hard_negatives", check="""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a_id, a.label AS a_label, o.vec_id, o.label, CAST(list_dot_product(a.v, o.v) AS BIGINT) AS score
+  FROM e a JOIN e o ON a.vec_id % 100 = 0 AND o.vec_id <> a.vec_id AND len(a.v) = len(o.v)),
+p AS (
+  SELECT a_id, a_label, vec_id AS positive_id, score AS positive_score FROM s WHERE label = a_label
+  QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.a_id, positive_id, positive_score, s.vec_id, s.score, row_number() OVER (PARTITION BY p.a_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.a_id = p.a_id AND s.label <> p.a_label AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT a_id AS anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM n WHERE rank <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_one_bit_codes")
+def op13_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest_neighbours(table(spark, sf_dir, "embeddings"))
