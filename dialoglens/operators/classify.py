@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.functions.numbers import rescale_score, safe_percent
 from dialoglens.functions.vectors import similarity_to
+from dialoglens.operators.keyword_search import with_matches
 from dialoglens.operators.skew import config_rows
 
 # fixed values: weights and limits of the scoring
@@ -32,23 +33,9 @@ FEWEST_CATEGORIES = 5
 def match_keywords(texts: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
     """Add `matches`: the keywords that occur in the text, case ignored, in their order.
 
-    The text is lower-cased once per row and searched JVM-side; no row is multiplied.
+    Each has its category, the category's place among all, its strength and the keyword. No row is multiplied.
     """
-    rows = config_rows(keywords.select("category", "strength", "keyword"))
-    entry = "array<struct<category:string,strength:string,keyword:string>>"
-    if not rows:
-        return texts.withColumn("matches", F.array().cast(entry))
-    listed = F.array(
-        *[
-            F.struct(F.lit(r.category).alias("category"), F.lit(r.strength).alias("strength"), F.lit(r.keyword.lower()).alias("keyword"))
-            for r in rows
-        ]
-    )
-    found = F.transform(
-        F.array(F.lower(F.coalesce(F.col(text), F.lit("")))),
-        lambda lowered: F.filter(listed, lambda k: F.contains(lowered, k["keyword"])),
-    )
-    return texts.withColumn("matches", F.flatten(found))
+    return with_matches(texts, keywords.select("category", "strength", "keyword"), text)
 
 
 def _matched(matches: Column, category: Column, strength: str) -> Column:
@@ -62,11 +49,11 @@ def keyword_boost(matches: Column, category: Column) -> Column:
     return strong + weak
 
 
-def keyword_category(matched: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_category(matched: DataFrame) -> DataFrame:
     """Add `keyword_category, keyword_score`: most points, first category on ties, at least 2 points."""
-    seen = list(dict.fromkeys(r.category for r in config_rows(keywords.select("category"))))
+    met = F.array_distinct(F.transform("matches", lambda m: F.struct(m["category_pos"].alias("pos"), m["category"].alias("category"))))
     scored = F.transform(
-        F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("category")) for i, c in enumerate(seen)]),
+        met,
         lambda c: F.struct(
             (
                 _matched(F.col("matches"), c["category"], "strong") * STRONG_WEIGHT
@@ -76,11 +63,11 @@ def keyword_category(matched: DataFrame, keywords: DataFrame) -> DataFrame:
             c["category"].alias("category"),
         ),
     )
-    best = F.array_max(scored)
-    enough = best["score"] >= SCORE_NEEDED
-    return matched.withColumns(
-        {"keyword_category": F.when(enough, best["category"]), "keyword_score": F.when(enough, best["score"])}
-    )
+    rated = matched.withColumn("_best", F.array_max(scored))
+    enough = F.col("_best.score") >= SCORE_NEEDED
+    return rated.withColumns(
+        {"keyword_category": F.when(enough, F.col("_best.category")), "keyword_score": F.when(enough, F.col("_best.score"))}
+    ).drop("_best")
 
 
 # ---- vectors -------------------------------------------------------------------------------------

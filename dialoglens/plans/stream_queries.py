@@ -211,7 +211,7 @@ def _refreshed(db):
     out = fresh_path(db.spark, "enriched")
     texts = _view(_streamed(db, "events"), {k: SUMMARY[k] for k in ("source_id", "summary")})
     enrich = lambda batch, keywords: classify.keyword_category(
-        classify.match_keywords(batch, keywords, "summary"), keywords
+        classify.match_keywords(batch, keywords, "summary")
     ).select("source_id", "keyword_category")
     config.enrich_stream(texts, refreshed, enrich, out, f"{out}-state").awaitTermination()
     return db.spark.read.parquet(out).select("source_id", "keyword_category")
