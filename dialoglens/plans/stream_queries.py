@@ -60,17 +60,17 @@ query("R03_assemble_stream", f"SELECT call_id, segments, message_count, last_tim
 )
 
 
-def _ingested(db) -> str:
+def _ingested(db, early: bool = False) -> str:
     out = fresh_path(db.spark, "ingest")
     ingest_stream.ingest_stream(
-        _segment_stream(db), lambda: db.segments, SPEC, out, f"{out}/state", db.as_of, interval=None
+        _segment_stream(db), lambda: db.segments, SPEC, out, f"{out}/state", db.as_of, interval=None, early=early
     ).awaitTermination()
     return out
 
 
-def _messages(db) -> DataFrame:
+def _messages(db, early: bool = False) -> DataFrame:
     shape = "callId string, messageCount bigint, messages array<struct<channel string, text string>>"
-    sent = db.spark.read.schema("body string").json(f"{_ingested(db)}/messages")
+    sent = db.spark.read.schema("body string").json(f"{_ingested(db, early)}/messages")
     body = sent.select(F.from_json("body", shape).alias("b"))
     return body.select(F.col("b.callId").alias("call_id"), F.posexplode("b.messages").alias("pos", "m")).select(
         "call_id", "pos", F.col("m.channel").alias("channel"), F.col("m.text").alias("text")
@@ -78,6 +78,8 @@ def _messages(db) -> DataFrame:
 
 
 query("R01_ingest_stream", f"SELECT call_id, pos, channel, text FROM ({LINES}) WHERE {DONE}")(_messages)
+# every call that is ready is published at once, whether it has ended or not
+query("R03_early_calls", f"SELECT call_id, pos, channel, text FROM ({LINES})")(lambda db: _messages(db, True))
 query(
     "R04_skip_stream",
     f"SELECT call_id, {REASON} AS sqs_message_id FROM ({STATS}) WHERE {DONE} AND {REASON} IS NOT NULL",
@@ -185,7 +187,8 @@ def _judged(db):
     slots = alert_stream.slot_table(db.spark, f"{out}/slots")
     conversations = _view(_streamed(db, "events"), {**SUMMARY, "conversation_time": "CAST(ts AS TIMESTAMP)"})
     alert_stream.alerts_stream(conversations, slots, f"{out}/state", interval=None).awaitTermination()
-    return alerts.evaluate_alerts(db, partials=slots.read())
+    days = alert_stream.longest_window(db.alert_rules)
+    return alerts.evaluate_alerts(db, partials=alert_stream.recent_slots(slots, days, db.as_of))
 
 
 query("R11_alerts_stream", EVALUATED)(_judged)

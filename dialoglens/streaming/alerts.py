@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from dialoglens.functions.timing import ago
 from dialoglens.operators.alerts import partial_sums
 from dialoglens.sources.store import ChangeTable
+from dialoglens.streaming.ingest import now
 
 SLOT = "5 minutes"
 LATENESS = "500 minutes"
@@ -33,15 +35,29 @@ def slot_table(spark: SparkSession, path: str) -> ChangeTable:
     return ChangeTable(spark, path, PARTIALS, ["slot_end", "ban"], time="slot_end")
 
 
+def longest_window(rules: DataFrame) -> float:
+    """Days that the rules look back."""
+    return (rules.agg(F.max("time_window_hours")).first()[0] or 0) / 24
+
+
+def recent_slots(partials: ChangeTable, days: float, as_of) -> DataFrame:
+    """The slots of the last `days`; only their months are opened."""
+    return partials.read(F.trunc(ago(now(as_of), days), "month"))
+
+
 def alerts_stream(
-    conversations: DataFrame, partials: ChangeTable, checkpoint: str, on_batch=None, interval: str | None = EVALUATION_INTERVAL
+    conversations: DataFrame, partials: ChangeTable, checkpoint: str, on_batch=None, interval: str | None = EVALUATION_INTERVAL,
+    days: float | None = None, as_of=None,
 ) -> StreamingQuery:
-    """Keep the slots current and call `on_batch(partials, batch_id)`, which judges the rules."""
+    """Keep the slots current and call `on_batch(partials, batch_id)`, which judges the rules.
+
+    With `days`, the longest window of the rules, a batch opens the months of that window instead of all slots.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         partials.put(batch, batch_id)
         if on_batch:
-            on_batch(partials.read(), batch_id)
+            on_batch(partials.read() if days is None else recent_slots(partials, days, as_of), batch_id)
 
     sums = slot_sums(conversations.withWatermark("conversation_time", LATENESS))
     writer = sums.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)

@@ -13,18 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoglens.functions.text import not_blank
-from dialoglens.functions.timing import clock
+from dialoglens.functions.timing import clock, interval_days
 from dialoglens.operators import assemble
 from dialoglens.plans.ingest import MODE_OF, NORMAL_MODE, prepare_calls
 from dialoglens.session import materialize, scratch
 from dialoglens.sources import writers
 from dialoglens.sources.readers import SourceSpec
 from dialoglens.sources.store import ChangeTable
+from dialoglens.streaming.early import ready_calls
 from dialoglens.tables import SCHEMAS
 
 LATENESS = "500 minutes"
 SESSION_GAP = "30 minutes"
 POLL_INTERVAL = "10 seconds"
+#: How far before its earliest call a batch looks into the ledger.
+LEDGER_DAYS = 31
 SEGMENT_KEY = ["call_id", "call_time", "seq", "owner"]
 
 
@@ -87,12 +90,17 @@ def ingest_stream(
     lateness: str = LATENESS,
     gap: str = SESSION_GAP,
     mark_skipped: bool = True,
+    early: bool = False,
+    ledger_days: float = LEDGER_DAYS,
 ) -> StreamingQuery:
     """Publish completed calls and keep the ledger, the batch log and the status.
 
     `table` is best a callable: each micro-batch then sees segments that came after the start. A batch takes the calls
     that no other batch has in the ledger, so repeating it, also after its ledger rows were written, publishes the same
     calls again into the same folders. The ledger is written last. `interval=None` drains what is there and stops.
+
+    With `early` a call is published at first sight of enough segments and all channels (`streaming.early`); what has
+    ended without that is skipped as ever. A batch asks the ledger from `ledger_days` before its earliest call on.
     """
     spark = segments.sparkSession
     ledger = ledger_table(spark, out)
@@ -100,14 +108,20 @@ def ingest_stream(
     def publish(batch: DataFrame, batch_id: int) -> None:
         began, clock_now = time.monotonic(), now(as_of)
         with scratch(spark, f"ingest-{batch_id}"):
-            others = ledger.changes().filter((F.col("source_type") == spec.source_type) & (F.col("batch") != batch_id))
-            ids = materialize(batch.select("call_id").distinct().join(others.select("call_id"), "call_id", "left_anti"), "ids")
+            seen = batch if early else batch.withColumn("ended", F.lit(True))
+            seen = materialize(seen.groupBy("call_id").agg(F.min("last_time").alias("since"), F.bool_or("ended").alias("ended")), "seen")
+            first = seen.agg(F.date_format(F.trunc(F.min("since") - interval_days(ledger_days), "month"), "yyyy-MM-dd")).first()[0]
+            others = ledger.changes(first).filter((F.col("source_type") == spec.source_type) & (F.col("batch") != batch_id))
+            ids = materialize(seen.join(others.select("call_id"), "call_id", "left_anti").select("call_id", "ended"), "ids")
             documents, handled = prepare_calls(fresh(table), ids, spec, clock_now, mark_skipped)
+            # a call that goes on and isn't ready in the table yet is left for later
+            handled = handled.join(ids, "call_id").filter("sent OR ended").drop("ended")
             handled = materialize(handled, "handled")
             # one folder per batch: a repeated batch replaces its own messages
             writers.conversation_messages(documents).write.mode("overwrite").json(f"{out}/messages/batch={batch_id}")
             # a call that the stream has seen whole but the table does not hold is a failure, not a silent loss
-            lost = ids.join(handled.select("call_id"), "call_id", "left_anti") if mark_skipped else ids.limit(0)
+            ended = ids.filter("ended").select("call_id")
+            lost = ended.join(handled.select("call_id"), "call_id", "left_anti") if mark_skipped else ended.limit(0)
             failed = lost.select("call_id", F.lit("no segments in the table").alias("error_message"), F.lit("PROCESSING_ERROR").alias("error_type"))
             writers.error_rows(failed, clock_now).write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
             spent = int((time.monotonic() - began) * 1000)
@@ -121,7 +135,7 @@ def ingest_stream(
             rows = handled.select(*writers.LEDGER_KEYS, clock_now.alias("processed_at"), "text_time", "sqs_message_id")
             ledger.put(rows.dropDuplicates(writers.LEDGER_KEYS), batch_id)
 
-    calls = assemble_stream(segments, lateness, gap)
+    calls = ready_calls(segments, spec.required_channels, spec.min_segments, lateness, gap) if early else assemble_stream(segments, lateness, gap)
     writer = calls.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(publish).trigger(**_trigger(interval)).start()
 

@@ -64,14 +64,25 @@ def store_results(messages: DataFrame, segments: Source, store: ResultStore, as_
         store.error_log.put(writers.error_rows(failed, clock_now).dropDuplicates(["error_id"]), batch_id)
 
 
+def queued_again(store: ResultStore) -> DataFrame:
+    """Stream of the messages that `store_results` has queued again. A batch's queue is read by a later batch."""
+    folder = f"{store.path}/retry"
+    store.spark.createDataFrame([], MESSAGES).write.mode("overwrite").json(f"{folder}/batch=none")
+    return message_stream(store.spark, folder).select(*[f.split()[0] for f in MESSAGES.split(", ")])
+
+
 def results_stream(
-    messages: DataFrame, segments: Source, store: ResultStore, checkpoint: str, as_of=None, interval: str | None = None, chats: Source | None = None
+    messages: DataFrame, segments: Source, store: ResultStore, checkpoint: str, as_of=None, interval: str | None = None, chats: Source | None = None,
+    retries: bool = True,
 ) -> StreamingQuery:
     """Results into the store. The checkpoint acknowledges a batch after all tables have it.
 
     `segments` is best a callable, so that calls that came after the start are found. Without an interval the stream
-    drains what is there and stops; with one it repeats.
+    drains what is there and stops; with one it repeats. With `retries` it also reads what it has queued again itself,
+    until a message is stored or out of attempts.
     """
+    if retries:
+        messages = messages.unionByName(queued_again(store), allowMissingColumns=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store_results(batch, segments, store, as_of, batch_id, chats)
@@ -81,7 +92,9 @@ def results_stream(
 
 
 def drain(messages: DataFrame, segments: Source, store: ResultStore, checkpoint: str, as_of=None) -> None:
-    results_stream(messages, segments, store, checkpoint, as_of).awaitTermination()
+    """Store what is there, and what had to be queued again on the way."""
+    for _ in range(writers.MAX_RETRIES):
+        results_stream(messages, segments, store, checkpoint, as_of).awaitTermination()
 
 
 def flush_stream(

@@ -108,6 +108,20 @@ def test_bad_messages_are_tried_again_and_then_set_aside(spark, db):
     assert rows(store.error_log.read(), "call_id") == [("9",)]
 
 
+def test_the_stream_reads_what_it_queues_again(spark, db):
+    """A message that can't be read is tried MAX_RETRIES times by the stream itself; others are stored once."""
+    out = fresh_path(spark, "retried")
+    store, path = result_stream.ResultStore(spark, out), f"{out}/inbox"
+    told = [('{"callId": "9", ', 1), (RESULT.format("1", "CALL", "good", "x"), 1)]
+    results(spark, told).write.json(path)
+    result_stream.drain(result_stream.message_stream(spark, path), lambda: db.segments, store, f"{out}/state", db.as_of)
+    assert rows(store.dead_letters.read(), "call_id", "total_attempts") == [("9", writers.MAX_RETRIES)]
+    assert rows(store.call_summary.read(), "call_id", "summary_text") == [("1", "good")]
+    results(spark, [('{"callId": "8", ', 2)]).write.mode("append").json(path)
+    result_stream.drain(result_stream.message_stream(spark, path), lambda: db.segments, store, f"{out}/state", db.as_of)
+    assert rows(store.dead_letters.read(), "call_id", "total_attempts") == [("8", writers.MAX_RETRIES), ("9", writers.MAX_RETRIES)]
+
+
 SEGMENTS = "call_id string, ban string, subscriber_no string, owner string, text string, call_time timestamp, queue_name string, seq bigint"
 SPEC = readers.SourceSpec("calls", "segments", "call_id", "call_time", "call_time", ("A", "C"), 2, "CALL")
 
