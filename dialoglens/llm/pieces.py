@@ -6,7 +6,8 @@ Where no piece has the marker behind another character, pieces never cross the p
 is cut there and each different stretch of a batch is encoded once, many at a time on several threads.
 
 Each new stretch can be compared with the sentencepiece library's own result; `parity` says whether all of a text's
-stretches agree.
+stretches agree, and is NULL where some were not compared. Decoding takes each piece's bytes from a table; what doesn't
+come out as UTF-8 (ids that no text has) is left to the tokenizers library.
 
 Defined results: a NULL or empty text has no ids and decodes to the empty text; bytes without a piece of their own
 become byte pieces, so texts survive whole, but for the marker character itself, which reads back as a space; rows may
@@ -36,8 +37,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
 SLICE_BYTES = 1_000_000
-CACHED_STRETCHES = 100_000
+CACHED_STRETCHES = 300_000
 THREADS = 2
+UNTRIED = 2
 
 ROUND_TRIP_SCHEMA = "doc_id long, ids binary, n_pieces long, ids_crc32 long, parity boolean, round_trip boolean, text string"
 ENCODED_SCHEMA = "doc_id long, ids array<int>, parity boolean, text_bytes long, text_crc32 long"
@@ -54,7 +56,7 @@ def read_model(path: str):
 
 def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     """Every way to join two pieces to a third; joins to a piece with a higher score come first."""
-    usable = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED)}
+    usable = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
     found = []
     for piece in usable:
         for k in range(1, len(piece)):
@@ -74,6 +76,8 @@ def rebuilt(proto):
     if proto.trainer_spec.model_type == UNIGRAM:
         model = models.Unigram([(p, score) for p, score, _ in pieces], unk_id=unknown, byte_fallback=byte_fallback)
     elif proto.trainer_spec.model_type == BPE:
+        if any(kind == USER_DEFINED for *_, kind in pieces):
+            raise ValueError("a BPE model with user-defined pieces, which are matched before all others, can't be rebuilt")
         vocabulary = {p: i for i, (p, *_) in enumerate(pieces)}
         model = models.BPE(vocabulary, merges(pieces), unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=byte_fallback)
     else:
@@ -106,6 +110,11 @@ class PieceCoder:
         self.spec = proto.normalizer_spec
         self.bare = type(self.tokenizer)(self.tokenizer.model)
         self.own = sentencepiece.SentencePieceProcessor(model_file=path) if verify else None
+        self.joins = self.own.piece_to_id(MARKER) if self.own else None
+        self.spelt = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARKER, " ").encode() for p in proto.pieces]
+        self.table = np.frombuffer(b"".join(self.spelt), np.uint8)
+        self.widths = np.array([len(x) for x in self.spelt], np.int64)
+        self.starts = np.cumsum(self.widths) - self.widths
         crossing = any(re.search(f"[^{MARKER}]{MARKER}", p.piece) for p in proto.pieces)
         self.by_stretch = not (crossing or self.spec.precompiled_charsmap or self.spec.remove_extra_whitespaces)
         self.forget()
@@ -121,22 +130,23 @@ class PieceCoder:
             # the library puts a marker in front itself
             bare = [s[1:].replace(MARKER, " ") if s.startswith(MARKER) else None for s in stretches]
             checks = self.own.encode([b or "" for b in bare], num_threads=THREADS)
-            checks = [c if b else None for b, c in zip(bare, checks, strict=True)]
+            # a lone marker is what the library makes of no text at all; the empty stretch has no ids
+            checks = [c if b else [self.joins] if s == MARKER else None if s else [] for s, b, c in zip(stretches, bare, checks, strict=True)]
         ids = [one.ids for one in coded]
         self.known.update(zip(stretches, count(len(self.known))))
         self.begins.extend(accumulate(map(len, ids[:-1]), initial=len(self.ids)) if ids else ())
         self.lengths.extend(map(len, ids))
-        self.agree.extend(check is None or check == own for own, check in zip(ids, checks, strict=True))
+        self.agree.extend(UNTRIED if check is None else check == own for own, check in zip(ids, checks, strict=True))
         self.ids.extend(chain.from_iterable(ids))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids one after the other, the number of ids of each text, and whether its stretches agree."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """All ids one after the other, the number of ids of each text, and whether its stretches agree (NULL: not all tried)."""
         texts = pc.fill_null(texts, "")
         if not self.by_stretch:
             plain = texts.to_pylist()
             coded = [c.ids for c in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
-            agree = [self.own is None or self.own.encode(t) == c for t, c in zip(plain, coded, strict=True)]
-            return np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded], np.int64), np.array(agree, bool)
+            agree = [None if self.own is None else self.own.encode(t) == c for t, c in zip(plain, coded, strict=True)]
+            return np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded], np.int64), pa.array(agree, pa.bool_())
         marked = pc.replace_substring(texts, " ", MARKER)
         if self.spec.add_dummy_prefix:
             marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(MARKER, marked, ""))
@@ -153,12 +163,34 @@ class PieceCoder:
         source = np.frombuffer(self.ids, np.int32) if self.ids else np.empty(0, np.int32)
         offsets = parted.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
-        wrong = np.concatenate([[0], np.cumsum(np.frombuffer(self.agree, np.int8)[place] == 0)])
-        return source[at], np.diff(ends[offsets]), np.diff(wrong[offsets]) == 0
+        agree = np.frombuffer(self.agree, np.int8)[place]
+        wrong, untried = (np.diff(np.concatenate([[0], np.cumsum(agree == k)])[offsets]) > 0 for k in (0, UNTRIED))
+        return source[at], np.diff(ends[offsets]), pa.array(~wrong, mask=untried & ~wrong)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def decode_flat(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """Texts of ids that stand one after the other, by the table of pieces."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.widths):
+            return pa.array(self.decode([x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]), pa.string())
+        widths = self.widths[ids]
+        ends = np.concatenate([[0], np.cumsum(widths)])
+        body = self.table[np.repeat(self.starts[ids] - ends[:-1], widths) + np.arange(ends[-1])]
+        offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
+        if self.spec.add_dummy_prefix:
+            # the blank in front of a text is none of its own
+            first = offsets[:-1][(np.diff(offsets) > 0)]
+            first = first[body[first] == 32]
+            body, gone = np.delete(body, first), np.searchsorted(first, offsets, side="left")
+            offsets = offsets - gone
+        texts = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body.tobytes()))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array(self.decode([x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]), pa.string())
+        return texts
+
 
 @functools.lru_cache(maxsize=1)
 def coder(path: str, verify: bool = True) -> PieceCoder:
@@ -180,7 +212,7 @@ def encode_documents(docs: DataFrame, model: str, verify: bool = True) -> DataFr
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                 plain = [t.as_py() for t in pc.fill_null(texts, "").cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[begin:end], pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(agree),
+                    [batch.column(0)[begin:end], pa.ListArray.from_arrays(offsets, pa.array(ids)), agree,
                      pa.array([len(p) for p in plain], pa.int64()), pa.array([zlib.crc32(p) for p in plain], pa.int64())],
                     names=["doc_id", "ids", "parity", "text_bytes", "text_crc32"],
                 )
@@ -196,14 +228,14 @@ def decode_documents(encoded: DataFrame, model: str, keep: tuple[str, ...] = ("d
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = coder(model, False)
         for batch in batches:
-            ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False))
+            lengths = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(lengths)
             ids, begin = batch.column("ids").flatten().to_numpy(zero_copy_only=False), 0
             while begin < batch.num_rows:
                 done = ends[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES // 4, side="right")))
-                part, cuts = batch.slice(begin, end - begin), [int(done), *ends[begin:end].tolist()]
-                texts = run.decode([ids[x:y].tolist() for x, y in zip(cuts, cuts[1:], strict=False)])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+                part, texts = batch.slice(begin, end - begin), run.decode_flat(ids[done:ends[end - 1]], lengths[begin:end])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), texts], names=[*keep, "text"])
                 begin = end
 
     return encoded.select(*keep, "ids").mapInArrow(decode, f"{kinds}, text string")
@@ -223,10 +255,10 @@ def round_trip(docs: DataFrame, model: str, verify: bool = True) -> DataFrame:
                 ids, lengths, agree = run.encode(texts)
                 cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
                 each = [ids[x:y].astype("<i4").tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
-                back = pa.array(run.decode([np.frombuffer(one, "<i4").tolist() for one in each]), pa.string())
+                back = run.decode_flat(np.frombuffer(b"".join(each), "<i4"), lengths)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[begin:end], pa.array(each, pa.binary()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(one) for one in each], pa.int64()),
-                     pa.array(agree), pc.equal(back, pc.fill_null(texts, "")), back],
+                     agree, pc.equal(back, pc.fill_null(texts, "")), back],
                     names=["doc_id", "ids", "n_pieces", "ids_crc32", "parity", "round_trip", "text"],
                 )
         run.forget()
