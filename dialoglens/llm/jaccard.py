@@ -14,8 +14,8 @@ The order of the tokens decides the work, never the result. Common tokens are th
 documents all over the corpus; there can be only so many, as each must be in a fixed share of the documents.
 
 Defined results: a document without text or words has no shingles and links with nothing; rows with one doc_id count
-as one document whose texts are all compared; a row without doc_id links with nothing and has no component; an empty
-table gives no rows.
+as one document whose texts are all compared and whose n_shingles is that of the largest set; a row without doc_id links
+with nothing and has no component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def stored_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], pa.array(sets, pa.binary())], names=["id", "tokens"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(counted_small(ids), "id", "left_semi")
-    return materialize(wanted.mapInArrow(make, "id long, tokens binary"), "sets")
+    # a document's empty text links with nothing
+    return materialize(wanted.mapInArrow(make, "id long, tokens binary").filter(F.octet_length("tokens") > 0), "sets")
 
 
 @F.pandas_udf(T.BooleanType())
@@ -231,6 +232,12 @@ def block_links(docs: DataFrame, members: DataFrame, candidates: DataFrame) -> D
     return queries.groupBy(*key).cogroup(others.groupBy(*key)).applyInPandas(open_blocks, "a long, b long")
 
 
+def links_of_texts(placed: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that hold texts of one document."""
+    several = placed.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("last")).filter("b <> last").drop("last")
+    return placed.join(several, "doc_id").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     with small_batches(docs.sparkSession):
@@ -239,16 +246,20 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         sign = ["sign_a", "sign_b", "n"]
         known = sketched.filter("doc_id IS NOT NULL AND n > 0")
         classes = known.groupBy(*sign).agg(F.min("doc_id").alias("id"))
-        placed = materialize(known.select("doc_id", *sign).join(classes, sign).select("doc_id", "n", "id"), "classes")
-        copies = materialize(placed.filter("doc_id <> id").select("doc_id").distinct(), "copies")
-        kept = known.join(counted_small(copies), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n", "keys", "prefix")
+        placed = materialize(known.select("doc_id", *sign).join(classes, sign).select("doc_id", *sign, "id"), "classes")
+        # a document's other texts stay where one of them is a copy
+        copies = materialize(placed.filter("doc_id <> id").select("doc_id", *sign).distinct(), "copies")
+        kept = known.join(counted_small(copies), ["doc_id", *sign], "left_anti").select(F.col("doc_id").alias("id"), "n", "keys", "prefix")
         first = minhash_links(docs, kept)
         members = with_blocks(kept, materialize(components(first), "groups"))
         links = materialize(block_links(docs, members, candidate_blocks(members)), "links")
-        alike = materialize(components(first.union(links)), "components")
-    found = placed.join(counted_small(alike.withColumnRenamed("node", "id")), "id", "left")
-    rest = sketched.filter("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")).unionByName(rest)
+        own = links_of_texts(placed)
+        alike = materialize(components(first.union(links).union(own)), "components")
+    found = placed.join(counted_small(alike.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "n", F.coalesce("component", "id").alias("component"))
+    empty = sketched.filter("doc_id IS NOT NULL AND n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
+    each = found.unionByName(empty).groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
+    nameless = sketched.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return each.unionByName(nameless)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
