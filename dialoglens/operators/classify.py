@@ -1,7 +1,7 @@
 """Categories, keywords and churn prototypes against texts and vectors.
 
-Categories, keywords and prototypes are configuration: their rows, of checked number,
-become part of the plan. Each text keeps one row; scores sit in an array beside it.
+Categories, keywords and prototypes are configuration: a checked number of them becomes part
+of the plan, more are stored and met in the tasks. Each text keeps one row.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.functions.numbers import rescale_score, safe_percent
 from dialoglens.functions.vectors import similarity_to
+from dialoglens.operators.categories import top_n
 from dialoglens.operators.keyword_search import with_matches
+from dialoglens.operators.references import best_of_blocks, stored_references, with_scores
 from dialoglens.operators.skew import config_rows
 
 # fixed values: weights and limits of the scoring
@@ -25,6 +27,8 @@ TOP_K, SIMILARITY_NEEDED, FUZZY_NEEDED = 2, 0.35, 0.85
 CHURN_THRESHOLD = 70
 UNCLASSIFIED = "לא מסווג"
 FEWEST_CATEGORIES = 5
+#: References that become part of the plan; more are met block by block.
+PLAN_REFERENCES = 10_000
 
 
 # ---- keywords ----------------------------------------------------------------------------------
@@ -73,9 +77,13 @@ def keyword_category(matched: DataFrame) -> DataFrame:
 # ---- vectors -------------------------------------------------------------------------------------
 
 
-def score_against(vectors: DataFrame, references: DataFrame, order: str, vector: str = "embedding") -> DataFrame:
+def score_against(
+    vectors: DataFrame, references: DataFrame, order: str, vector: str = "embedding", in_plan: int = PLAN_REFERENCES
+) -> DataFrame:
     """Add `scores`: similarity to each reference vector, in `order`."""
-    rows = config_rows(references.select(order, "embedding").orderBy(order))
+    rows = references.select(order, "embedding").orderBy(order).limit(in_plan + 1).collect()
+    if len(rows) > in_plan:
+        return with_scores(vectors, stored_references(references.select(order, "embedding"), order), references.count(), vector)
     return vectors.withColumn("scores", similarity_to([r.embedding for r in rows])(F.col(vector)))
 
 
@@ -118,13 +126,17 @@ def classify(
     threshold: float = SIMILARITY_NEEDED,
     vector: str = "embedding",
     text: str = "text",
+    in_plan: int = PLAN_REFERENCES,
 ) -> DataFrame:
     """Add `classes`: up to `k` categories by similarity plus keyword boost, never empty.
 
     `categories` has `pos, category_id, name, embedding`. Without a category at the threshold
-    the fallback one (or the first) stands in with zero confidence.
+    the fallback one (or the first) stands in with zero confidence. More categories than a plan
+    holds are met block by block.
     """
-    rows = config_rows(categories.select("pos", "category_id", "name").orderBy("pos"))
+    rows = categories.select("pos", "category_id", "name").orderBy("pos").limit(in_plan + 1).collect()
+    if len(rows) > in_plan:
+        return classify_by_blocks(texts, categories, keywords, fallback, k, threshold, vector, text)
     scored = match_keywords(score_against(texts, categories, "pos", vector), keywords, text)
     known = F.array(
         *[
@@ -158,6 +170,29 @@ def classify(
     return chosen.withColumn("classes", F.when(F.size("classes") > 0, F.col("classes")).otherwise(default)).drop("scores", "matches")
 
 
+def classify_by_blocks(
+    texts: DataFrame, categories: DataFrame, keywords: DataFrame, fallback: str | None, k: int, threshold: float, vector: str, text: str
+) -> DataFrame:
+    """`classify` for any number of categories."""
+    kept = categories.select("pos", F.col("category_id").cast("string").alias("category_id"), F.col("name").cast("string").alias("name"), "embedding")
+    path = stored_references(kept, "pos", ("category_id", "name"))
+    stored = texts.sparkSession.read.parquet(path).select("pos", "category_id", "name")
+    stand_in = top_n(stored.select(F.col("name").eqNullSafe(F.lit(fallback)).alias("wanted"), *stored.columns), 1, F.desc("wanted"), F.asc("pos")).first()
+    matched = match_keywords(texts, keywords, text)
+    boosts = F.transform(
+        F.array_distinct(F.transform("matches", lambda m: m["category"])),
+        lambda c: F.struct(c.alias("name"), keyword_boost(F.col("matches"), c).alias("boost")),
+    )
+    default = F.array(
+        F.struct(
+            F.lit(0.0).alias("confidence"), F.lit(0.0).alias("keyword_boost"), F.lit(stand_in.pos).alias("pos"),
+            F.lit(stand_in.category_id).alias("category_id"), F.lit(stand_in.name).alias("name"),
+        )
+    )
+    chosen = matched.withColumn("classes", best_of_blocks(path, k, threshold)(F.col(vector), boosts))
+    return chosen.withColumn("classes", F.when(F.size("classes") > 0, F.col("classes")).otherwise(default)).drop("matches")
+
+
 def churn_batch_summary(scored: DataFrame) -> DataFrame:
     """Totals over a scored batch."""
     totals = scored.agg(F.count(F.lit(1)).alias("total"), F.count_if("is_churn").alias("churn"))
