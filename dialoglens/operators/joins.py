@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dialoglens.functions.text import pad_free
 from dialoglens.functions.timing import since
 from dialoglens.operators.skew import collect_in_parts, small_side
+from dialoglens.session import materialize
 from dialoglens.tables import Tables
 
 TRANSCRIPT_DAYS = 365
@@ -140,35 +141,49 @@ def product_filter(cs: DataFrame, subscriber: DataFrame, product: str) -> DataFr
 
 
 CHURNER_SALTS = 32
+#: Churners that are sent to the segments; more of them meet the segments by a shuffle.
+SENT_CHURNERS = 1_000_000
+
+
+def recent_churners(subscriber: DataFrame, statuses: list[str], days: float, as_of) -> DataFrame:
+    return since(subscriber.filter(F.col("sub_status").isin(statuses)), "sub_status_date", days, as_of).select(
+        pad_free(F.col("subscriber_no")).alias("subscriber_no"),
+        F.col("sub_status").alias("churn_status"),
+        F.col("sub_status_date").alias("churn_date"),
+    )
+
+
+def calls_of(churners: DataFrame, segments: DataFrame, sent: int = SENT_CHURNERS) -> DataFrame:
+    """One row per churner and call before the churn date, with the call's last time.
+
+    Few churners are sent to the segments, of which only those found are shuffled. With many, the key carries a
+    salt taken from the call id: the segments of one subscriber spread over many tasks, those of one call stay together.
+    """
+    before = segments.filter(F.col("call_time") < churners.agg(F.max("churn_date")).scalar())
+    spoken = before.select("call_id", pad_free(F.col("subscriber_no")).alias("subscriber_no"), "call_time")
+    if churners.limit(sent + 1).count() <= sent:
+        found = spoken.join(F.broadcast(churners), "subscriber_no")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(CHURNER_SALTS - 1)).cast("array<bigint>")
+        salted = spoken.withColumn("_salt", F.pmod(F.xxhash64("call_id"), F.lit(CHURNER_SALTS)))
+        found = salted.join(churners.withColumn("_salt", F.explode(salts)), ["subscriber_no", "_salt"])
+    per_call = found.filter("call_time < churn_date").groupBy("subscriber_no", "churn_status", "churn_date", "call_id")
+    return per_call.agg(F.max("call_time").alias("call_time"))
 
 
 def churner_calls(
-    subscriber: DataFrame, segments: DataFrame, cs: DataFrame, statuses: list[str], days: float, as_of
+    subscriber: DataFrame, segments: DataFrame, cs: DataFrame, statuses: list[str], days: float, as_of, sent: int = SENT_CHURNERS
 ) -> DataFrame:
     """Calls a churner made before leaving, one row per churner and call, with the churn score.
 
-    The key carries a salt taken from the call id, so the segments of one subscriber spread
-    over many tasks, while those of one call stay together for the grouping that follows.
+    The calls found are written once; scores are looked up for them alone.
     """
-    salt = F.pmod(F.xxhash64("call_id"), F.lit(CHURNER_SALTS))
-    churners = since(subscriber.filter(F.col("sub_status").isin(statuses)), "sub_status_date", days, as_of).select(
-        pad_free(F.col("subscriber_no")).alias("subscriber_no"),
-        F.col("sub_status").alias("churn_status"),
-        F.col("sub_status_date").alias("churn_date"),
-        F.explode(F.sequence(F.lit(0), F.lit(CHURNER_SALTS - 1)).cast("array<bigint>")).alias("_salt"),
-    )
-    spoken = segments.select(
-        "call_id", pad_free(F.col("subscriber_no")).alias("subscriber_no"), "call_time", salt.alias("_salt")
-    )
-    per_call = (
-        spoken.join(churners, ["subscriber_no", "_salt"])
-        .filter("call_time < churn_date")
-        .groupBy("subscriber_no", "_salt", "churn_status", "churn_date", "call_id")
-        .agg(F.max("call_time").alias("call_time"))
-        .drop("_salt")
-    )
-    scores = cs.groupBy(F.col("source_id").alias("call_id")).agg(F.max("churn_score").alias("churn_score"))
-    return per_call.join(scores, "call_id", "left")
+    churners = recent_churners(subscriber, statuses, days, as_of)
+    per_call = materialize(calls_of(churners, segments, sent), "churner-calls")
+    found = small_side(per_call.select("call_id").distinct(), sent)
+    wanted = cs.select(F.col("source_id").alias("call_id"), "churn_score").join(found, "call_id", "left_semi")
+    scores = wanted.groupBy("call_id").agg(F.max("churn_score").alias("churn_score"))
+    return per_call.join(scores, "call_id", "left").select("call_id", "subscriber_no", "churn_status", "churn_date", "call_time", "churn_score")
 
 
 # ---- queues ------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialoglens.operators import assemble, calls, results
 from dialoglens.operators.filters import success_gate
-from dialoglens.operators.joins import transcripts
+from dialoglens.operators.joins import call_kinds, transcripts
 from dialoglens.plans.registry import query, recent
 from dialoglens.session import fresh_path
 from dialoglens.sources import readers, writers
@@ -506,6 +506,23 @@ def _orders_by_month(db, keep: int | None):
 
 MONTHS = "SELECT strftime(sub_status_date, '%Y-%m-01') AS month, count(*) AS rows FROM sub"
 query("S25_write_partitioned", f"{MONTHS} GROUP BY 1")(lambda db: _orders_by_month(db, None))
+
+
+def _bucketed(db):
+    """The segments kept in buckets of calls, as a table of this session."""
+    path = fresh_path(db.spark, "buckets")
+    name = f"segments_{path.rsplit('-', 1)[1]}"
+    writers.write_bucketed(db.segments, name, path, buckets=8)
+    return db.replaced(segments=db.spark.table(name))
+
+
+query(
+    "S25_write_bucketed",
+    """SELECT call_id AS source_id,
+      max(call_time) FILTER (queue_name NOT IN (SELECT queue_name FROM sales)) AS service,
+      max(call_time) FILTER (queue_name IN (SELECT queue_name FROM sales)) AS sales
+      FROM seg WHERE queue_name IS NOT NULL GROUP BY 1""",
+)(lambda db: call_kinds(_bucketed(db).segments, db.sales_queue))
 query("S27_expire_partitions", f"{MONTHS} WHERE sub_status_date >= TIMESTAMP '2024-01-01' GROUP BY 1")(
     lambda db: _orders_by_month(db, 1)
 )

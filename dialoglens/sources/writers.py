@@ -234,6 +234,16 @@ def write_partitioned(df: DataFrame, time_col: str, path: str, files_per_month:
     placed.write.mode("append").partitionBy("month").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "call_id", order: tuple[str, ...] = ("call_time", "seq"), buckets: int = 64) -> None:
+    """Keep `df` as a catalog table whose files hold each value of `key` together, in order.
+
+    Grouping, joining and assembling by the key then needs no shuffle. One bucket is one task: take as many as keep a
+    bucket within a task's memory. Rows go to their buckets in one shuffle, so there is one file a bucket.
+    """
+    placed = df.repartition(buckets, key)
+    placed.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key, *order).saveAsTable(table)
+
+
 def kept_months(df: DataFrame, keep_months: int, as_of) -> DataFrame:
     first = F.add_months(F.trunc(clock(as_of), "month"), 1 - keep_months)
     return df.filter(F.col("month") >= first)
