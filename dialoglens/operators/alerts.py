@@ -9,21 +9,21 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dialoglens.functions.numbers import null_to_zero
 from dialoglens.functions.text import pad_free
-from dialoglens.functions.timing import ago, bound, clock, since
+from dialoglens.functions.timing import clock, since
 from dialoglens.operators.filters import HIGH, HIGH_CHURN, check_condition, is_negative, is_positive
 from dialoglens.operators.joins import suppress_open, with_subscriber
-from dialoglens.operators.skew import config_rows
+from dialoglens.operators.skew import small_side
 from dialoglens.sources.writers import row_id
 from dialoglens.tables import Tables
 
 CRITICAL_CHURN = HIGH
 LOW_SATISFACTION = 3
 AFFECTED_LIMIT = 100
-MAX_RULES = 5_000
 
 # fixed values: metrics a rule may watch
 METRICS = [
@@ -119,18 +119,41 @@ def metric_values() -> dict[str, Column]:
     }
 
 
-def _windows(rules: DataFrame) -> list[float]:
-    return sorted(r[0] for r in config_rows(rules.select("time_window_hours").distinct(), MAX_RULES) if r[0] is not None)
+def windows_of(rules: DataFrame) -> list[float]:
+    """The different windows of the rules in hours, shortest first."""
+    return sorted(r[0] for r in rules.select("time_window_hours").distinct().collect() if r[0] is not None)
 
 
 def age_class(df: DataFrame, time_col: str, windows: list[float], as_of) -> DataFrame:
-    """Smallest window (hours) that still contains each row; rows older than all are dropped."""
-    smallest = reduce(
-        lambda rest, hours: F.when(F.col(time_col) > bound(df, time_col, ago(as_of, hours / 24)), hours).otherwise(rest),
-        reversed(windows),
-        F.lit(None).cast("double"),
-    )
-    return since(df, time_col, windows[-1] / 24, as_of).withColumn("age", smallest)
+    """Add `age`, the number of the shortest window that still contains the row; rows older than all are dropped.
+
+    The bounds are searched by halves, so the number of windows hardly matters.
+    """
+    recent = since(df, time_col, windows[-1] / 24 if windows else 0, as_of)
+    # microseconds as in the filter: a row is inside a window while it is younger than it
+    micros = F.unix_micros(clock(as_of)) - F.unix_micros(F.col(time_col).cast("timestamp"))
+    bounds = sorted({round(hours * 3600, 6) * 1_000_000 for hours in windows}) or [0.0]
+    search = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_micros", outputCol="_age", handleInvalid="keep")
+    aged = search.transform(recent.withColumn("_micros", micros.cast("double")))
+    return aged.withColumn("age", F.col("_age").cast("int")).filter(F.col("age") < len(bounds)).drop("_micros", "_age")
+
+
+def with_age_of_window(rules: DataFrame, windows: list[float]) -> DataFrame:
+    """Add `age`, the number of the rule's window."""
+    bounds = sorted({round(hours * 3600, 6) for hours in windows})
+    numbers = [(hours, bounds.index(round(hours * 3600, 6))) for hours in windows] if len(bounds) < len(windows) else list(zip(windows, range(len(windows)), strict=True))
+    numbered = rules.sparkSession.createDataFrame(numbers, "time_window_hours double, age int")
+    return rules.join(small_side(numbered), "time_window_hours", "left")
+
+
+def summed_for_rules(rules: DataFrame, parts: DataFrame, sums: list[str]) -> DataFrame:
+    """Rules (`age`, `product`) with the sums of all parts of their product that are no older than their window.
+
+    One running sum over both, in place of a comparison of every rule with every part.
+    """
+    both = rules.withColumn("_rule", F.lit(True)).unionByName(parts.select("age", "product", *sums), allowMissingColumns=True)
+    so_far = Window.partitionBy("product").orderBy("age").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumns({name: F.sum(name).over(so_far) for name in sums}).filter("_rule").drop("_rule")
 
 
 def conversation_parts(db: Tables, rules: DataFrame, windows: list[float]) -> DataFrame:
@@ -161,22 +184,21 @@ def product_parts(by_account: DataFrame, subscriber: DataFrame, rules: DataFrame
     return listed.groupBy("age", "product").agg(*added())
 
 
-def conversation_metrics(rules: DataFrame, parts: DataFrame) -> DataFrame:
+def conversation_metrics(rules: DataFrame, parts: DataFrame, windows: list[float]) -> DataFrame:
     """Value of each rule on conversations, from parts no older than its window."""
-    named = rules.select("alert_id", "metric_name", "time_window_hours", F.col("filter_product").alias("wanted"))
-    fits = F.col("product").eqNullSafe(F.col("wanted")) & (F.col("age") <= F.col("time_window_hours"))
-    summed = named.join(parts, fits, "left").groupBy("alert_id", "metric_name").agg(*added())
     values = metric_values()
-    known = [name for name in values]
+    known = list(values)
+    asked = rules.filter(F.col("metric_name").isin(known)).select("alert_id", "metric_name", "time_window_hours", F.col("filter_product").alias("product"))
+    summed = summed_for_rules(with_age_of_window(asked, windows), parts, _SUMS)
     picked = reduce(lambda rest, name: F.when(F.col("metric_name") == name, values[name]).otherwise(rest), known, F.lit(None).cast("double"))
-    return summed.filter(F.col("metric_name").isin(known)).select("alert_id", picked.alias("metric_value"))
+    return summed.select("alert_id", picked.alias("metric_value"))
 
 
 def error_metrics(db: Tables, rules: DataFrame, windows: list[float]) -> DataFrame:
     counts = age_class(db.error_log, "error_timestamp", windows, db.as_of).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
-    asked = rules.filter("metric_name = 'error_count'").select("alert_id", "time_window_hours")
-    joined = asked.join(counts, F.col("age") <= F.col("time_window_hours"), "left")
-    return joined.groupBy("alert_id").agg(null_to_zero(F.sum("n")).cast("double").alias("metric_value"))
+    asked = rules.filter("metric_name = 'error_count'").select("alert_id", "time_window_hours", F.lit(None).cast("string").alias("product"))
+    summed = summed_for_rules(with_age_of_window(asked, windows), counts.withColumn("product", F.lit(None).cast("string")), ["n"])
+    return summed.select("alert_id", null_to_zero(F.col("n")).cast("double").alias("metric_value"))
 
 
 def quality_metrics(db: Tables, rules: DataFrame) -> DataFrame:
@@ -194,14 +216,14 @@ def rule_values(db: Tables, rules: DataFrame, partials: DataFrame | None = None)
 
     `partials` are stored sums per 5-minute slot and account; with them no conversation is read.
     """
-    windows = _windows(rules)
+    windows = windows_of(rules)
     if partials is None:
         parts = conversation_parts(db, rules, windows)
     else:
         aged = age_class(partials, "slot_end", windows, db.as_of)
         parts = product_parts(aged.groupBy("age", "ban").agg(*added()), db.subscriber, rules)
     return (
-        conversation_metrics(rules, parts)
+        conversation_metrics(rules, parts, windows)
         .unionByName(error_metrics(db, rules, windows))
         .unionByName(quality_metrics(db, rules))
     )
@@ -252,37 +274,52 @@ _COUNTED = {
 }
 
 
-def matching_rows(db: Tables, rules: DataFrame) -> DataFrame:
-    """Conversations behind each count rule: each row meets the rules of the metrics that it counts for."""
-    asked = rules.filter(F.col("metric_name").isin(list(_COUNTED))).select(
+def count_rules(rules: DataFrame) -> DataFrame:
+    return rules.filter(F.col("metric_name").isin(list(_COUNTED))).select(
         "alert_id", "metric_name", "time_window_hours", F.col("filter_product").alias("product")
     )
-    cs = db.conversation_summary
-    longest = asked.agg(F.max("time_window_hours")).first()[0] or 0.0
+
+
+def matching_rows(db: Tables, asked: DataFrame, windows: list[float]) -> DataFrame:
+    """Conversations with each metric that counts them, their age class, and each product that rules ask for (NULL: any).
+
+    Rules don't multiply rows: a conversation comes once for each metric and watched product of its account.
+    """
     metrics = F.filter(
         F.array(*[F.when(counted(), F.lit(name)) for name, counted in _COUNTED.items()]), lambda name: name.isNotNull()
     )
-    recent = since(cs, "conversation_time", longest / 24, db.as_of).withColumn("metric_name", F.explode(metrics))
-    age = F.col("time_window_hours") * F.lit(3600)
-    inside = F.unix_micros(F.col("conversation_time").cast("timestamp")) > F.unix_micros(clock(db.as_of)) - age * 1_000_000
-    rows = recent.join(asked, "metric_name").filter(inside)
-    owners = db.subscriber.select(F.col("customer_ban").alias("ban"), F.col("product_code").alias("product")).distinct()
-    return rows.filter("product is null").unionByName(
-        rows.filter("product is not null").join(owners, ["ban", "product"], "left_semi").select(*rows.columns)
+    recent = age_class(db.conversation_summary, "conversation_time", windows, db.as_of).withColumn("metric_name", F.explode(metrics))
+    watched = asked.filter("product is not null").select(F.col("product").alias("product_code")).distinct()
+    owned = db.subscriber.join(watched, "product_code", "left_semi").select(F.col("customer_ban").alias("ban"), F.col("product_code").alias("product")).distinct()
+    return recent.withColumn("product", F.lit(None).cast("string")).unionByName(recent.join(owned, "ban").select(*recent.columns, "product"))
+
+
+def for_rules(classes: DataFrame, asked: DataFrame, windows: list[float]) -> DataFrame:
+    """Rows of metric, product and age classes for every rule whose window contains their class."""
+    wanted = with_age_of_window(asked, windows).select(
+        "alert_id", F.col("metric_name").alias("_metric"), F.col("product").alias("_product"), F.col("age").alias("_longest")
     )
+    fits = (F.col("metric_name") == F.col("_metric")) & F.col("product").eqNullSafe(F.col("_product")) & (F.col("age") <= F.col("_longest"))
+    return classes.join(wanted, fits).drop("_metric", "_product", "_longest")
 
 
 def affected_counts(db: Tables, rules: DataFrame) -> DataFrame:
-    """How many rows the whole list of each count rule has."""
-    return with_subscriber(matching_rows(db, rules), db.subscriber).groupBy("alert_id").agg(F.count(F.lit(1)).alias("affected"))
+    """How many rows the whole list of each count rule has: counted by class, then summed for the rules."""
+    asked = count_rules(rules)
+    windows = windows_of(asked)
+    counted = with_subscriber(matching_rows(db, asked, windows), db.subscriber).groupBy("metric_name", "product", "age").agg(F.count(F.lit(1)).alias("n"))
+    return for_rules(counted, asked, windows).groupBy("alert_id").agg(F.sum("n").alias("affected"))
 
 
 def affected_by_rule(db: Tables, rules: DataFrame, limit: int = AFFECTED_LIMIT) -> DataFrame:
     """The leading conversations behind each count rule, with subscriber status.
 
-    Order: score for churn, newest for sentiment, lowest rating for satisfaction. Only `limit` rows per rule leave a task.
+    Order: score for churn, newest for sentiment, lowest rating for satisfaction. Only `limit` rows of each class of
+    metric, product and age leave a task, and only these meet the rules.
     """
-    matching = matching_rows(db, rules)
+    asked = count_rules(rules)
+    windows = windows_of(asked)
+    matching = matching_rows(db, asked, windows)
     order = [
         F.desc_nulls_last(F.when(F.col("metric_name").isin("high_risk_count", "critical_risk_count"), F.col("churn_score"))),
         F.asc_nulls_last(F.when(F.col("metric_name") == "low_satisfaction_count", F.col("satisfaction"))),
@@ -291,13 +328,14 @@ def affected_by_rule(db: Tables, rules: DataFrame, limit: int = AFFECTED_LIMIT)
         F.asc("source_type"),
     ]
 
-    def leading(df: DataFrame, *extra: Column) -> DataFrame:
-        position = F.row_number().over(Window.partitionBy("alert_id").orderBy(*order, *extra))
+    def leading(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *extra))
         return df.withColumn("position", position).filter(F.col("position") <= limit)
 
-    # a join that may repeat rows comes after the first cut and before the second
-    named = with_subscriber(leading(matching), db.subscriber)
-    return leading(named, F.asc("sub_status"), F.asc("product_code")).select(
+    few = leading(matching, ["metric_name", "product", "age"]).drop("position")
+    # a join that may repeat rows comes after the first cut of a rule and before the second
+    named = with_subscriber(leading(for_rules(few, asked, windows), ["alert_id"]), db.subscriber)
+    return leading(named, ["alert_id"], F.asc("sub_status"), F.asc("product_code")).select(
         "alert_id",
         "position",
         "source_id",
