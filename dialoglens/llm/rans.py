@@ -5,10 +5,11 @@ blocks of the file, a table of checkpoints, and the blocks. A block codes a fixe
 that share one stream of 32-bit words. Its checkpoint has the place and length of the stream, the state of each lane
 and a checksum, so each block decodes alone; numpy decodes all blocks of a file side by side.
 
-Texts become ids in two steps that give what the tokenizer gives for the whole text: texts are parted at white space
-and between a letter and an ASCII sign, where this tokenizer always parts and drops the space, and each different
-part of a batch is encoded once. The tokenizer finds its added tokens (such as `<|endoftext|>`) in the raw text, before
-anything is parted or lower-cased: a text that holds one is encoded whole.
+Texts become ids in two steps that give what the tokenizer gives for the whole text: texts are parted at ASCII white
+space and between a letter and an ASCII sign, where a tokenizer of this kind always parts and drops the space, and each
+different part of a batch is encoded once, many in one call with a mark between them. The tokenizer finds its added tokens (such as `<|endoftext|>`) in
+the raw text, before anything is parted: a text that holds one is encoded whole. So are all texts where the tokenizer's
+file names another normalizer or another way to part texts.
 
 Defined results: a NULL or empty text is the end id alone; rows without doc_id come first; rows repeated with one id
 follow each other; an empty table gives no rows.
@@ -17,9 +18,12 @@ follow each other; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +32,76 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dialoglens.llm.files import read_whole, write_whole
-from dialoglens.llm.shingles import text_slices
+from dialoglens.llm.graph import small_batches
+from dialoglens.llm.shingles import text_bytes, text_slices
 from dialoglens.session import fresh_path, materialize
 
 MAGIC = b"RANSTOK1"
 LANES, STEPS = 32, 2048
 LOW = np.uint64(1 << 31)
-FILE_TOKENS = 4_000_000
-TEXT_SLICE, WHOLE_SLICE = 8_000_000, 1_000_000
+FILE_TOKENS = 2_000_000
+TEXT_SLICE, WHOLE_SLICE = 4_000_000, 1_000_000
 CACHED_PARTS = 400_000
 
+#: What a tokenizer file has to say for its texts to be parted.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Bytes that end a part and are dropped, letters, and signs before which a part behind a letter ends.
+SPACE, LETTER, SIGN = (np.zeros(256, bool) for _ in range(3))
+SPACE[[32, *range(9, 14)]] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+#: Stands between parts that are encoded in one call.
+MARK, PARTS_A_CALL = "\x01", 200
+THREADS = 2
+
 MANIFEST_SCHEMA = "part int, file int, path string, docs long, tokens long, bytes long"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 # ---- tokens --------------------------------------------------------------------------------------------------------
 
+def parts_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts, one after the other, and the number of parts of each text."""
+    body, at = text_bytes(texts)
+    gap, letter = SPACE[body], LETTER[body]
+    if (body == 0xC3).any():
+        # À to ÿ, but for the two signs among them
+        letter[1:] |= (body[:-1] == 0xC3) & (body[1:] != 0x97) & (body[1:] != 0xB7)
+    begins = np.empty(len(body), bool)
+    begins[:1] = True
+    begins[1:] = gap[:-1] | (letter[:-1] & SIGN[body[1:]])
+    begins[at[:-1][at[:-1] < len(body)]] = True
+    begins &= ~gap
+    first = np.flatnonzero(begins)
+    kept = np.concatenate([[0], np.cumsum(~gap)])
+    offsets, body = np.append(kept[first], kept[-1]), body[~gap]
+    if len(first):
+        # parts of ASCII alone have small letters whatever the normalizer composes
+        plain = np.maximum.reduceat(body, offsets[:-1]) < 128
+        body = np.where(np.repeat(plain, np.diff(offsets)), SMALL[body], body)
+    parts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body.tobytes()))
+    return parts, np.diff(np.searchsorted(first, at))
+
+
 class PartEncoder:
     """Ids of texts by a tokenizer that parts at white space and drops it; each different part is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_part = (told.get("normalizer") or {}).get("normalizers") == NORMALIZER and steps[0].get("pattern") == {"Regex": WORDS}
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.by_part &= len(self.mark) == 1
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -59,12 +110,24 @@ class PartEncoder:
         self.begins, self.lengths, self.ids = array("q"), array("q"), array("I")
 
     def learn(self, parts: list[str]) -> None:
-        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            ids = coded.ids
-            self.known[part] = len(self.begins)
-            self.begins.append(len(self.ids))
-            self.lengths.append(len(ids))
-            self.ids.extend(ids)
+        # a part that holds the mark itself is encoded alone
+        alone = [p for p in parts if MARK in p]
+        parts = [p for p in parts if MARK not in p] if alone else parts
+        between = f" {MARK} "
+        calls = [between.join(parts[k:k + PARTS_A_CALL]) + between for k in range(0, len(parts), PARTS_A_CALL)]
+        coded = self.tokenizer.encode_batch_fast(calls, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(c.ids, np.uint32) for c in coded)])
+        ends = np.flatnonzero(ids == self.mark[0])
+        lengths = np.diff(np.concatenate([[-1], ends])) - 1
+        self.keep(parts, ids[ids != self.mark[0]], lengths)
+        for part, one in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.keep([part], np.array(one.ids, np.uint32), np.array([len(one.ids)]))
+
+    def keep(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(parts, count(len(self.known))))
+        self.begins.frombytes((len(self.ids) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
+        self.lengths.frombytes(lengths.astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
 
     def whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts that aren't parted, and the number of ids of each text."""
@@ -75,38 +138,41 @@ class PartEncoder:
                 lengths.append(len(ids[-1]))
         return np.concatenate(ids), np.array(lengths, np.int64)
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, each text closed by `end_id`, and the number of ids of each text."""
-        texts = pc.fill_null(texts, "")
-        holds = np.zeros(len(texts), bool)
-        for token in self.added:
-            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        late, more = np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        if holds.any():
-            late, more[holds] = self.whole(texts.filter(pa.array(holds)))
-            texts = pc.if_else(pa.array(holds), "", texts)
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"[\t-\r]", " ")
-        parted = pc.replace_substring_regex(plain, r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"\1 \2")
-        words = pc.split_pattern(parted, " ")
-        coded = words.flatten().dictionary_encode()
+    def parted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are parted."""
+        words, counts = parts_of(texts)
+        coded = words.dictionary_encode()
         parts = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_PARTS:
             self.forget()
         self.learn([p for p in parts if p not in self.known])
         place = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         place = place[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = np.frombuffer(self.lengths, np.int64)[place]
+        lengths = np.frombuffer(self.lengths, np.int64)[place] if len(place) else np.empty(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
+        if not ends[-1]:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         at = np.repeat(np.frombuffer(self.begins, np.int64)[place] - ends[:-1], lengths) + np.arange(ends[-1])
-        source = np.frombuffer(self.ids, np.uint32) if self.ids else np.empty(0, np.uint32)
-        offsets = words.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        # behind a text's parts come its ids as a whole, if it has such, and the end id
-        behind = np.full(len(texts) + len(late), end_id, np.uint32)
-        last = np.zeros(len(behind), bool)
-        last[np.cumsum(more + 1) - 1] = True
-        behind[~last] = late
-        return np.insert(source[at], np.repeat(ends[offsets[1:]], more + 1), behind).astype(np.uint32), np.diff(ends[offsets]) + 1 + more
+        return np.frombuffer(self.ids, np.uint32)[at], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text closed by `end_id`, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "")
+        holds = np.full(len(texts), not self.by_part)
+        for token in self.added if self.by_part else ():
+            holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        lengths = np.zeros(len(texts), np.int64)
+        some, lengths[~holds] = self.parted(texts.filter(pa.array(~holds)) if holds.any() else texts)
+        late, lengths[holds] = self.whole(texts.filter(pa.array(holds))) if holds.any() else (np.empty(0, np.uint32), 0)
+        out = np.full(int(lengths.sum()) + len(texts), end_id, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(lengths + 1) - 1] = False
+        if len(late):
+            of_late = np.repeat(holds, lengths + 1)
+            out[inside & of_late] = late
+            inside &= ~of_late
+        out[inside] = some
+        return out, lengths + 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -176,7 +242,11 @@ def decode_blocks(states: np.ndarray, stream: np.ndarray, begins: np.ndarray, st
 
 def pack_file(doc_ids: np.ndarray, has_id: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
     """Bytes of a file of whole documents."""
-    symbols, codes, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts, number = counts[symbols], np.zeros(len(counts), np.uint32)
+    number[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    codes = number[ids]
     bits, freq = shared_table(counts.astype(np.int64))
     steps = min(STEPS, -(-len(ids) // LANES))
     blocks = -(-len(ids) // (steps * LANES))
@@ -274,7 +344,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     order = (F.col("doc_id"), F.col("tie"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("text").cast("binary")).alias("tie"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return materialize(ranged.mapInArrow(write, MANIFEST_SCHEMA), "token-files")
+    with small_batches(docs.sparkSession):
+        return materialize(ranged.mapInArrow(write, MANIFEST_SCHEMA), "token-files")
 
 
 def with_starts(files: DataFrame) -> DataFrame:
