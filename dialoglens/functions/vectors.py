@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
@@ -41,18 +43,26 @@ def similarity_to(vectors: list[list[float]]) -> Callable[[Column], Column]:
 
 
 def hashing_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
-    """Default embedder: signed hashing of words into a unit vector. Needs no model."""
-
-    def embed(text: str) -> np.ndarray:
-        vector = np.zeros(dimensions, dtype=np.float32)
-        for word in text.lower().split():
-            code = zlib.crc32(word.encode("utf-8"))
-            vector[code % dimensions] += 1.0 if code & 0x80000000 else -1.0
-        norm = np.linalg.norm(vector)
-        return vector / norm if norm else vector
-
-    @F.pandas_udf("array<float>")
-    def embedded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t or ""))
+    """Default embedder: signed hashing of words into a unit vector. Needs no model.
+
+    Each different word of a batch is hashed once; all texts of the batch are counted side by side.
+    """
+
+    @F.arrow_udf("array<float>")
+    def embedded(texts: pa.Array) -> pa.Array:
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        coded = words.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        codes = np.array([zlib.crc32(word.encode("utf-8")) for word in known], np.int64)
+        # blanks at the ends of a text split off empty words
+        signs = np.array([0.0 if not word else 1.0 if code & 0x80000000 else -1.0 for word, code in zip(known, codes.tolist(), strict=True)])
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = row * dimensions + (codes % dimensions)[word] if len(known) else np.empty(0, np.int64)
+        sums = np.bincount(at, weights=signs[word] if len(known) else None, minlength=len(texts) * dimensions)
+        vectors = sums.reshape(-1, dimensions).astype(np.float32)
+        norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dimensions, pa.int32()), pa.array(vectors.reshape(-1)))
 
     return embedded

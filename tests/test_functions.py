@@ -97,3 +97,22 @@ def test_to_days(value, unit, days):
 def test_filter_reaches_the_scan(db):
     plan = timing.since(db.conversation_summary, "conversation_time", 7, db.as_of)._jdf.queryExecution().toString()
     assert "GreaterThan(ts," in plan
+
+
+def test_embedder_counts_words(spark):
+    import zlib
+
+    import numpy as np
+
+    from dialoglens.functions.vectors import hashing_embedder
+
+    told = ["Some words, some more words", "  lead and trail \n", "", None, "שירות גרוע", "x" * 1000]
+    frame = spark.createDataFrame(list(enumerate(told)), "id int, text string").repartition(2)
+    found = {r.id: r.v for r in frame.select("id", hashing_embedder(16)("text").alias("v")).collect()}
+    for k, text in enumerate(told):
+        vector = np.zeros(16)
+        for word in (text or "").lower().split():
+            code = zlib.crc32(word.encode())
+            vector[code % 16] += 1 if code & 0x80000000 else -1
+        norm = np.linalg.norm(vector)
+        assert np.allclose(found[k], vector / norm if norm else vector, atol=1e-6)

@@ -202,6 +202,19 @@ def test_a_broken_configuration_leaves_the_last_good_one(spark):
         config.RefreshedConfig(spark, lambda: missing).current()  # noqa: F821
 
 
+def test_a_large_configuration_is_kept_as_a_copy(spark):
+    from dialoglens.session import list_folders, work_dir
+
+    path = fresh_path(spark, "config")
+    write = lambda n: spark.range(n).selectExpr("concat('c', id) AS category", "'strong' AS strength", "concat('w', id) AS keyword").coalesce(1).write.mode("overwrite").parquet(path)
+    copies = lambda: len(list_folders(spark, work_dir(spark), "config-"))
+    before = copies() + 1
+    refreshed = config.RefreshedConfig(spark, lambda: spark.read.parquet(path))
+    for n, more in ((30_000, 1), (25_000, 1), (2, 1), (40, 0)):
+        write(n)
+        assert refreshed.current().count() == (25_000 if n == 2 else n) and copies() == before + more
+
+
 def test_streamed_queries_read_all_files(spark, db):
     from dialoglens.plans.stream_queries import _streamed
 
