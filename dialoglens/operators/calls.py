@@ -51,6 +51,36 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / limit))
 
 
+#: Column and whether it descends; NULLs come last.
+Order = list[tuple[str, bool]]
+NEWEST: Order = [("conversation_time", True), ("source_id", False), ("source_type", False)]
+RISKIEST: Order = [("churn_score", True), *NEWEST]
+
+
+def behind(order: Order, last: dict) -> Column:
+    """Rows behind the row `last` in `order`. The bound of the first column reaches the scan."""
+    found, equal = F.lit(False), F.lit(True)
+    for name, descends in order:
+        value = last[name]
+        if value is not None:
+            further = F.col(name) < F.lit(value) if descends else F.col(name) > F.lit(value)
+            found = found | (equal & (further | F.col(name).isNull()))
+        equal = equal & F.col(name).eqNullSafe(F.lit(value))
+    name, descends = order[0]
+    if last[name] is None:
+        return F.col(name).isNull() & found
+    return ((F.col(name) <= F.lit(last[name]) if descends else F.col(name) >= F.lit(last[name])) | F.col(name).isNull()) & found
+
+
+def page_behind(df: DataFrame, order: Order, last: dict | None, limit: int) -> DataFrame:
+    """The page behind the last row of the page before it (None: the first one).
+
+    Only the rows behind are looked at and only `limit` leave a task, however far the page is. `order` has to tell rows apart.
+    """
+    columns = [F.desc_nulls_last(name) if descends else F.asc_nulls_last(name) for name, descends in order]
+    return top_n(df if last is None else df.filter(behind(order, last)), limit, *columns)
+
+
 def order_by_severity(df: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "CRITICAL", 1).when(F.col("severity") == "WARNING", 2).otherwise(3)
     return df.orderBy(rank, F.desc_nulls_last("triggered_at"), "history_id")

@@ -27,22 +27,25 @@ def top_categories_plain(db: Tables, days: float = 7, limit: int = 15) -> DataFr
 
 
 def categories_overview(db: Tables, days: float = 7, call_type: str = "service") -> DataFrame:
-    """One row: conversations, categories, assignments, average and the most frequent category."""
+    """One row: conversations, categories, assignments, average and the most frequent category.
+
+    One pass over the joined rows: they are grouped by category and by conversation at once.
+    """
     joined = category_join(db.conversation_category, conversations(db, days, call_type).select("source_id", "source_type"))
-    counts = joined.groupBy("category_code").agg(F.count(F.lit(1)).alias("n"))
-    # most rows first, then the first name
-    top = counts.agg(F.min_by("category_code", F.struct(-F.col("n"), "category_code")))
-    stats = joined.agg(
-        F.countDistinct("source_id").alias("total_conversations"),
-        F.countDistinct("category_code").alias("unique_categories"),
-        F.count(F.lit(1)).alias("total_category_assignments"),
+    sets = joined.groupingSets([["category_code"], ["source_id"]], "category_code", "source_id")
+    groups = sets.agg(F.count(F.lit(1)).alias("n"), (F.grouping("source_id") == 1).alias("of_category"))
+    of_category = F.col("of_category")
+    stats = groups.agg(
+        F.count_if(~of_category & F.col("source_id").isNotNull()).alias("total_conversations"),
+        F.count_if(of_category & F.col("category_code").isNotNull()).alias("unique_categories"),
+        F.coalesce(F.sum(F.when(of_category, F.col("n"))), F.lit(0)).alias("total_category_assignments"),
+        # most rows first, then the first name
+        F.min_by("category_code", F.when(of_category, F.struct(-F.col("n"), "category_code"))).alias("top_category"),
     )
-    average = F.col("total_category_assignments") / F.nullif("total_conversations", F.lit(0))
-    return stats.withColumns(
-        {
-            "avg_per_conversation": F.coalesce(F.round(average, 2), F.lit(0.0)),
-            "top_category": F.coalesce(top.scalar(), F.lit("-")),
-        }
+    average = F.coalesce(F.round(F.col("total_category_assignments") / F.nullif("total_conversations", F.lit(0)), 2), F.lit(0.0))
+    return stats.select(
+        "total_conversations", "unique_categories", "total_category_assignments", average.alias("avg_per_conversation"),
+        F.coalesce("top_category", F.lit("-")).alias("top_category"),
     )
 
 
