@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoglens.functions.numbers import null_to_zero, safe_percent
+from dialoglens.functions.text import pad_free
 from dialoglens.functions.timing import since
 from dialoglens.operators.filters import HIGH_CHURN
-from dialoglens.operators.joins import churned_flagged, conversations, flagged_keys, subscriber_keys
+from dialoglens.operators.joins import churned_flagged, conversations, subscriber_keys
 from dialoglens.tables import Tables
 
 
@@ -34,15 +35,24 @@ def _flagged() -> Column:
     return F.col("churn_score") >= HIGH_CHURN
 
 
+def calls_of_accounts(cs: DataFrame, *extra: str) -> DataFrame:
+    """Number of conversations of each account: what reports on flagged calls and on subscribers start from."""
+    return cs.groupBy(pad_free(F.col("subscriber_no")).alias("_sub"), F.col("ban").alias("_ban"), *extra).agg(F.count(F.lit(1)).alias("calls"))
+
+
+def with_churns(accounts: DataFrame, churned: DataFrame) -> DataFrame:
+    """Add `churns`, the number of churned subscribers of each account."""
+    left = subscriber_keys(churned).groupBy("_sub", "_ban").agg(F.count(F.lit(1)).alias("churns"))
+    return accounts.join(left, ["_sub", "_ban"], "left")
+
+
 def churn_accuracy(db: Tables, days: float = 180, call_type: str = "service") -> DataFrame:
     """Predictions are calls, churns are subscribers; `flagged_subscribers` is the like-for-like count."""
-    cs = conversations(db, days, call_type).filter(_flagged())
-    churned = churned_flagged(db.subscriber, cs, _flagged())
-    counts = cs.agg(F.count(F.lit(1)).alias("total_predictions")).withColumns(
-        {
-            "actual_churns": churned.agg(F.count(F.lit(1))).scalar(),
-            "flagged_subscribers": flagged_keys(cs, _flagged()).agg(F.count(F.lit(1))).scalar(),
-        }
+    flagged = with_churns(calls_of_accounts(conversations(db, days, call_type).filter(_flagged())), db.subscriber.filter("sub_status = 'C'"))
+    counts = flagged.agg(
+        null_to_zero(F.sum("calls")).alias("total_predictions"),
+        null_to_zero(F.sum("churns")).alias("actual_churns"),
+        F.count(F.lit(1)).alias("flagged_subscribers"),
     )
     return counts.withColumns(
         {
@@ -85,20 +95,15 @@ def churn_by_score_range(
 ) -> DataFrame:
     """Predictions and churns per band, all bands in one pass."""
     cs = conversations(db, days, call_type).withColumn("band", band_of(F.col("churn_score"), bands, strict))
-    cs = cs.filter("band is not null")
-    predictions = cs.groupBy("band").agg(F.count(F.lit(1)).alias("predictions"))
-
     churned = db.subscriber.filter("sub_status = 'C'")
     if churned_within_days is not None:
         churned = since(churned, "sub_status_date", churned_within_days, db.as_of)
-    keys = flagged_keys(cs, F.lit(True), "band")
-    churns = (
-        subscriber_keys(churned).join(keys, ["_sub", "_ban"]).groupBy("band").agg(F.count(F.lit(1)).alias("actual_churns"))
-    )
+    accounts = with_churns(calls_of_accounts(cs.filter("band is not null"), "band"), churned)
+    found = accounts.groupBy("band").agg(F.sum("calls").alias("predictions"), F.sum("churns").alias("actual_churns"))
 
     rows = [(i, b.label, f"{b.low}-{b.high}", b.low, b.high) for i, b in enumerate(bands)]
     listed = db.spark.createDataFrame(rows, "band int, label string, range string, min_score int, max_score int")
-    joined = listed.join(predictions, "band", "left").join(churns, "band", "left")
+    joined = listed.join(found, "band", "left")
     n, c = null_to_zero(F.col("predictions")), null_to_zero(F.col("actual_churns"))
     return joined.select(
         "label",

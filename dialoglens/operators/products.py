@@ -11,17 +11,26 @@ from dialoglens.operators.categories import top_n
 from dialoglens.operators.filters import has_products, with_display_product
 from dialoglens.operators.joins import call_type_filter, conversations
 from dialoglens.operators.kpi import rounded_avg
+from dialoglens.session import materialize
 from dialoglens.tables import Tables
 
 
-def product_mentions(db: Tables, days: float = 30, call_type: str = "service") -> DataFrame:
-    """Mentions per day and normalised product. Equal raw strings are counted before they are split."""
+def mentions_of_days(db: Tables, days: float, call_type: str) -> DataFrame:
+    """Mentions per day and normalised product; NULL stands for texts and parts that name none.
+
+    Equal raw strings are counted before they are split. Every day with a product text has a row.
+    """
     day = fmt_ts(trunc_day(F.col("conversation_time")), DATE).alias("call_date")
     raw = has_products(conversations(db, days, call_type)).groupBy(day, "products").agg(F.count(F.lit(1)).alias("n"))
-    named = raw.select("call_date", "n", F.explode(split_csv(F.col("products"))).alias("raw")).select(
+    named = raw.select("call_date", "n", F.explode_outer(split_csv(F.col("products"))).alias("raw")).select(
         "call_date", "n", normalize_product(F.col("raw")).alias("product")
     )
-    return named.filter("product is not null").groupBy("call_date", "product").agg(F.sum("n").alias("count"))
+    return named.groupBy("call_date", "product").agg(F.sum("n").alias("count"))
+
+
+def product_mentions(db: Tables, days: float = 30, call_type: str = "service") -> DataFrame:
+    """Mentions per day and normalised product."""
+    return mentions_of_days(db, days, call_type).filter("product is not null")
 
 
 def product_totals(db: Tables, days: float = 30, call_type: str = "service") -> DataFrame:
@@ -31,13 +40,13 @@ def product_totals(db: Tables, days: float = 30, call_type: str = "service") ->
 def products_daily(db: Tables, days: float = 30, top: int = 5, call_type: str = "service") -> DataFrame:
     """Daily series of the most mentioned products, 0 on days without a mention.
 
-    The day list holds every day with a product text, also a junk one.
+    The day list holds every day with a product text, also a junk one. The counts are written once and read three times.
     """
-    mentions = product_mentions(db, days, call_type)
+    counted = materialize(mentions_of_days(db, days, call_type), "mentions")
+    mentions = counted.filter("product is not null")
     totals = mentions.groupBy("product").agg(F.sum("count").alias("total"))
     best = top_n(totals, top, F.desc("total"), F.asc("product"))
-    day = fmt_ts(trunc_day(F.col("conversation_time")), DATE).alias("call_date")
-    dates = has_products(conversations(db, days, call_type)).select(day).distinct()
+    dates = counted.select("call_date").distinct()
     # one row per day, each with the handful of leading products
     leaders = best.agg(F.collect_list("product")).scalar()
     grid = dates.select("call_date", F.explode(leaders).alias("product"))
