@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialoglens.llm import decontam, jaccard, pieces, pii, quality
+from dialoglens.llm.graph import small_batches
 from dialoglens.llm.queries import table
 from dialoglens.session import materialize
 
@@ -38,7 +39,8 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document as little-endian 32-bit integers (`ids`), and the text that they decode to."""
-    return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    with small_batches(spark):
+        return materialize(pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")), "pieces")
 
 
 STAGES = [
