@@ -48,8 +48,9 @@ def hashing_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
     Each different word of a batch is hashed once; all texts of the batch are counted side by side.
     """
 
-    @F.arrow_udf("array<float>")
-    def embedded(texts: pa.Array) -> pa.Array:
+    @F.pandas_udf("array<float>")
+    def embedded(batch: pd.Series) -> pd.Series:
+        texts = pa.array(batch, pa.string(), from_pandas=True)
         words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         coded = words.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()
@@ -63,6 +64,6 @@ def hashing_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
         vectors = sums.reshape(-1, dimensions).astype(np.float32)
         norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dimensions, pa.int32()), pa.array(vectors.reshape(-1)))
+        return pd.Series(list(vectors))
 
     return embedded

@@ -17,7 +17,7 @@ from dialoglens.functions.numbers import rescale_score, safe_percent
 from dialoglens.functions.vectors import similarity_to
 from dialoglens.operators.categories import top_n
 from dialoglens.operators.keyword_search import with_matches
-from dialoglens.operators.references import best_of_blocks, stored_references, with_scores
+from dialoglens.operators.references import stored_references, with_best, with_scores
 from dialoglens.operators.skew import config_rows
 
 # fixed values: weights and limits of the scoring
@@ -189,8 +189,8 @@ def classify_by_blocks(
             F.lit(stand_in.category_id).alias("category_id"), F.lit(stand_in.name).alias("name"),
         )
     )
-    chosen = matched.withColumn("classes", best_of_blocks(path, k, threshold)(F.col(vector), boosts))
-    return chosen.withColumn("classes", F.when(F.size("classes") > 0, F.col("classes")).otherwise(default)).drop("matches")
+    chosen = with_best(matched.withColumn("_boosts", boosts).drop("matches"), path, k, threshold, vector, "_boosts")
+    return chosen.withColumn("classes", F.when(F.size("classes") > 0, F.col("classes")).otherwise(default))
 
 
 def churn_batch_summary(scored: DataFrame) -> DataFrame:

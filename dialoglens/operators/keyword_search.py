@@ -3,16 +3,16 @@
 A few keywords are conditions of the plan. More are found by q-grams: each keyword stands under its rarest gram of
 `GRAM` characters, a text's grams are looked up once, and only keywords whose gram occurs are searched for. Keywords of
 fewer characters stand under themselves. The table of grams goes to the tasks in slices of bounded size; further slices
-are further passes over the text's row, never over the table.
+are further passes over the text, never over the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from dialoglens.operators.skew import number_rows
 from dialoglens.session import materialize
@@ -21,6 +21,7 @@ PLAN_KEYWORDS = 256
 SLICE_KEYWORDS = 500_000
 GRAM = 3
 MATCH = "struct<category:string,strength:string,keyword:string,category_pos:bigint>"
+MATCH_FIELDS = "category string, strength string, keyword string, category_pos bigint"
 
 
 def ordered_keywords(keywords: DataFrame) -> DataFrame:
@@ -61,18 +62,30 @@ class GramTable:
         return sorted(hits)
 
 
-def gram_matches(table) -> Column:
-    """Column function: lower-cased text to its matches. `table` is a broadcast variable that holds a GramTable."""
-
-    @F.arrow_udf(f"array<{MATCH}>")
-    def matched(texts: pa.Array) -> pa.Array:
-        known, ends, hits = table.value, [0], []
-        for text in texts.to_pylist():
-            hits += known.found(text)
-            ends.append(len(hits))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known.matches.take(pa.array(hits, pa.int64())))
-
-    return matched
+def with_gram_matches(texts: DataFrame, lowered: Column, tables: list) -> DataFrame:
+    """Add `matches` by the gram tables that the broadcast variables `tables` hold, which are in the keywords' order."""
+    rows = texts.withColumn("_lowered", lowered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [table.value for table in tables]
+        for batch in batches:
+            ends, hits = [0], [[] for _ in known]
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                for found, table in zip(hits, known, strict=True):
+                    found.append(table.found(text))
+                ends.append(ends[-1] + sum(len(found[-1]) for found in hits))
+            # a text's matches of all tables, one after the other
+            bases = np.cumsum([0, *(sum(map(len, found)) for found in hits)])[:-1].tolist()
+            taken = pa.concat_arrays([t.matches.take(pa.array([k for one in found for k in one], pa.int64())) for found, t in zip(hits, known, strict=True)])
+            order, at = [], list(bases)
+            for row in range(batch.num_rows):
+                for i, found in enumerate(hits):
+                    order += range(at[i], at[i] + len(found[row]))
+                    at[i] += len(found[row])
+            matches = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.take(pa.array(order, pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], matches], names=[*batch.schema.names[:-1], "matches"])
+
+    return rows.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("matches", T.ArrayType(T.StructType.fromDDL(MATCH_FIELDS)))]))
 
 
 def tables(spark: SparkSession, ordered: DataFrame, n: int, most: int) -> Iterator[GramTable]:
@@ -105,5 +118,5 @@ def with_matches(texts: DataFrame, keywords: DataFrame, text: str, in_plan: int
         rows = [(r.category, r.strength, r.keyword.lower(), places.index(r.category)) for r in few if r.keyword is not None]
         return texts.withColumn("matches", planned_matches(lowered, rows))
     ordered = ordered_keywords(keywords)
-    parts = [gram_matches(spark.sparkContext.broadcast(t))(lowered) for t in tables(spark, ordered, ordered.count(), in_slice)]
-    return texts.withColumn("matches", reduce(F.concat, parts))
+    parts = [spark.sparkContext.broadcast(t) for t in tables(spark, ordered, ordered.count(), in_slice)]
+    return with_gram_matches(texts, lowered, parts)

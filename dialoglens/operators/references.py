@@ -7,13 +7,13 @@ leave the task. No side is sent whole to the driver, broadcast or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from dialoglens.operators.skew import number_rows
 from dialoglens.session import fresh_path
@@ -21,7 +21,8 @@ from dialoglens.session import fresh_path
 BLOCK_ROWS, SLICE_ROWS = 4096, 1024
 #: Scores that a slice of vectors holds at once.
 SLICE_SCORES = 4_000_000
-BEST = "array<struct<confidence:double,keyword_boost:double,pos:bigint,category_id:string,name:string>>"
+CLASSES = pa.list_(pa.struct([("confidence", pa.float64()), ("keyword_boost", pa.float64()), ("pos", pa.int64()), ("category_id", pa.string()), ("name", pa.string())]))
+BEST = "confidence double, keyword_boost double, pos bigint, category_id string, name string"
 
 
 def stored_references(references: DataFrame, order: str, names: tuple[str, ...] = ()) -> str:
@@ -72,21 +73,23 @@ def with_scores(vectors: DataFrame, path: str, n: int, vector: str) -> DataFrame
     return vectors.mapInArrow(run, schema)
 
 
-def best_of_blocks(path: str, k: int, threshold: float) -> Callable[[Column, Column], Column]:
-    """Column function (vector, boosts by name) to the `k` best references at or above the threshold, ties in order."""
+def with_best(rows: DataFrame, path: str, k: int, threshold: float, vector: str, boosts: str) -> DataFrame:
+    """Replace the column `boosts` (by name) by `classes`: the `k` best references at or above the threshold, ties in order."""
+    kept = [c for c in rows.columns if c != boosts]
 
-    @F.arrow_udf(BEST)
-    def best(vectors: pa.Array, boosts: pa.Array) -> pa.Array:
-        out: list = [[] for _ in range(len(vectors))]
-        for begin in range(0, len(vectors), SLICE_ROWS):
-            at, rows = present(vectors.slice(begin, SLICE_ROWS))
-            at += begin
-            wanted = [{b["name"]: b["boost"] for b in boosts[int(r)].as_py() or ()} for r in at]
-            for place, block, refs in blocks_of(path) if len(at) else ():
-                merge(out, at, rows @ block.T, wanted, place, refs, k, threshold)
-        return pa.array(out, pa.list_(pa.struct([("confidence", pa.float64()), ("keyword_boost", pa.float64()), ("pos", pa.int64()), ("category_id", pa.string()), ("name", pa.string())])))
-
-    return best
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(begin, SLICE_ROWS)
+                column = {name: batch.column(batch.schema.get_field_index(name)) for name in batch.schema.names}
+                out: list = [[] for _ in range(batch.num_rows)]
+                at, found = present(column[vector])
+                wanted = [{b["name"]: b["boost"] for b in column[boosts][int(r)].as_py() or ()} for r in at]
+                for place, block, refs in blocks_of(path) if len(at) else ():
+                    merge(out, at, found @ block.T, wanted, place, refs, k, threshold)
+                yield pa.RecordBatch.from_arrays([*(column[c] for c in kept), pa.array(out, CLASSES)], names=[*kept, "classes"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.drop(boosts).schema.fields, T.StructField("classes", T.ArrayType(T.StructType.fromDDL(BEST)))]))
 
 
 def merge(out: list, at: np.ndarray, scores: np.ndarray, wanted: list[dict], place: np.ndarray, refs: pa.RecordBatch, k: int, threshold: float) -> None:
