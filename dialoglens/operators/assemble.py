@@ -46,13 +46,20 @@ def assemble_conversations(
     source_type: str,
     as_of,
     strip_text: bool = False,
+    stats: DataFrame | None = None,
     **limits,
 ) -> DataFrame:
     """Eligible calls as documents with their messages in time order, blank ones left out.
 
-    A call of extreme length comes as several numbered parts (`part`, `parts`).
+    A call of extreme length comes as several numbered parts (`part`, `parts`). `stats` are stored rows of
+    `conversation_stats`: then the segments are read once, for the eligible calls of `stats` alone.
     """
-    stats = conversation_stats(segments, required, min_segments).filter("skip_reason is null")
+    if stats is None:
+        stats = conversation_stats(segments, required, min_segments).filter("skip_reason is null")
+    else:
+        stats = stats.filter("skip_reason is null")
+        segments = segments.join(stats.select("call_id"), "call_id", "left_semi")
+        limits = {"counts": stats.select("call_id", F.col("message_count").alias("_n")), **limits}
     text = F.trim("text") if strip_text else F.col("text")
     message = F.struct(
         F.col("owner").alias("channel"), text.alias("text"), to_iso(F.col("call_time")).alias("timestamp")

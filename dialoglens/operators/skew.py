@@ -38,14 +38,17 @@ def collect_in_parts(
     item: Column,
     part_size: int = PART_SIZE,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered lists per key: `keys, part, parts, items`.
 
     A key with at most `part_size` rows gives one row. A hot key gives several, numbered
     in order, whose lists joined are its whole list, so no task ever holds all of it.
+    `counts` are the rows of each key (`keys, _n`) where they are known; else `df` is read for them.
     """
     rows = df.select(*keys, F.struct(*order, item.alias("item")).alias("_row"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > part_size).select(*keys, F.lit(True).alias("_hot"))
     hot_keys = hot.limit(max_broadcast_keys + 1).count()
 

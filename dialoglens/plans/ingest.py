@@ -24,11 +24,14 @@ def prepare_calls(
 
     A call is eligible as soon as it has enough segments and channels; later segments of it
     are not waited for. `mark_skipped=False` keeps short calls eligible for the next run.
+
+    The segments are read twice: for one row per call, which is stored, and for the texts of the eligible calls. Calls
+    shrink to that row before they meet `ids`, so no segment of another call is shuffled for them.
     """
-    wanted = segments.join(ids, "call_id", "left_semi")
-    stats = assemble.conversation_stats(wanted, spec.required_channels, spec.min_segments)
+    stats = assemble.conversation_stats(segments, spec.required_channels, spec.min_segments)
+    stats = materialize(stats.join(ids.select("call_id"), "call_id", "left_semi"), "stats")
     documents = assemble.assemble_conversations(
-        wanted, spec.required_channels, spec.min_segments, spec.source_type, as_of, spec.strip_text
+        segments, spec.required_channels, spec.min_segments, spec.source_type, as_of, spec.strip_text, stats
     )
     handled = stats.select(
         F.lit(spec.source_type).alias("source_type"),
@@ -87,7 +90,7 @@ def replay_history(db: Tables, status: DataFrame, days: int, spec: readers.Sourc
     """
     calls = materialize(_replayed(db, status, days, spec.source_type), "replayed")
     documents, handled = prepare_calls(db.segments, calls.select("call_id").distinct(), spec, db.as_of)
-    ledger = writers.mark_processed_backfill(materialize(handled, "handled"), db.processed_calls, db.as_of)
+    ledger = writers.mark_processed_backfill(handled, db.processed_calls, db.as_of)
     begun = (F.col("table_name") == HISTORICAL_MODE) & F.col("is_enabled")
     end = F.least(F.col("last_processed_timestamp") + interval_days(days), clock(db.as_of))
     moved = status.withColumn("last_processed_timestamp", F.when(begun, end).otherwise(F.col("last_processed_timestamp")))

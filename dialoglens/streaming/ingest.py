@@ -53,7 +53,9 @@ def completed_calls(segments: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
 
 
 def assemble_stream(segments: DataFrame, lateness: str = LATENESS, gap: str = SESSION_GAP) -> DataFrame:
-    return completed_calls(dedupe_segments(segments, lateness), gap)
+    # whether a text is blank is all that is asked of it here: the state and the shuffles before it hold no texts
+    spoken = F.when(not_blank(F.col("text")), F.lit("x")).alias("text")
+    return completed_calls(dedupe_segments(segments.select(*SEGMENT_KEY, spoken), lateness), gap)
 
 
 def _trigger(interval: str | None) -> dict:
@@ -113,19 +115,20 @@ def ingest_stream(
             first = seen.agg(F.date_format(F.trunc(F.min("since") - interval_days(ledger_days), "month"), "yyyy-MM-dd")).first()[0]
             others = ledger.changes(first).filter((F.col("source_type") == spec.source_type) & (F.col("batch") != batch_id))
             ids = materialize(seen.join(others.select("call_id"), "call_id", "left_anti").select("call_id", "ended"), "ids")
-            documents, handled = prepare_calls(fresh(table), ids, spec, clock_now, mark_skipped)
-            # a call that goes on and isn't ready in the table yet is left for later
-            handled = handled.join(ids, "call_id").filter("sent OR ended").drop("ended")
-            handled = materialize(handled, "handled")
+            count, source = ids.count(), fresh(table)
+            # a batch without calls, as the first one of a stream is, doesn't read the table
+            documents, handled = prepare_calls(source if count else source.limit(0), ids, spec, clock_now, mark_skipped)
+            if early:  # a call that goes on and isn't ready in the table yet is left for later
+                handled = materialize(handled.join(ids, "call_id").filter("sent OR ended").drop("ended"), "handled")
             # one folder per batch: a repeated batch replaces its own messages
-            writers.conversation_messages(documents).write.mode("overwrite").json(f"{out}/messages/batch={batch_id}")
+            writers.conversation_messages(documents).write.mode("overwrite").json(f"{out}/messages/batch={batch_id}", compression="gzip")
             # a call that the stream has seen whole but the table does not hold is a failure, not a silent loss
             ended = ids.filter("ended").select("call_id")
             lost = ended.join(handled.select("call_id"), "call_id", "left_anti") if mark_skipped else ended.limit(0)
             failed = lost.select("call_id", F.lit("no segments in the table").alias("error_message"), F.lit("PROCESSING_ERROR").alias("error_type"))
             writers.error_rows(failed, clock_now).write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
             spent = int((time.monotonic() - began) * 1000)
-            each = F.lit(spent) / F.greatest(F.lit(1), F.lit(ids.count()))
+            each = F.lit(spent) / F.lit(max(1, count))
             log = handled.select("call_id", each.alias("processing_time_ms"), F.lit(None).cast("string").alias("error_message"))
             log = log.unionByName(failed.select("call_id", each.alias("processing_time_ms"), "error_message"))
             writers.batch_log(log, str(batch_id), clock_now).write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
@@ -133,7 +136,7 @@ def ingest_stream(
             mode = MODE_OF.get(spec.source_type, NORMAL_MODE)
             marks.withColumn("table_name", F.lit(mode)).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
             rows = handled.select(*writers.LEDGER_KEYS, clock_now.alias("processed_at"), "text_time", "sqs_message_id")
-            ledger.put(rows.dropDuplicates(writers.LEDGER_KEYS), batch_id)
+            ledger.put(rows, batch_id)
 
     calls = ready_calls(segments, spec.required_channels, spec.min_segments, lateness, gap) if early else assemble_stream(segments, lateness, gap)
     writer = calls.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
