@@ -10,6 +10,7 @@ from dialoglens.operators.joins import churner_calls, transcripts
 from dialoglens.plans.evaluation import weekly_evaluation
 from dialoglens.plans.registry import query
 from dialoglens.plans.report_queries import CHURNER_CALLS
+from dialoglens.session import materialize
 
 STATUSES = ["C"]
 WORDS = ["part 1", "part 22", "part 3"]
@@ -92,6 +93,20 @@ query(
         "churned_count", "with_score_count", "recall_rate", "coverage_rate", "avg_churn_score"
     )
 )
+
+
+def _recommended(db):
+    """Churners and transcripts feed several branches: each is worked out once."""
+    churned = materialize(_churned(db), "churned")
+    texts = materialize(evaluation.missed_transcripts(churned, db.segments), "missed")
+    return evaluation.generate_recommendations(
+        evaluation.churn_recall(churned).withColumns({"recall": F.col("recall") / 4, "coverage": F.col("coverage") / 4}),
+        evaluation.missed_keywords(texts, churned, WORDS),
+        evaluation.sample_phrases(texts, WORDS),
+        F.lit(0),
+    )
+
+
 # a report of low figures: the rates are halved before the recommendations are made
 WRONG = "SELECT sum(n) AS n FROM (SELECT count(*) AS n FROM fb WHERE is_correct = 0 AND created_at > TIMESTAMP '2024-01-01' GROUP BY ml_category, correct_category HAVING count(*) >= 3)"
 query(
@@ -101,12 +116,7 @@ query(
     UNION ALL SELECT 'pipeline_coverage', printf('%.1f', coverage / 4 * 100) || '% of the churners have a score, ' || without_score || ' have none' FROM m
     UNION ALL SELECT 'churn_keywords', n || ' keywords are frequent in the calls of missed churners' FROM k WHERE n > 0""",
 )(
-    lambda db: evaluation.generate_recommendations(
-        evaluation.churn_recall(_churned(db)).withColumns({"recall": F.col("recall") / 4, "coverage": F.col("coverage") / 4}),
-        evaluation.missed_keywords(evaluation.missed_transcripts(_churned(db), db.segments), _churned(db), WORDS),
-        evaluation.sample_phrases(evaluation.missed_transcripts(_churned(db), db.segments), WORDS),
-        F.lit(0),
-    ).select("rec_type", F.get_json_object("rec_details", "$.reason").alias("reason"))
+    lambda db: _recommended(db).select("rec_type", F.get_json_object("rec_details", "$.reason").alias("reason"))
 )
 query(
     "S17_append_recommendations",
