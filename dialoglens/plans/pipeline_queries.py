@@ -8,7 +8,7 @@ from dialoglens.operators import assemble, calls, results
 from dialoglens.operators.filters import success_gate
 from dialoglens.operators.joins import call_kinds, transcripts
 from dialoglens.plans.registry import query, recent
-from dialoglens.session import fresh_path
+from dialoglens.session import fresh_path, materialize
 from dialoglens.sources import readers, writers
 from dialoglens.sources.store import ChangeTable
 from dialoglens.tables import PARTITIONED, SCHEMAS
@@ -457,11 +457,16 @@ query(
         "unresolved_issues",
     )
 )
-query("F17_success_gate", f"SELECT call_id, k <> 5 AS passed FROM ({SHAPE})")(
-    lambda db: success_gate(_structured(db))[0].select("call_id", F.lit(True).alias("passed")).unionByName(
-        success_gate(_structured(db))[1].select("call_id", F.lit(False).alias("passed"))
-    )
-)
+
+
+def _gated(db):
+    """Both sides of the gate, from responses that are structured once."""
+    passed, stopped = success_gate(materialize(_structured(db).select("call_id", "success"), "structured"))
+    passed, stopped = (side.select("call_id", F.lit(ok).alias("passed")) for side, ok in ((passed, True), (stopped, False)))
+    return passed.unionByName(stopped)
+
+
+query("F17_success_gate", f"SELECT call_id, k <> 5 AS passed FROM ({SHAPE})")(_gated)
 query(
     "T22_fallback_category",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'net' WHEN event_id % 2 = 0 THEN event_type ELSE 'בירור כללי' END AS category
