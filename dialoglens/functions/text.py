@@ -75,9 +75,17 @@ SEVERE_TRUNCATION_CHARS = 100
 STRUCTURE_CHARS = "[]{}\"'"
 
 
+BLANKS = " \t\n\x0b\f\r"
+#: Line ends that are no blanks; blanks before such a last one are trimmed as well.
+OTHER_LINE_ENDS = ["\x85", "\u2028", "\u2029"]
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return let(
+        F.btrim(text, F.lit(BLANKS)),
+        lambda t: F.when(F.substring(t, -1, 1).isin(OTHER_LINE_ENDS), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(t),
+    )
 
 
 def not_blank(text: Column) -> Column:
@@ -127,9 +135,9 @@ def let(value: Column, body) -> Column:
 EMPTY_VALUE = r"^(?:null|false|-?0(?:\.0*)?(?:[eE][+-]?\d+)?|\[\]|\{\})$"
 
 
-def truthy(value: Column) -> Column:
-    """False for null, false, zero and empty values."""
-    text = value.cast("string")
+def truthy(value: Column, text: Column | None = None) -> Column:
+    """False for null, false, zero and empty values. `text` is the value's text, where it is at hand."""
+    text = value.cast("string") if text is None else text
     empty = F.coalesce(text, F.lit("null")).rlike(EMPTY_VALUE)
     return F.when(F.schema_of_variant(value) == "STRING", text != "").otherwise(~empty)
 
@@ -146,12 +154,15 @@ def _rendered(raw: Column, value: Column) -> Column:
 
 
 _STRICT = {"allowSingleQuotes": "false"}
+#: What a JSON text may begin with, and more. Other texts aren't parsed: a failed parse costs many times a good one.
+JSON_BEGINS = [*"[{\"tfn-0123456789NI+.'/#\ufeff"]
 
 
 def _read_json(text: Column) -> Column:
     """The stripped text, its variant if it is JSON, and the kind of that."""
     source = strip(F.coalesce(text, F.lit("")))
-    parsed = let(source, lambda t: F.struct(t.alias("text"), F.try_parse_json(t).alias("value")))
+    value = lambda t: F.when(F.substring(t, 1, 1).isin(JSON_BEGINS), F.try_parse_json(t))
+    parsed = let(source, lambda t: F.struct(t.alias("text"), value(t).alias("value")))
     return let(parsed, lambda p: F.struct(p["text"], p["value"], json_kind(p["value"]).alias("kind")))
 
 
@@ -194,13 +205,15 @@ def json_to_csv(text: Column) -> Column:
 
 def _field_text(item: Column) -> Column:
     fields = F.array(*[F.try_variant_get(item, f"$.{name}", "variant") for name in ACTION_FIELDS])
-    texts = F.transform(F.filter(fields, truthy), lambda f: strip(f.cast("string")))
+    texts = F.transform(F.filter(fields, lambda f: truthy(f)), lambda f: strip(f.cast("string")))
     return F.get(F.filter(texts, lambda t: ~F.lower(t).isin("", "none")), 0)
 
 
 def _plain_item(item: Column) -> Column:
-    text = item.cast("string")
-    return F.when(truthy(item) & (F.lower(text) != "none"), F.nullif(strip(text), F.lit("")))
+    filled = lambda text: F.when(text != "", text)
+    return let(
+        item.cast("string"), lambda text: F.when(truthy(item, text) & (F.lower(text) != "none"), let(strip(text), filled))
+    )
 
 
 def preview(name: str, chars: int | None) -> Column:
@@ -227,7 +240,8 @@ def cut_at_item(text: Column, max_length: int | None) -> Column:
 def action_items_text(text: Column, max_length: int | None = None) -> Column:
     """Only the wording of the action items, without their dates, owners and states."""
     head = lambda plain: plain if max_length is None else F.substring(plain, 1, max_length)
-    wording = lambda item: F.when(json_kind(item) == "OBJECT", _field_text(item)).otherwise(_plain_item(item))
+    is_object = lambda item: F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))
+    wording = lambda item: F.when(is_object(item), _field_text(item)).otherwise(_plain_item(item))
 
     def listed(value: Column) -> Column:
         items = F.transform(value.cast("array<variant>"), wording)
