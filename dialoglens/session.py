@@ -85,6 +85,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def empty_folder(spark: SparkSession, path: str) -> None:
+    """A folder without files at `path`, in place of what was there."""
+    files, where = _files(spark, path)
+    files.delete(where, True)
+    files.mkdirs(where)
+
+
 def list_folders(spark: SparkSession, path: str, prefix: str, complete: bool = False) -> list[str]:
     """Names of the folders in `path` that begin with `prefix`, of finished writes only if `complete`."""
     files, where = _files(spark, path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dialoglens.operators import results
-from dialoglens.session import delete_path, materialize, scratch
+from dialoglens.session import empty_folder, materialize, scratch
 from dialoglens.sources import readers, writers
 from dialoglens.sources.store import ChangeTable
 from dialoglens.streaming.ingest import Source, fresh, now
@@ -62,7 +62,7 @@ def store_results(messages: DataFrame, segments: Source, store: ResultStore, as_
         # an empty file would be read as new input and make a batch of its own, which then writes the next one, without end
         folder = f"{store.path}/retry/batch={batch_id}"
         if queued.isEmpty():
-            delete_path(spark, folder)
+            empty_folder(spark, folder)
         else:
             queued.write.mode("overwrite").json(folder)
         store.dead_letters.put(writers.dead_letter_rows(dead, clock_now).dropDuplicates(["failure_id"]), batch_id)
