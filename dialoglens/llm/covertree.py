@@ -42,7 +42,11 @@ SLACK = 1e-7
 ROUGH = 1e-3
 RUN = 200_000
 THIN = 0.05
-BLOCKS_A_TASK = 8
+#: Rows of a matrix product, whose result stays in a core's cache; nodes by which a level is judged; pairs of a product
+#: that cost about as much as one opened pair of nodes.
+ROWS, TRIED, OPENING = 256, 64, 64
+#: Blocks on each side of a task's square of block pairs, and the bytes of points that a task keeps of one side.
+SIDE, SIDE_BYTES = 8, 32 << 20
 
 MANIFEST_SCHEMA = "block long, cell int, path string, points long"
 FOUND_SCHEMA = "id long, links long, other long"
@@ -135,7 +139,6 @@ class Tree:
         return [out.getvalue()]
 
 
-@functools.lru_cache(maxsize=4)
 def load_tree(path: str) -> Tree:
     with np.load(io.BytesIO(read_whole(path))) as data:
         return Tree(data["ids"], data["weights"], data["points"], data["levels"])
@@ -196,29 +199,58 @@ class Traversal:
         self.left, self.other, self.same, self.cosine = left, left if right is None else right, right is None, cosine
         self.limit = float(chord(np.array(cosine)))
         self.links = Links(left, right)
-        for a, b in self.tops():
-            self.descend(0, a, b, cosines(left, self.other, a, b))
-
-    def tops(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of highest nodes in reach: thin ones by their outlines, those with a wide node by all components."""
-        rows, columns = self.left.centres[0], self.other.centres[0]
-        thin_rows, thin_columns = self.left.radius[0][rows] <= THIN, self.other.radius[0][columns] <= THIN
-        least = np.float32(1.0 - (self.limit + 2 * THIN + ROUGH) ** 2 / 2.0)
-        for some, across, thin in (
-            (rows[thin_rows], columns[thin_columns], True), (rows[thin_rows], columns[~thin_columns], False), (rows[~thin_rows], columns, False)
+        level = self.top()
+        for a, b in self.tops(level):
+            self.descend(level, a, b, cosines(left, self.other, a, b))
+
+    def in_reach(self, level: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Which nodes of two lists are in reach, by all components."""
+        reach = self.limit + SLACK + self.left.radius[level][rows][:, None] + self.other.radius[level][columns]
+        return chord(self.left.points[rows] @ self.other.points[columns].T) <= reach
+
+    def top(self) -> int:
+        """The highest level whose wide nodes leave few pairs in reach, judged by some of them.
+
+        In many dimensions the widest nodes reach nearly all others: to open their pairs one by one costs more than to
+        begin with the level below. The level decides the work alone.
+        """
+        for level in range(len(LEVELS) - 1):
+            rows, columns = self.left.centres[level], self.other.centres[level]
+            wide, across = (n[tree.radius[level][n] > THIN] for n, tree in ((rows, self.left), (columns, self.other)))
+            some, others = (n[:: -(-len(n) // TRIED)] if len(n) else n for n in (wide, across))
+            met = self.in_reach(level, some, columns).mean() * len(wide) * len(columns) if len(wide) else 0.0
+            met += self.in_reach(level, rows[:: -(-len(rows) // TRIED)], others).mean() * len(rows) * len(across) if len(across) else 0.0
+            if met * OPENING <= len(rows) * len(columns):
+                return level
+        return len(LEVELS) - 1
+
+    def tops(self, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a level's nodes in reach: thin ones by their outlines, those with a wide node by all components."""
+        rows, columns = (
+            nodes[np.argsort(tree.radius[level][nodes], kind="stable")]
+            for tree in (self.left, self.other) for nodes in [tree.centres[level]]
+        )
+        r, c = self.left.radius[level][rows], self.other.radius[level][columns]
+        thin, across = (int(np.searchsorted(radii, THIN, side="right")) for radii in (r, c))
+        outlines = np.ascontiguousarray(self.other.outlines[columns[:across]].T)
+        for begin, stop, some, narrow in (
+            (0, thin, columns[:across], True), (0, thin, columns[across:], False), (thin, len(rows), columns, False)
         ):
-            for begin in range(0, len(some) if len(across) else 0, 512):
-                x = some[begin:begin + 512]
-                if thin:
-                    met = self.left.outlines[x] @ self.other.outlines[across].T >= least
-                else:
-                    reach = self.limit + SLACK + self.left.radius[0][x][:, None] + self.other.radius[0][across]
-                    met = chord(self.left.points[x] @ self.other.points[across].T) <= reach
-                x, y = (k[at] for k, at in zip((x, across), np.nonzero(met), strict=True))
+            for begin in range(begin, stop if len(some) else 0, ROWS):
+                x = rows[begin:min(begin + ROWS, stop)]
+                met = None
+                if narrow:
+                    # radii ascend: that of the last row bounds them all
+                    reach = self.limit + ROUGH + self.left.radius[level][x[-1]] + c[:across]
+                    met = self.left.outlines[x] @ outlines >= (1.0 - reach * reach / 2.0).astype(np.float32)
+                if met is None or np.count_nonzero(met) * OPENING > met.size:
+                    met = self.in_reach(level, x, some)
+                at = np.flatnonzero(met)
+                u, v = x[at // len(some)], some[at % len(some)]
                 if self.same:
-                    x, y = x[x <= y], y[x <= y]
-                for part in runs(np.ones(len(x), np.int64), RUN):
-                    yield x[part], y[part]
+                    u, v = u[u <= v], v[u <= v]
+                for part in runs(np.ones(len(u), np.int64), RUN):
+                    yield u[part], v[part]
 
     def descend(self, level: int, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
         """Prune node pairs, link whole ones, and open the others."""
@@ -314,9 +346,11 @@ def with_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def write_trees(placed: DataFrame, sizes: dict[int, int], folder: str) -> DataFrame:
-    """Build and store the tree of each block; returns their stored list."""
+    """Build and store the tree of each block; returns their stored list. Blocks are numbered by cells."""
     spark = placed.sparkSession
-    parts = spark.createDataFrame([(c, -(-n // BLOCK)) for c, n in sizes.items()], "cell int, parts int")
+    counts = {c: -(-n // BLOCK) for c, n in sorted(sizes.items())}
+    firsts = np.cumsum([0, *counts.values()]).tolist()
+    parts = spark.createDataFrame([(c, n, first) for (c, n), first in zip(counts.items(), firsts)], "cell int, parts int, first long")
     blocks = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -326,7 +360,7 @@ def write_trees(placed: DataFrame, sizes: dict[int, int], folder: str) -> DataFr
         tree = Tree(group["id"].to_numpy(), group["weight"].to_numpy(), points, np.array(build_tree(points)))
         path = f"{folder}/tree-{cell:06d}-{part:06d}.npz"
         write_whole(path, tree.packed())
-        return pd.DataFrame({"block": [cell * 10_000_000 + part], "cell": [cell], "path": [path], "points": [len(group)]})
+        return pd.DataFrame({"block": [int(group["first"].iloc[0]) + part], "cell": [cell], "path": [path], "points": [len(group)]})
 
     return materialize(blocks.groupBy("cell", "part").applyInPandas(build, MANIFEST_SCHEMA), "trees")
 
@@ -338,25 +372,30 @@ def cell_pairs(pivots: np.ndarray, radius: dict[int, float], cosine: float) -> l
     return [(x, y) for x in radius for y in radius if x <= y and away[x, y] <= limit + radius[x] + radius[y] + SLACK]
 
 
-def found_links(trees: DataFrame, pairs: list[tuple[int, int]], cosine: float) -> DataFrame:
-    """id, links and a connected id, from all pairs of blocks of the cell pairs."""
+def found_links(trees: DataFrame, pairs: list[tuple[int, int]], cosine: float, length: int) -> DataFrame:
+    """id, links and a connected id, from all pairs of blocks of the cell pairs.
+
+    A task gets a square of block pairs, so that it loads a tree once for a row of the square. The square shrinks with
+    the number of blocks, for there to be tasks enough, and with the length of the vectors, whose trees a task keeps.
+    """
     spark = trees.sparkSession
+    side = max(1, min(SIDE, trees.count() // SIDE, SIDE_BYTES // (BLOCK * length * 8)))
     allowed = F.broadcast(spark.createDataFrame(pairs, "cell int, other_cell int"))
     right = trees.select(F.col("block").alias("other"), F.col("cell").alias("other_cell"), F.col("path").alias("other_path"))
     met = trees.select("block", "cell", "path").join(allowed, "cell").join(right, "other_cell").filter("cell < other_cell OR block <= other")
-    tasks = materialize(
-        met.withColumn("turn", F.pmod(F.xxhash64("other"), F.lit(1 << 20)))
-        .select("block", "path", "other", "other_path", "turn"), "block-pairs",
-    )
+    square = F.struct(F.floor(F.col("block") / side).alias("row"), F.floor(F.col("other") / side).alias("column"))
+    tasks = materialize(met.select("block", "path", "other", "other_path", square.alias("square")), "block-pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = functools.lru_cache(maxsize=side + 1)(load_tree)
         for batch in batches:
             for path, other in zip(batch.column("path").to_pylist(), batch.column("other_path").to_pylist(), strict=True):
-                links = traverse(load_tree(path), None if path == other else load_tree(other), cosine)
+                links = traverse(tree(path), None if path == other else tree(other), cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in links.rows()], names=["id", "links", "other"])
 
-    n = max(1, -(-tasks.count() // BLOCKS_A_TASK))
-    return tasks.repartitionByRange(n, "block", "turn").select("path", "other_path").mapInArrow(run, FOUND_SCHEMA)
+    n = max(1, tasks.select("square").distinct().count())
+    placed = tasks.repartitionByRange(n, "square").sortWithinPartitions("square", "block", "other")
+    return placed.select("path", "other_path").mapInArrow(run, FOUND_SCHEMA)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, folder: str | None = None) -> DataFrame:
@@ -372,7 +411,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, folder: str | No
         placed = materialize(with_cells(own, pivots), "cells")
         cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
         trees = write_trees(placed, {c.cell: c.n for c in cells}, f"{folder}/{length}")
-        links = found_links(trees, cell_pairs(pivots, {c.cell: c.radius for c in cells}, cosine), cosine)
+        links = found_links(trees, cell_pairs(pivots, {c.cell: c.radius for c in cells}, cosine), cosine, length)
         found = links if found is None else found.union(links)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], FOUND_SCHEMA)
