@@ -10,7 +10,7 @@ from dialoglens.plans.adapters import RESULTS, SEGMENTS, SUMMARY, _view
 from dialoglens.plans.pipeline_queries import FEWEST, GOOD, ID, LINES, R_LABELS, R_PRIMARY, R_SENTIMENT, REASON, STATS
 from dialoglens.plans.alert_queries import EVALUATED
 from dialoglens.plans.registry import query
-from dialoglens.session import fresh_path
+from dialoglens.session import fresh_path, state_on_disk
 from dialoglens.sources import readers
 from dialoglens.streaming import alerts as alert_stream, config, ingest as ingest_stream, results as result_stream
 
@@ -39,7 +39,9 @@ def _result(db, stream: DataFrame, name: str) -> DataFrame:
     """Append a stream to a folder until it is drained, and read that back."""
     out = fresh_path(db.spark, name)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
-    writer.trigger(availableNow=True).start(out).awaitTermination()
+    with state_on_disk(db.spark):
+        running = writer.trigger(availableNow=True).start(out)
+    running.awaitTermination()
     return db.spark.read.schema(stream.schema).parquet(out)
 
 

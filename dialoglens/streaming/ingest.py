@@ -16,7 +16,7 @@ from dialoglens.functions.text import not_blank
 from dialoglens.functions.timing import clock, interval_days
 from dialoglens.operators import assemble
 from dialoglens.plans.ingest import MODE_OF, NORMAL_MODE, prepare_calls
-from dialoglens.session import materialize, scratch
+from dialoglens.session import materialize, scratch, state_on_disk
 from dialoglens.sources import writers
 from dialoglens.sources.readers import SourceSpec
 from dialoglens.sources.store import ChangeTable
@@ -140,7 +140,8 @@ def ingest_stream(
 
     calls = ready_calls(segments, spec.required_channels, spec.min_segments, lateness, gap) if early else assemble_stream(segments, lateness, gap)
     writer = calls.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(publish).trigger(**_trigger(interval)).start()
+    with state_on_disk(spark):
+        return writer.foreachBatch(publish).trigger(**_trigger(interval)).start()
 
 
 def stream_status(spark: SparkSession, out: str) -> DataFrame:
